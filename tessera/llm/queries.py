@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.simhash import simhash_near_dedup
+from tessera.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -29,6 +35,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+        win AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
+        ),
+        rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM win) WHERE m < doc_id),
+        cov AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM rep)),
+        word AS (SELECT doc_id, p, ws[p] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+        res AS (
+            SELECT word.doc_id, count(*) AS n_words, count(cov.p) AS n_removed,
+                   string_agg(word, ' ' ORDER BY word.p) FILTER (cov.p IS NULL) AS kept
+            FROM word LEFT JOIN cov ON word.doc_id = cov.doc_id AND word.p = cov.p GROUP BY 1
+        )
+        SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN res ON w.doc_id = res.doc_id
+    """,
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
