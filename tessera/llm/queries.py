@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.packing import best_fit_packing
 from tessera.llm.simhash import simhash_near_dedup
 from tessera.llm.substring_dedup import substring_dedup
 
@@ -30,6 +32,22 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary of the packing and encoding queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = best_fit_packing(_table(spark, sf_dir, "documents"), vocabulary_path(), capacity=2048, with_ids=False)
+    return found.drop("ids")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
