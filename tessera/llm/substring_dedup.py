@@ -40,7 +40,6 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xD1B54A32D192ED03)
 WORD_SEED = 1
 LAST_ID = 2**63 - 1
-_SUB_BATCH = 2 << 20
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
 
@@ -80,7 +79,7 @@ class _Windows:
 
 def _windows(texts: list[bytes], window: int) -> _Windows:
     runs, hashes, second, text = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int32)]
-    for begin, run in textops.batches(texts, _SUB_BATCH):
+    for begin, run in textops.batches(texts):
         words = textops.to_words(run)
         of = words.text_of_word()
         n = max(0, words.count - window + 1)

@@ -48,7 +48,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def batches(texts: Iterable[bytes], most: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def batches(texts: Iterable[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Cut a list of texts into runs of about ``most`` bytes: (first index, run)."""
     run: list[bytes] = []
     size = begin = 0
