@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.packing import best_fit_packing
+from tessera.llm.quality import quality_scores
 from tessera.llm.simhash import simhash_near_dedup
 from tessera.llm.substring_dedup import substring_dedup
 
@@ -32,6 +33,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3, max_train_rows=20_000)
+
+
 def vocabulary_path() -> str:
     """The public vocabulary of the packing and encoding queries."""
     import public_tokenizers
