@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +42,34 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return int(row.n), int(row.b or 0)
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Equi-join on ``key`` whose inputs both get a fresh exchange.
+def split_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Equi-join whose inputs both get a fresh exchange.
 
-    A side that was just aggregated on the key would otherwise keep its
+    A side that was just aggregated on the keys would otherwise keep its
     partitioning, and adaptive execution only splits a hot key when both inputs
-    of a sort-merge join come straight from an exchange.  A second key that the
-    first implies brings that about.  Nulls never match.
+    of a sort-merge join come straight from an exchange.  A further key that the
+    others imply brings that about.  Nulls never match.
     """
-    part: Column = F.pmod(F.col(key), F.lit(8))
-    return left.withColumn("__part", part).join(right.withColumn("__part", part), [key, "__part"], how).drop("__part")
+    keys = [keys] if isinstance(keys, str) else keys
+    part: Column = F.pmod(F.xxhash64(*keys), F.lit(8))
+    return left.withColumn("__part", part).join(right.withColumn("__part", part), [*keys, "__part"], how).drop("__part")
+
+
+#: Partial sums of a map stage: ``part`` numbers the task, ``sums`` is a float64 vector.
+SUMS = "block int, part int, sums binary"
+FAN_IN = 64
+
+
+def _add(table: pa.Table) -> pa.Table:
+    table = table.sort_by("part")  # one order of additions, whatever came first
+    total = np.sum([np.frombuffer(v, np.float64) for v in table.column("sums").to_pylist()], axis=0)
+    return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def tree_sum(sums: DataFrame, parts: int) -> dict[int, np.ndarray]:
+    """Add up SUMS rows by block in rounds, FAN_IN partial sums to a task, so no
+    task's work grows with the number of map tasks; one row a block is collected."""
+    while parts > 1:
+        sums = sums.withColumn("into", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "into").applyInArrow(lambda t: _add(t.drop_columns(["into"])), SUMS)
+        parts = -(-parts // FAN_IN)
+    return {row.block: np.frombuffer(row.sums, np.float64) for row in sums.collect()}

@@ -21,12 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
-from tessera.llm.common import checkpoint, documents, split_join
+from tessera.llm.common import SUMS, checkpoint, documents, split_join, tree_sum
 
-ROWS, DIMS, NONZERO, BLOCKS, FAN_IN = 4096, 64, 4, 16, 64
+ROWS, DIMS, NONZERO, BLOCKS = 4096, 64, 4, 16
 SEED = 7
 FEATURES = DIMS + 2
-SUMS = "block int, part int, sums binary"
 
 
 def _classes() -> np.ndarray:
@@ -63,12 +62,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the non-zero entries of each row's index vector."""
     random = np.random.default_rng(SEED)
-    return random.integers(0, DIMS, (ROWS, NONZERO)), random.choice(np.array([-1, 1], np.int64), (ROWS, NONZERO))
+    return random.integers(0, DIMS, (ROWS, NONZERO)), random.choice(np.array([-1.0, 1.0]), (ROWS, NONZERO))
 
 
 def _context_sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
-    sums = np.zeros(ROWS * DIMS, np.int64)
+    sums = np.zeros(ROWS * DIMS)
     for part in parts:
         for _, run in textops.batches(textops.as_bytes(part.column(0))):
             rows, first = tokens(run)
@@ -87,22 +86,14 @@ def _context_sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v, np.int64) for v in table.column("sums").to_pylist())
-    return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """(ROWS, DIMS) unit vectors, centred; 1 MB whatever the corpus."""
     source = docs.select(F.col(text_col).alias("text"))
     parts = source.rdd.getNumPartitions()
     sums = source.mapInArrow(_context_sums, SUMS)
-    while parts > 1:
-        sums = sums.withColumn("into", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "into").applyInArrow(lambda t: _add(t.drop_columns(["into"])), SUMS)
-        parts = -(-parts // FAN_IN)
-    found = np.zeros((BLOCKS, ROWS // BLOCKS * DIMS), np.float64)
-    for row in sums.collect():  # BLOCKS rows of fixed size
-        found[row.block] += np.frombuffer(row.sums, np.int64)
+    found = np.zeros((BLOCKS, ROWS // BLOCKS * DIMS))
+    for block, total in tree_sum(sums, parts).items():
+        found[block] = total
     found = found.reshape(ROWS, DIMS)
     mass = np.linalg.norm(found, axis=1, keepdims=True)
     unit = found / np.maximum(mass, 1e-9)

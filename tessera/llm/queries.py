@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_round_trip
+from tessera.llm.embedding_dedup import embedding_near_dedup
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.hmm import hmm_scores
 from tessera.llm.packing import best_fit_packing
 from tessera.llm.quality import quality_scores
 from tessera.llm.simhash import simhash_near_dedup
@@ -28,6 +30,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_near_dedup(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,6 +55,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("ids")
 
 
+def op9_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -82,4 +92,18 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY text)
     """,
+    "op4_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        ),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+        ),
+        r(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.a, r.m FROM r JOIN l ON l.b = r.n),
+        c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN c ON c.n = vec_id
+    """,
 }
