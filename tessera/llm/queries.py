@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_round_trip
+from tessera.llm.chat_format import END, collect_turns, format_pairs, parroted
 from tessera.llm.embedding_dedup import embedding_near_dedup
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.hmm import hmm_scores
+from tessera.llm.license_scan import TEMPLATES, license_scan, template_weights, word_weights
 from tessera.llm.packing import best_fit_packing
 from tessera.llm.quality import quality_scores
 from tessera.llm.simhash import simhash_near_dedup
@@ -26,6 +28,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with a parroted last answer."""
+    turns = collect_turns(_table(spark, sf_dir, "conversations"), "conv_id", "chosen")
+    found = format_pairs(turns.withColumn("rejected", parroted(F.col("chosen"))), "conv_id")
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ";")
+    return found.withColumns({"chosen_mask": written(F.col("chosen_mask")), "rejected_mask": written(F.col("rejected_mask"))})
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -39,6 +49,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc<id>.txt."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.withColumn("path", F.format_string("%s/%s/doc%d.txt", "source", "lang", "doc_id"))
+    return license_scan(files).withColumn("score", F.round("score", 6))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3, max_train_rows=20_000)
 
@@ -67,6 +84,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+def _license_sql() -> str:
+    """The scan in SQL; template weights are written out as a table."""
+    weights, unknown = template_weights(TEMPLATES)
+    idf = word_weights(TEMPLATES)
+    rows = ", ".join(f"('{name}', '{w}', {v!r}, {idf[w]!r})" for name, t in weights.items() for w, v in t.items())
+    return f"""
+        WITH t(license, w, v, idf) AS (VALUES {rows}),
+        f AS (SELECT doc_id, source || '/' || lang || '/doc' || doc_id || '.txt' AS path, source || '/' || lang AS dir, source, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT doc_id, i AS line, string_split(text, chr(10))[i + 1] AS s FROM (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM f)),
+        w AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM l),
+        c AS (SELECT doc_id, line, w.w, count(*) AS n, any_value(idf) AS idf FROM w LEFT JOIN (SELECT DISTINCT w, idf FROM t) i ON i.w = w.w GROUP BY ALL),
+        n AS (SELECT doc_id, line, sqrt(sum((n * coalesce(idf, {unknown!r})) ** 2)) AS norm, CAST(sum(n) AS BIGINT) AS words FROM c GROUP BY ALL),
+        d AS (SELECT c.doc_id, c.line, t.license, sum(c.n * c.idf * t.v) AS dot FROM c JOIN t ON t.w = c.w GROUP BY ALL),
+        s AS (SELECT d.doc_id, d.line, d.license, dot / norm AS score, words FROM d JOIN n ON n.doc_id = d.doc_id AND n.line = d.line WHERE dot / norm >= 0.8),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC, license DESC) = 1),
+        own AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC, line DESC) = 1),
+        total AS (SELECT doc_id, sum(words) AS words FROM n GROUP BY ALL),
+        hit AS (SELECT doc_id, sum(words) AS words FROM b GROUP BY ALL),
+        cover AS (
+            SELECT f.dir AS up, own.license, own.score FROM f JOIN own ON own.doc_id = f.doc_id
+            JOIN hit ON hit.doc_id = f.doc_id JOIN total ON total.doc_id = f.doc_id WHERE hit.words >= 0.5 * total.words
+            QUALIFY row_number() OVER (PARTITION BY f.dir ORDER BY own.score DESC, own.license DESC) = 1
+        )
+        SELECT f.doc_id, path, coalesce(own.license, cover.license) AS license, round(coalesce(own.score, cover.score), 6) AS score,
+               CAST(own.line AS INT) AS line,
+               CASE WHEN own.license IS NOT NULL THEN 'own' WHEN cover.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+               CASE WHEN own.license IS NULL THEN cover.up END AS directory
+        FROM f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN cover ON cover.up = f.dir
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
@@ -106,4 +154,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
         FROM embeddings JOIN c ON c.n = vec_id
     """,
+    "op2_chat_format": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS c,
+                   CASE WHEN turn = max(turn) FILTER (role = 'assistant') OVER w
+                        THEN coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')
+                        ELSE coalesce(text, '') END AS r
+            FROM conversations WINDOW w AS (PARTITION BY conv_id)
+        ),
+        k AS (SELECT *, turn < coalesce(min(turn) FILTER (c <> r) OVER (PARTITION BY conv_id), 1000000000) AS shared FROM t),
+        x AS (
+            SELECT *, '<|' || role || '|>\n' AS h, h || c || '{END}' AS fc, h || r || '{END}' AS fr,
+                   sum(length(fc)) OVER p AS ec, sum(length(fr)) OVER p AS er
+            FROM k WINDOW p AS (PARTITION BY conv_id, shared ORDER BY turn)
+        )
+        SELECT conv_id, CAST(count_if(shared) AS INT) AS prompt_turns,
+               coalesce(string_agg(fc, '' ORDER BY turn) FILTER (shared), '') AS prompt,
+               coalesce(string_agg(fc, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
+               coalesce(string_agg(fr, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
+               coalesce(string_agg((ec - length(fc) + length(h)) || '-' || ec, ';' ORDER BY turn) FILTER (NOT shared AND role = 'assistant'), '') AS chosen_mask,
+               coalesce(string_agg((er - length(fr) + length(h)) || '-' || er, ';' ORDER BY turn) FILTER (NOT shared AND role = 'assistant'), '') AS rejected_mask
+        FROM x GROUP BY conv_id
+    """,
+    "op6_license_scan": _license_sql(),
 }
