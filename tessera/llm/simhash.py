@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
@@ -25,32 +25,45 @@ from tessera.llm.components import connected_components
 BITS = 64
 
 
-def fingerprint_batch(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of each text: A-Z lowered, ``shingle``-word shingles with
-    repeats (fewer words: all of them, none: zero), XXH64 of each, majority."""
-    out = [np.zeros(0, np.uint64)]
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Hashes for a further fingerprint word, independent of the first's."""
+    if not number:
+        return hashes
+    with np.errstate(over="ignore"):
+        h = hashes + np.uint64(number) * textops.P1
+        h = (h ^ (h >> np.uint64(30))) * textops.P2
+        h = (h ^ (h >> np.uint64(27))) * textops.P3
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint_batch(texts: list[bytes], shingle: int = 3, seed: int = 42, words: int = 1) -> np.ndarray:
+    """SimHash of each text, ``words`` 64-bit words a row: A-Z lowered,
+    ``shingle``-word shingles with repeats (fewer words: all of them, none:
+    zero), XXH64 of each, majority."""
+    out = [np.zeros((0, words), np.uint64)]
     for _, run in textops.batches(texts):
-        words = textops.to_words(run, lower=True)
-        sizes = np.diff(words.first)
+        found = textops.to_words(run, lower=True)
+        sizes = np.diff(found.first)
         number = np.where(sizes >= shingle, sizes - shingle + 1, np.minimum(sizes, 1))
         first = np.zeros(len(run) + 1, np.int64)
         np.cumsum(number, out=first[1:])
-        begin = np.repeat(words.first[:-1] - first[:-1], number) + np.arange(first[-1])
-        last = np.minimum(begin + shingle - 1, np.repeat(words.first[1:] - 1, number))
-        hashes = textops.xxh64_spans(words.buffer, words.starts[begin], words.ends[last], seed)
-        out.append(textops.bit_majority(hashes, first))
+        begin = np.repeat(found.first[:-1] - first[:-1], number) + np.arange(first[-1])
+        last = np.minimum(begin + shingle - 1, np.repeat(found.first[1:] - 1, number))
+        hashes = textops.xxh64_spans(found.buffer, found.starts[begin], found.ends[last], seed)
+        out.append(np.stack([textops.bit_majority(_mixed(hashes, k), first) for k in range(words)], axis=1))
     return np.concatenate(out)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint as a signed long.  No shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, fp, fp1, ...): fingerprint words as signed longs.  No shuffle."""
+    names = ["fp", *(f"fp{k}" for k in range(1, words))]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            fp = fingerprint_batch(textops.as_bytes(part.column(1)), shingle)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            found = fingerprint_batch(textops.as_bytes(part.column(1)), shingle, words=words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[:, k]) for k in range(words))], ["doc_id", *names])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return documents(docs, id_col, text_col).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
 def _keys(fps: DataFrame, max_bits: int, low_side: bool) -> DataFrame:
@@ -91,10 +104,56 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     marked = checkpoint(fingerprints(docs, id_col, text_col, shingle))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(fingerprint_links(nodes.select("fp"), max_bits))
+    return _grouped(marked, nodes, fingerprint_links(nodes.select("fp"), max_bits))
+
+
+def _grouped(marked: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Name the components: marked (doc_id, fp), nodes (fp, least), links (a, b)."""
+    linked = connected_components(links)
     placed = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     names = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return split_join(marked, names, "fp").select(
+    return split_join(marked.select("doc_id", "fp"), names, "fp").select(
         "doc_id", "fp", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int, neighbours: int) -> DataFrame:
+    """Pairs (a, b) of first fingerprint words at most ``max_bits`` apart.
+
+    Every word is cut into ``segments``, each indexed by its one-wildcard
+    variants.  The members of a key are ordered by their first word and compared
+    with the ``neighbours`` before them, so a key with n members costs n
+    comparisons times a constant, never n squared: in a dense group neighbours
+    link each other, and a sparse key is compared completely.
+    """
+    width = BITS // segments
+    variants = width + 1
+    each = nodes.select("fp", F.posexplode(F.array("fp", *(f"fp{k}" for k in range(1, words)))).alias("word", "bits"))
+    each = each.select("fp", "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(segments * variants - 1))).alias("n"))
+    segment = F.expr(f"shiftrightunsigned(bits, int(n div {variants}) * {width}) & {(1 << width) - 1}L")
+    wiped = each.select("fp", segment.alias("segment"), F.expr(f"int(n % {variants}) - 1").alias("bit"), F.expr(f"word * {segments * variants} + n").alias("n"))
+    # a wiped bit is kept in the number of the variant; the untouched segment is variant 0
+    keyed = wiped.select("fp", F.expr("shiftleft(bigint(n), 40) ^ IF(bit < 0, segment, segment & ~shiftleft(1L, greatest(bit, 0)))").alias("key"))
+    order = Window.partitionBy("key").orderBy("fp")
+    for k in range(1, neighbours + 1):
+        keyed = keyed.withColumn(f"b{k}", F.lag("fp", k).over(order))
+    close = F.filter(F.array(*(f"b{k}" for k in range(1, neighbours + 1))), lambda b: F.bit_count(b.bitwiseXOR(F.col("fp"))) <= max_bits)
+    return keyed.where(F.col("b1").isNotNull()).select(F.col("fp").alias("a"), F.explode(close).alias("b")).where("a <> b").distinct()
+
+
+def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4, segments: int = 3, max_bits: int = 10, neighbours: int = 4) -> DataFrame:
+    """Near-dedup by similarity rather than a few bits: result and edge cases as
+    in simhash_near_dedup.
+
+    Two texts whose shingle sets have a Jaccard similarity of 0.8 differ in
+    about 15 of 100 fingerprint bits, too many for the pigeonhole of one 64-bit
+    word.  So candidates come from ``words`` words: with 4 words of 3 segments a
+    pair of similarity 0.8 shares a one-wildcard variant with probability 0.9, of
+    0.9 with 0.99.  The first word verifies: at most ``max_bits`` of its 64 bits
+    may differ.  Documents with equal first words are one node.
+    """
+    names = [f"fp{k}" for k in range(1, words)]
+    marked = checkpoint(fingerprints(docs, id_col, text_col, shingle, words))
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), *(F.min(n).alias(n) for n in names))
+    return _grouped(marked, nodes.select("fp", "least"), similar_links(nodes, words, segments, max_bits, neighbours))
