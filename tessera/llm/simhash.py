@@ -138,8 +138,11 @@ def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int, ne
     order = Window.partitionBy("key").orderBy("fp")
     for k in range(1, neighbours + 1):
         keyed = keyed.withColumn(f"b{k}", F.lag("fp", k).over(order))
-    close = F.filter(F.array(*(f"b{k}" for k in range(1, neighbours + 1))), lambda b: F.bit_count(b.bitwiseXOR(F.col("fp"))) <= max_bits)
-    return keyed.where(F.col("b1").isNotNull()).select(F.col("fp").alias("a"), F.explode(close).alias("b")).where("a <> b").distinct()
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits
+    close = keyed.where(F.col("b1").isNotNull()).select("fp", F.filter(F.array(*(f"b{k}" for k in range(1, neighbours + 1))), lambda b: near(b, F.col("fp"))).alias("close"))
+    # a neighbour that links with a nearer one is reached through it
+    apart = F.filter("close", lambda b, i: ~F.exists(F.slice("close", F.lit(1), i), lambda c: near(b, c)))
+    return close.select(F.col("fp").alias("a"), F.explode(apart).alias("b")).where("a <> b").distinct()
 
 
 def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4, segments: int = 3, max_bits: int = 10, neighbours: int = 4) -> DataFrame:
