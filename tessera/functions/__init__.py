@@ -1,0 +1 @@
+"""Column builders; nothing here triggers a job."""

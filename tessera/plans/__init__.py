@@ -1,0 +1 @@
+"""Driver-side planning: query inputs, verbs, cursors and the query registry."""

@@ -1,0 +1 @@
+"""Readers, writers and adapters that build the canonical relations."""
