@@ -49,18 +49,41 @@ class Scope:
         return not (self.changed_only or self.directories or self.extensions or self.patterns)
 
 
+def _underscored(spark: SparkSession, root: str, max_bytes: int) -> list[tuple]:
+    """Files with a path component that starts with an underscore, which Spark's
+    readers pass over: listed and read by the driver, contents up to ``max_bytes``."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    found, listed = [], fs.listFiles(top, True)
+    while listed.hasNext():
+        status = listed.next()
+        path = status.getPath().toUri().getPath().removeprefix(prefix)
+        if any(p.startswith("_") for p in path.split("/")) and not any(p.startswith(".") for p in path.split("/")):
+            content = bytearray()
+            if status.getLen() <= max_bytes:
+                stream = fs.open(status.getPath())
+                content = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                stream.close()
+            found.append((path, status.getLen(), status.getModificationTime(), content))
+    return found
+
+
 def scan_tree(spark: SparkSession, root: str, no_ignore: bool = False, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Every file below a root: path, language, size, mtime_ms, content (null if
-    skipped), skip_reason ("ignored", "too_large", "binary" or null).  Reads
-    through Spark, so the root may lie in any store it reaches."""
+    """Every file below a root but hidden ones (a component that starts with a
+    dot): path, language, size, mtime_ms, content (null if skipped), skip_reason
+    ("ignored", "too_large", "binary" or null).  Reads through Spark, so the root
+    may lie in any store it reaches."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
-    relative = F.expr(f"ltrim('/', substring(split_part(path, '{root.rstrip('/').split(':')[-1].lstrip('/')}', -1), 1))") if root else base
-    head = F.hex(F.substring("content", 1, SNIFFED_BYTES))
-    binary = F.rlike(head, F.lit("^(?:..)*?00"))
-    files = read.select(relative.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content", binary.alias("binary"))
-    hidden = F.rlike("path", F.lit(r"(^|/)\.[^/]"))
-    reason = F.when(paths.is_skipped(F.col("path"), no_ignore) | (hidden if not no_ignore else F.lit(False)), "ignored").when(F.col("size") > max_bytes, "too_large").when(F.col("binary"), "binary")
+    bare = root.split("://")[-1].split(":")[-1].rstrip("/")
+    relative = F.expr(f"substring(path, instr(path, '{bare}/') + {len(bare) + 1})")
+    files = read.select(relative.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    missed = _underscored(spark, root, max_bytes)
+    if missed:
+        files = files.unionByName(spark.createDataFrame(missed, "path string, size long, mtime_ms long, content binary"))
+    binary = F.rlike(F.hex(F.substring("content", 1, SNIFFED_BYTES)), F.lit("^(?:..)*?00"))
+    reason = F.when(paths.is_skipped(F.col("path"), no_ignore), "ignored").when(F.col("size") > max_bytes, "too_large").when(binary, "binary")
     judged = files.withColumn("skip_reason", reason)
     return judged.select("path", paths.language_of(F.col("path")).alias("language"), "size", "mtime_ms", F.when(F.col("skip_reason").isNull(), F.decode("content", "UTF-8")).alias("content"), "skip_reason")
 
