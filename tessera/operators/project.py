@@ -80,7 +80,7 @@ def config_edges(files: DataFrame, roots: DataFrame) -> DataFrame:
     shared = ~F.contains("path", F.lit("/")) | first.isin("config", ".config")
     near = nearest_roots(found, roots, same_language=False)
     every = roots.agg(F.array_sort(F.collect_set("id")).alias("every"))  # roots are marker directories, one row holds them
-    joined = near.crossJoin(F.broadcast(every)).withColumn("root_ids", F.when(shared, F.col("every")).when(F.col("root_id").isNotNull(), F.array("root_id")).otherwise(F.array().cast("array<string>")))
+    joined = near.crossJoin(every).withColumn("root_ids", F.when(shared, F.col("every")).when(F.col("root_id").isNotNull(), F.array("root_id")).otherwise(F.array().cast("array<string>")))
     return joined.select("path", "config_kind", "root_ids", F.when(F.size("root_ids") == 0, "config_edge_unresolved").alias("caveat"))
 
 

@@ -31,8 +31,10 @@ def schedule(probes: DataFrame, batch: int, roots_per_provider: int) -> DataFram
 def cap_candidates(candidates: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     """The first ``most`` candidates of each key, with a flag where some were cut."""
     w = Window.partitionBy(key)
-    numbered = candidates.withColumns({"__n": F.row_number().over(w.orderBy(*order)), "__all": F.count(F.lit(1)).over(w)})
-    return numbered.where(F.col("__n") <= most).withColumn("truncated", F.col("__all") > most).drop("__n", "__all")
+    # one row more than asked tells whether some were cut; the rank limit is applied before the shuffle
+    kept = candidates.withColumn("__n", F.row_number().over(w.orderBy(*order))).where(F.col("__n") <= most + 1)
+    flagged = kept.withColumn("truncated", F.max("__n").over(w) > most)
+    return flagged.where(F.col("__n") <= most).drop("__n")
 
 
 def capability_state(capabilities: DataFrame) -> DataFrame:
