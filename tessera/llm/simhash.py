@@ -119,14 +119,18 @@ def _grouped(marked: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
 
 
 def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int, neighbours: int) -> DataFrame:
-    """Pairs (a, b) of first fingerprint words at most ``max_bits`` apart.
+    """Pairs (a, b) of nodes, named by their first fingerprint word, at most
+    ``max_bits`` of all their bits apart.
 
     Every word is cut into ``segments``, each indexed by its one-wildcard
     variants.  The members of a key are ordered by their first word and compared
     with the ``neighbours`` before them, so a key with n members costs n
     comparisons times a constant, never n squared: in a dense group neighbours
-    link each other, and a sparse key is compared completely.
+    link each other, and a sparse key is compared completely.  A bound on the
+    first word alone, three deviations wide, spares most pairs the join with all
+    words that verifies.
     """
+    first_bits = max_bits // words + 5
     width = BITS // segments
     variants = width + 1
     each = nodes.select("fp", F.posexplode(F.array("fp", *(f"fp{k}" for k in range(1, words)))).alias("word", "bits"))
@@ -138,14 +142,19 @@ def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int, ne
     order = Window.partitionBy("key").orderBy("fp")
     for k in range(1, neighbours + 1):
         keyed = keyed.withColumn(f"b{k}", F.lag("fp", k).over(order))
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits
-    close = keyed.where(F.col("b1").isNotNull()).select("fp", F.filter(F.array(*(f"b{k}" for k in range(1, neighbours + 1))), lambda b: near(b, F.col("fp"))).alias("close"))
-    # a neighbour that links with a nearer one is reached through it
-    apart = F.filter("close", lambda b, i: ~F.exists(F.slice("close", F.lit(1), i), lambda c: near(b, c)))
-    return close.select(F.col("fp").alias("a"), F.explode(apart).alias("b")).where("a <> b").distinct()
+    near = lambda x, y, bits: F.bit_count(x.bitwiseXOR(y)) <= bits
+    close = keyed.where(F.col("b1").isNotNull()).select("fp", F.filter(F.array(*(f"b{k}" for k in range(1, neighbours + 1))), lambda b: near(b, F.col("fp"), first_bits)).alias("close"))
+    # a neighbour that all but equals a nearer one is reached through it
+    apart = F.filter("close", lambda b, i: ~F.exists(F.slice("close", F.lit(1), i), lambda c: near(b, c, max_bits // words - 2)))
+    pairs = close.select(F.col("fp").alias("a"), F.explode(apart).alias("b")).where("a <> b").distinct()
+    names = ["fp", *(f"fp{k}" for k in range(1, words))]
+    side = lambda own: nodes.select(*[F.col(n).alias(own if n == "fp" else own + n) for n in names])
+    whole = split_join(split_join(pairs, side("a"), "a"), side("b"), "b")
+    differ = sum((F.bit_count(F.col("a" + n).bitwiseXOR(F.col("b" + n))) for n in names[1:]), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    return whole.where(differ <= max_bits).select("a", "b")
 
 
-def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4, segments: int = 3, max_bits: int = 10, neighbours: int = 4) -> DataFrame:
+def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4, segments: int = 3, max_bits: int = 44, neighbours: int = 4) -> DataFrame:
     """Near-dedup by similarity rather than a few bits: result and edge cases as
     in simhash_near_dedup.
 
@@ -153,8 +162,9 @@ def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     about 15 of 100 fingerprint bits, too many for the pigeonhole of one 64-bit
     word.  So candidates come from ``words`` words: with 4 words of 3 segments a
     pair of similarity 0.8 shares a one-wildcard variant with probability 0.9, of
-    0.9 with 0.99.  The first word verifies: at most ``max_bits`` of its 64 bits
-    may differ.  Documents with equal first words are one node.
+    0.9 with 0.99.  All words together verify: at most ``max_bits`` of their bits
+    may differ (44 of 256 lie one deviation beyond a similarity of 0.8).
+    Documents with equal first words are one node.
     """
     names = [f"fp{k}" for k in range(1, words)]
     marked = checkpoint(fingerprints(docs, id_col, text_col, shingle, words))
