@@ -868,3 +868,56 @@ def ambiguity_groups(spark: SparkSession, d: str) -> DataFrame:
 def coordinate_lookup(spark: SparkSession, d: str) -> DataFrame:
     at = Coordinate.parse("src1/en/doc1.txt:2#the")
     return adapters.occurrences(spark, d).where(at.covers() & (F.col("name") == at.symbol)).select("path", "name", F.col("start_line").alias("line"))
+
+
+# -- symbol strings, coverage, caps
+
+
+@query("SELECT item_id, n AS units, CAST(strlen(left(text, n)) AS INT) AS bytes FROM (SELECT item_id, text, unnest([0, 3, 10, 40]) AS n FROM benchmark)")
+def utf16_offsets(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.functions.symbolstrings import utf16_to_utf8
+
+    each = table(spark, d, "benchmark").select("item_id", "text", F.explode(F.array(*map(F.lit, [0, 3, 10, 40]))).alias("units"))
+    return each.select("item_id", "units", utf16_to_utf8(F.col("text"), F.col("units")).alias("bytes"))
+
+
+@query(
+    """SELECT p_partkey, 'tessera . ' || replace(p_brand, ' ', '  ') || ' ' || p_size || ' ' || CASE WHEN regexp_matches(p_type, '^[A-Za-z0-9_+$-]+$') THEN p_type ELSE '`' || p_type || '`' END || '/'
+              || CASE WHEN regexp_matches(p_name, '^[A-Za-z0-9_+$-]+$') THEN p_name ELSE '`' || p_name || '`' END || CASE p_size % 3 WHEN 0 THEN '#' WHEN 1 THEN '().' ELSE '.' END AS symbol FROM part"""
+)
+def symbol_strings(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.functions.symbolstrings import descriptor, symbol_string
+
+    kind = F.element_at(F.array(F.lit("class"), F.lit("method"), F.lit("field")), (F.col("p_size") % 3 + 1).cast("int"))
+    made = F.array(descriptor(F.col("p_type"), F.lit("module")), descriptor(F.col("p_name"), kind))
+    return table(spark, d, "part").select("p_partkey", symbol_string("tessera", F.lit(""), F.col("p_brand"), F.col("p_size").cast("string"), made).alias("symbol"))
+
+
+@query(
+    f"""WITH {_MANIFESTS}, x AS (SELECT language, root_id, CASE state WHEN 'stale' THEN 'missing' WHEN 'updating' THEN 'manual_required' ELSE state END AS state, s_suppkey FROM m)
+    SELECT language, 'v' || min(s_suppkey % 3) AS provider, arg_min(state, list_position(['partial', 'manual_required', 'missing', 'fresh'], state)) AS precise, count(DISTINCT root_id) AS roots,
+           coalesce(string_agg(DISTINCT CASE WHEN state <> 'fresh' THEN state END, ',' ORDER BY CASE WHEN state <> 'fresh' THEN state END), '') AS partial_reasons FROM x GROUP BY 1"""
+)
+def language_coverage(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.coverage import language_coverage as covered
+
+    state = F.when(F.col("state") == "stale", "missing").when(F.col("state") == "updating", "manual_required").otherwise(F.col("state"))
+    roots = _manifests(spark, d).withColumn("state", state)
+    roots = roots.select("root_id", "language", "state", F.concat(F.lit("v"), (F.col("s_suppkey") % 3).cast("string")).alias("provider"), F.when(F.col("state") != "fresh", F.col("state")).alias("reason"))
+    return covered(roots).withColumn("partial_reasons", F.array_join("partial_reasons", ","))
+
+
+@query(f"WITH {_MANIFESTS}, b AS (SELECT count(DISTINCT root_id) AS n FROM m WHERE state <> 'fresh') SELECT DISTINCT 'o' || o_custkey AS path, n AS blocked_roots FROM orders, b WHERE n > 0")
+def misaligned_files(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.coverage import misaligned_files as misaligned
+
+    changed = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("path")).distinct()
+    return misaligned(changed, _manifests(spark, d).where("state <> 'fresh'"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT p_type || ':' || p_brand) AS groups, CAST(sum(p_size) AS BIGINT) AS lines, 3 AS visible FROM part")
+def visible_code(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.coverage import visible_code as visible
+
+    rows = table(spark, d, "part").select(F.lit("src/a").alias("path"), F.col("p_type").alias("kind"), F.col("p_brand").alias("container"), F.col("p_size").alias("lines"))
+    return visible(rows)

@@ -262,3 +262,37 @@ def test_defs_rank_precise_first(spark, code):
     got = Engine(code, occurrences=occ, symbol_table=sym).defs("Price").rows.collect()
     assert [(r.path, r.reliability) for r in got] == [("z.py", "precise_fact"), ("src/a.py", "parser_fact")]
     assert Engine(code).refs("price").rows.count() == 0
+
+
+def test_caveats(spark):
+    from tessera.functions.caveats import caveat_table
+
+    got = {r.code: r for r in caveat_table(spark).collect()}
+    assert len(got) == 41 and got["no_match"].severity == "warning" and got["read_failed"].category == "error" and got["parser_fact"].severity == "info"
+
+
+def test_utf16_offsets_of_wide_characters(spark):
+    from tessera.functions.symbolstrings import utf16_to_utf8
+
+    df = frame(spark, [("aé🙂b", 0), ("aé🙂b", 2), ("aé🙂b", 4), ("aé🙂b", 5)], "t string, n int")
+    assert [r.b for r in df.select(utf16_to_utf8(F.col("t"), F.col("n")).alias("b")).collect()] == [0, 3, 7, 8]
+
+
+def test_index_life(spark, tmp_path):
+    from tessera.plans.index import Index
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "a.py").write_text("needle = 1\n")
+    (tree / "b.py").write_text("other = 1\n")
+    index = Index(spark, store.SnapshotStore(spark, str(tmp_path / "store")), str(tree))
+    snapshot = index.build()
+    assert index.verify(snapshot) == 0 and not index.update(snapshot)
+    (tree / "b.py").write_text("Needle = 2\n")
+    (tree / "c.py").write_text("needle = 3\n")
+    spark.catalog.clearCache()
+    assert index.verify(snapshot) == 6
+    files = index.engine(snapshot)
+    assert {r.path for r in files.find("needle").rows.collect()} == {"a.py", "b.py", "c.py"}
+    assert {r.path: r.source for r in files.files.collect()} == {"a.py": "index", "b.py": "overlay", "c.py": "overlay"}
+    assert index.update(snapshot) and index.verify(snapshot) == 0
