@@ -55,6 +55,17 @@ def split_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: st
     return left.withColumn("__part", part).join(right.withColumn("__part", part), [*keys, "__part"], how).drop("__part")
 
 
+def bounded_sample(rows: DataFrame, key: str, total: int, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hash of ``key``, of ``total`` rows.
+
+    A bound on the hash that twice as many rows are expected to meet comes first,
+    so what tasks hand on for the final order follows ``most`` and not the
+    number of tasks."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    share = min(1.0, (2 * most + 100) / max(total, 1))
+    return rows.where(place < F.lit(int(share * (1 << 40)))).orderBy(place, key).limit(most)
+
+
 #: Partial sums of a map stage: ``part`` numbers the task, ``sums`` is a float64 vector.
 SUMS = "block int, part int, sums binary"
 FAN_IN = 64

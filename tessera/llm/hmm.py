@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
-from tessera.llm.common import SUMS, checkpoint, documents, shuffle_partitions, text_bytes, tree_sum
+from tessera.llm.common import SUMS, bounded_sample, checkpoint, documents, shuffle_partitions, text_bytes, tree_sum
 from tessera.llm.quality import held_out
 from tessera.llm.substring_dedup import _bucket_of, pack_sorted, unpack_sorted
 
@@ -338,7 +338,7 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     answers = totals.where("kind = 0").drop("kind")
     encoded = checkpoint(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encode(vocabulary), ENCODED))
     training = encoded.where(~F.col("held_out")).select("classes", "doc_id", "n_tokens")
-    starters = training.where(F.col("n_tokens") <= INIT_TOKENS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(init_docs)
+    starters = bounded_sample(training.where(F.col("n_tokens") <= INIT_TOKENS), "doc_id", int(stats[0][END_CLASS]), init_docs)
     sample = [np.frombuffer(r.classes, np.uint16) for r in starters.select("classes").collect()]
     model = Hmm.random(states, vocabulary.classes)
     for _ in range(init_passes):

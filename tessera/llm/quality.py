@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
-from tessera.llm.common import SUMS, checkpoint, documents, split_join, tree_sum
+from tessera.llm.common import SUMS, bounded_sample, checkpoint, documents, split_join, tree_sum
 
 ROWS, DIMS, NONZERO, BLOCKS = 4096, 64, 4, 16
 SEED = 7
@@ -198,8 +198,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     pooled = checkpoint(document_vectors(base, word_vectors(base)))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = split_join(pooled.dropDuplicates(["doc_id"]), known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
-    rows = sample.select("features", "y").collect()
+    sample = bounded_sample(known, "doc_id", known.count(), max_train_rows)
+    rows = split_join(pooled.dropDuplicates(["doc_id"]), sample, "doc_id").orderBy("doc_id").select("features", "y").collect()
     x = np.array([np.frombuffer(r.features, np.float32) for r in rows], np.float64).reshape(len(rows), FEATURES)
     network = Network().fit(x, np.array([r.y for r in rows], np.float64))
 
