@@ -348,8 +348,8 @@ def symbol_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TOKENS} SELECT name, language, path, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column" FROM o WHERE role = 'definition' AND lower(name) = 'the'""")
 def defs(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.occurrences(spark, d)
-    found = symbols.definitions(rows, InputPlan("The").matched_kind([F.col("name")]).isNotNull())
+    named = InputPlan("The").matched_kind([F.col("name")]).isNotNull()
+    found = symbols.definitions(adapters.occurrences(spark, d, named), F.lit(True))
     return found.select("name", "language", "path", F.col("start_line").cast("long").alias("line"), F.col("start_column").cast("long").alias("column"))
 
 
@@ -359,15 +359,15 @@ def defs(spark: SparkSession, d: str) -> DataFrame:
     FROM o JOIN dd ON dd.symbol_key = o.symbol_key WHERE role = 'reference' AND lower(name) = 'that'"""
 )
 def refs_with_definition(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.occurrences(spark, d)
-    hits = rows.where("role = 'reference'").where(InputPlan("that").matched_kind([F.col("name")]).isNotNull())
+    rows = adapters.occurrences(spark, d, InputPlan("that").matched_kind([F.col("name")]).isNotNull())
+    hits = rows.where("role = 'reference'")
     return symbols.references_with_definition(hits, rows.where("role = 'definition'")).select("symbol_key", "path", "start_line", "start_column", "def_path", "def_line", "def_column")
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT language, name FROM o WHERE contains(lower(name), 'tion')")
 def symbols_contains(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.occurrences(spark, d).where("role = 'definition'")
-    return rows.where(InputPlan("tion").matched_kind([F.col("name")], contains=True).isNotNull()).select("language", "name").distinct()
+    rows = adapters.occurrences(spark, d, InputPlan("tion").matched_kind([F.col("name")], contains=True).isNotNull())
+    return rows.where("role = 'definition'").select("language", "name").distinct()
 
 
 @query(
@@ -867,7 +867,7 @@ def ambiguity_groups(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TOKENS} SELECT path, name, line FROM o WHERE path = 'src1/en/doc1.txt' AND line = 2 AND name = 'the'")
 def coordinate_lookup(spark: SparkSession, d: str) -> DataFrame:
     at = Coordinate.parse("src1/en/doc1.txt:2#the")
-    return adapters.occurrences(spark, d).where(at.covers() & (F.col("name") == at.symbol)).select("path", "name", F.col("start_line").alias("line"))
+    return adapters.occurrences(spark, d, F.col("name") == at.symbol).where(at.covers()).select("path", "name", F.col("start_line").alias("line"))
 
 
 # -- symbol strings, coverage, caps

@@ -41,8 +41,11 @@ def snapshot_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.unionByName(new).select("path", "language", F.octet_length("content").cast("long").alias("size"), "mtime_ms", F.lit(0o644).cast("long").alias("mode"), F.sha2("content", 256).alias("hash"), "content")
 
 
-def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.tokens_as_occurrences(search.tokens(files(spark, sf_dir)))
+def occurrences(spark: SparkSession, sf_dir: str, named: Column | None = None) -> DataFrame:
+    """Identifiers of documents as occurrences; ``named`` restricts the names, and
+    is applied before definitions are found, which a name decides by itself."""
+    found = search.tokens(files(spark, sf_dir))
+    return symbols.tokens_as_occurrences(found if named is None else found.where(named))
 
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
