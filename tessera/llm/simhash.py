@@ -11,11 +11,13 @@ fingerprints are one node, however many documents share them.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
@@ -118,43 +120,99 @@ def _grouped(marked: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
     )
 
 
-def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int, neighbours: int) -> DataFrame:
-    """Pairs (a, b) of nodes, named by their first fingerprint word, at most
-    ``max_bits`` of all their bits apart.
+#: Members of a ball lie within this many bits of its centre, of all and of the first word.
+BALL_BITS, BALL_FIRST_BITS = 24, 6
 
-    Every word is cut into ``segments``, each indexed by its one-wildcard
-    variants.  The members of a key are ordered by their first word and compared
-    with the ``neighbours`` before them, so a key with n members costs n
-    comparisons times a constant, never n squared: in a dense group neighbours
-    link each other, and a sparse key is compared completely.  A bound on the
-    first word alone, three deviations wide, spares most pairs the join with all
-    words that verifies.
-    """
-    first_bits = max_bits // words + 5
+
+def _names(words: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, words))]
+
+
+def _differ(names: list[str], a: str = "", b: str = "") -> Column:
+    """Differing bits of two fingerprints whose words have these prefixes."""
+    return functools.reduce(operator.add, (F.bit_count(F.col(a + n).bitwiseXOR(F.col(b + n))) for n in names))
+
+
+def _entries(nodes: DataFrame, carry: list[str], words: int, segments: int, wild: bool) -> DataFrame:
+    """The columns ``carry`` and a key for each segment of each word; with
+    ``wild`` also a key for each segment with one of its bits wiped."""
     width = BITS // segments
-    variants = width + 1
-    each = nodes.select("fp", F.posexplode(F.array("fp", *(f"fp{k}" for k in range(1, words)))).alias("word", "bits"))
-    each = each.select("fp", "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(segments * variants - 1))).alias("n"))
+    variants = width + 1 if wild else 1
+    each = nodes.select(*carry, F.posexplode(F.array(*_names(words))).alias("word", "bits"))
+    each = each.select(*carry, "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(segments * variants - 1))).alias("n"))
     segment = F.expr(f"shiftrightunsigned(bits, int(n div {variants}) * {width}) & {(1 << width) - 1}L")
-    wiped = each.select("fp", segment.alias("segment"), F.expr(f"int(n % {variants}) - 1").alias("bit"), F.expr(f"word * {segments * variants} + n").alias("n"))
+    number = F.expr(f"word * {segments * variants} + n")
+    wiped = each.select(*carry, segment.alias("segment"), F.expr(f"int(n % {variants}) - 1").alias("bit"), number.alias("n"))
     # a wiped bit is kept in the number of the variant; the untouched segment is variant 0
-    keyed = wiped.select("fp", F.expr("shiftleft(bigint(n), 40) ^ IF(bit < 0, segment, segment & ~shiftleft(1L, greatest(bit, 0)))").alias("key"))
-    order = Window.partitionBy("key").orderBy("fp")
-    for k in range(1, neighbours + 1):
-        keyed = keyed.withColumn(f"b{k}", F.lag("fp", k).over(order))
-    near = lambda x, y, bits: F.bit_count(x.bitwiseXOR(y)) <= bits
-    close = keyed.where(F.col("b1").isNotNull()).select("fp", F.filter(F.array(*(f"b{k}" for k in range(1, neighbours + 1))), lambda b: near(b, F.col("fp"), first_bits)).alias("close"))
-    # a neighbour that all but equals a nearer one is reached through it
-    apart = F.filter("close", lambda b, i: ~F.exists(F.slice("close", F.lit(1), i), lambda c: near(b, c, max_bits // words - 2)))
-    pairs = close.select(F.col("fp").alias("a"), F.explode(apart).alias("b")).where("a <> b").distinct()
-    names = ["fp", *(f"fp{k}" for k in range(1, words))]
-    side = lambda own: nodes.select(*[F.col(n).alias(own if n == "fp" else own + n) for n in names])
-    whole = split_join(split_join(pairs, side("a"), "a"), side("b"), "b")
-    differ = sum((F.bit_count(F.col("a" + n).bitwiseXOR(F.col("b" + n))) for n in names[1:]), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
-    return whole.where(differ <= max_bits).select("a", "b")
+    return wiped.select(*carry, F.expr("shiftleft(bigint(n), 40) ^ IF(bit < 0, segment, segment & ~shiftleft(1L, greatest(bit, 0)))").alias("key"))
 
 
-def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4, segments: int = 3, max_bits: int = 44, neighbours: int = 4) -> DataFrame:
+def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int) -> DataFrame:
+    """Links (a, b) between nodes, named by their first fingerprint word, at most
+    ``max_bits`` of all their bits apart.
+
+    Candidates are all pairs that share a one-wildcard variant of a segment and
+    differ in at most ``max_bits // words + 5`` bits of the first word, three
+    deviations.  No key is cut short; what is spared is comparing nodes that are
+    known to be connected, so the links given connect exactly what linking every
+    close candidate would:
+
+    * neighbours in the order of an untouched segment that are close are linked
+      first, which gathers dense groups at a cost linear in their size;
+    * a key whose nodes are all in one such group is done;
+    * elsewhere nodes near the first node of their group stand behind it, as a
+      ball, and a ball meets those of other groups.  Members are compared only
+      for balls whose centres are close enough to allow a link.
+    """
+    names = _names(words)
+    first_bits = max_bits // words + 5
+    nodes = checkpoint(nodes.select(*names))
+
+    before = F.lag(F.struct(*names)).over(Window.partitionBy("key").orderBy("fp"))
+    beside = _entries(nodes, names, words, segments, False).select(*names, before.alias("b")).where("b IS NOT NULL")
+    beside = beside.select(*names, *(F.col(f"b.{n}").alias("b" + n) for n in names)).where(_differ(names, "", "b") <= max_bits)
+    sure = checkpoint(beside.select(F.col("fp").alias("a"), F.col("bfp").alias("b")).distinct())
+    groups = connected_components(sure).withColumnRenamed("node", "fp")
+
+    placed = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    centres = split_join(nodes.select(F.col("fp").alias("component"), *(F.col(n).alias("c" + n) for n in names)), sizes, "component")
+    inside = (_differ(names, "", "c") <= BALL_BITS) & (_differ(["fp"], "", "c") <= BALL_FIRST_BITS)
+    ball = F.when(inside, F.col("component")).otherwise(F.col("fp"))
+    wide = F.expr("int(size > 1 AND ball = component)")
+    balled = checkpoint(split_join(placed, centres, "component").select(*names, "component", "size", ball.alias("ball")).withColumn("wide", wide))
+
+    group, over = F.struct("size", "component"), Window.partitionBy("key")
+    carry = ["ball", "component", "size", "wide"]
+    keyed = _entries(balled, carry, words, segments, True)
+    keyed = keyed.select(*carry, "key", F.max(group).over(over).alias("most"), F.min(group).over(over).alias("least")).where("most <> least")
+    mixed = checkpoint(keyed.select("key", "ball", "component", "wide", F.expr("component = most.component").alias("lead")).distinct())
+    side = lambda own: [F.col(n).alias(own + n) for n in ("ball", "component", "wide")]
+    # the largest group of a key meets the others, never itself
+    met = split_join(mixed.where("NOT lead").select("key", *side("a_")), mixed.select("key", *side("b_")), "key")
+    met = met.where(f"a_component <> b_component AND bit_count(a_ball ^ b_ball) <= {first_bits} + {BALL_FIRST_BITS} * (a_wide + b_wide)")
+    met = met.select(
+        F.least("a_ball", "b_ball").alias("afp"), F.greatest("a_ball", "b_ball").alias("bfp"),
+        F.expr("IF(a_ball < b_ball, a_wide, b_wide)").alias("awide"), F.expr("IF(a_ball < b_ball, b_wide, a_wide)").alias("bwide"),
+    ).distinct()
+    for own in "ab":
+        met = split_join(met, nodes.select(*(F.col(n).alias(own + n) for n in names)), own + "fp")
+    apart = _differ(names, "a", "b")
+    met = checkpoint(met.where(apart <= F.expr(f"{max_bits} + {BALL_BITS} * (awide + bwide)")).withColumn("apart", apart))
+    direct = met.where(F.col("apart") <= max_bits).select(F.col("afp").alias("a"), F.col("bfp").alias("b"))
+
+    def members(own: str, other: str) -> DataFrame:
+        """Members of one ball of each undecided pair that the other may reach."""
+        open_pairs = met.where(F.col("apart") > max_bits).withColumn("ball", F.col(own + "fp"))
+        found = split_join(open_pairs, balled.select("ball", *(F.col(n).alias("m" + n) for n in names)), "ball")
+        found = found.where(_differ(names, "m", other) <= F.lit(max_bits) + BALL_BITS * F.col(other + "wide"))
+        return found.select("afp", "bfp", *(F.col("m" + n).alias(own + "m" + n) for n in names))
+
+    inner = split_join(members("a", "b"), members("b", "a"), ["afp", "bfp"]).where(_differ(names, "am", "bm") <= max_bits)
+    return sure.unionByName(direct).unionByName(inner.select(F.col("amfp").alias("a"), F.col("bmfp").alias("b")))
+
+
+def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4, segments: int = 3, max_bits: int = 44) -> DataFrame:
     """Near-dedup by similarity rather than a few bits: result and edge cases as
     in simhash_near_dedup.
 
@@ -166,7 +224,7 @@ def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     may differ (44 of 256 lie one deviation beyond a similarity of 0.8).
     Documents with equal first words are one node.
     """
-    names = [f"fp{k}" for k in range(1, words)]
     marked = checkpoint(fingerprints(docs, id_col, text_col, shingle, words))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), *(F.min(n).alias(n) for n in names))
-    return _grouped(marked, nodes.select("fp", "least"), similar_links(nodes, words, segments, max_bits, neighbours))
+    names = _names(words)
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(*names)).alias("w"))
+    return _grouped(marked, nodes.select("fp", "least"), similar_links(nodes.select("w.*"), words, segments, max_bits))

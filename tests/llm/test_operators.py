@@ -240,6 +240,47 @@ def test_every_pair_of_close_fingerprints_is_found(spark):
     assert found == {frozenset(p) for p in itertools.combinations(signed, 2) if ((p[0] ^ p[1]) & mask).bit_count() <= 2}
 
 
+def test_similar_links_connect_what_all_candidates_would(spark):
+    from tessera.llm.components import connected_components
+    from tessera.llm.simhash import similar_links
+
+    rng = np.random.default_rng(3)
+    words, segments, most = 4, 3, 44
+    bits = []
+    for centre in rng.integers(0, 2, (6, 256)):
+        moved = [centre ^ (rng.random(256) < share) for share in (0.05, 0.1, 0.15, 0.2)]  # groups near one another
+        bits += [m ^ (rng.random(256) < spread) for m in moved for spread in np.linspace(0.0, 0.12, 12)]
+    bits = np.array(bits + list(rng.integers(0, 2, (40, 256))), np.uint64)
+    fps = (bits.reshape(len(bits), words, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    own = np.sort(np.unique(fps[:, 0], return_index=True)[1])  # a node is named by its first word
+    bits, fps = bits[own], fps[own]
+    far = (bits[:, None] != bits[None]).sum(axis=2)
+    first = (bits[:, None, :64] != bits[None, :, :64]).sum(axis=2)
+    cut = [slice(64 * w + 21 * s, 64 * w + 21 * s + 21) for w in range(words) for s in range(segments)]
+    shared = np.any([(bits[:, None, c] != bits[None, :, c]).sum(axis=2) <= 1 for c in cut], axis=0)
+
+    def groups(linked):
+        root = np.arange(len(bits))
+        while True:
+            new = np.array([min(root[j] for j in np.flatnonzero(linked[i])) for i in range(len(bits))])
+            if (new == root).all():
+                return root
+            root = new
+
+    least, whole = groups(shared & (first <= most // words + 5) & (far <= most)), groups(far <= most)
+    names = ["fp", "fp1", "fp2", "fp3"]
+    nodes = spark.createDataFrame([tuple(map(int, r)) for r in fps.view(np.int64)], ", ".join(f"{n} long" for n in names))
+    at = {int(f): i for i, f in enumerate(fps[:, 0].view(np.int64))}
+    links = similar_links(nodes, words, segments, most)
+    assert all(far[at[r.a], at[r.b]] <= most for r in links.collect())
+    component = {at[r.node]: r.component for r in connected_components(links).collect()}
+    of = [component.get(i, int(fps[i, 0].view(np.int64))) for i in range(len(bits))]
+    assert 6 < len(set(least)) < len(bits) and len(set(of)) >= len(set(whole))
+    for i, j in itertools.combinations(range(len(bits)), 2):
+        assert of[i] == of[j] or least[i] != least[j]
+        assert of[i] != of[j] or whole[i] == whole[j]
+
+
 def test_similar_texts_meet(spark, messy, empty):
     from tessera.llm.simhash import simhash_similar
 
