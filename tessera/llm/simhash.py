@@ -133,11 +133,11 @@ def _differ(names: list[str], a: str = "", b: str = "") -> Column:
     return functools.reduce(operator.add, (F.bit_count(F.col(a + n).bitwiseXOR(F.col(b + n))) for n in names))
 
 
-def _entries(nodes: DataFrame, carry: list[str], words: int, segments: int, wild: bool) -> DataFrame:
-    """The columns ``carry`` and a key for each segment of each word; with
-    ``wild`` also a key for each segment with one of its bits wiped."""
+def _entries(nodes: DataFrame, carry: list[str], words: int, segments: int) -> DataFrame:
+    """The columns ``carry`` and a key for each segment of each word, as it is and
+    with each of its bits wiped."""
     width = BITS // segments
-    variants = width + 1 if wild else 1
+    variants = width + 1
     each = nodes.select(*carry, F.posexplode(F.array(*_names(words))).alias("word", "bits"))
     each = each.select(*carry, "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(segments * variants - 1))).alias("n"))
     segment = F.expr(f"shiftrightunsigned(bits, int(n div {variants}) * {width}) & {(1 << width) - 1}L")
@@ -147,7 +147,25 @@ def _entries(nodes: DataFrame, carry: list[str], words: int, segments: int, wild
     return wiped.select(*carry, F.expr("shiftleft(bigint(n), 40) ^ IF(bit < 0, segment, segment & ~shiftleft(1L, greatest(bit, 0)))").alias("key"))
 
 
-def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int) -> DataFrame:
+def _neighbour_links(nodes: DataFrame, words: int, segments: int, max_bits: int, neighbours: int) -> DataFrame:
+    """Links of each node with those of the ``neighbours`` before it in a key that are close."""
+    names = _names(words)
+    keyed = _entries(nodes, ["fp"], words, segments)
+    order = Window.partitionBy("key").orderBy("fp")
+    for k in range(1, neighbours + 1):
+        keyed = keyed.withColumn(f"b{k}", F.lag("fp", k).over(order))
+    near = lambda x, y, bits: F.bit_count(x.bitwiseXOR(y)) <= bits
+    before = F.array(*(f"b{k}" for k in range(1, neighbours + 1)))
+    close = keyed.where("b1 IS NOT NULL").select("fp", F.filter(before, lambda b: near(b, F.col("fp"), max_bits // words + 5)).alias("close"))
+    # a neighbour that all but equals a nearer one is reached through it
+    apart = F.filter("close", lambda b, i: ~F.exists(F.slice("close", F.lit(1), i), lambda c: near(b, c, max_bits // words - 2)))
+    met = close.select(F.col("fp").alias("afp"), F.explode(apart).alias("bfp")).distinct()
+    for own in "ab":
+        met = split_join(met, nodes.select(*(F.col(n).alias(own + n) for n in names)), own + "fp")
+    return met.where(_differ(names, "a", "b") <= max_bits).select(F.col("afp").alias("a"), F.col("bfp").alias("b"))
+
+
+def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int, neighbours: int = 4) -> DataFrame:
     """Links (a, b) between nodes, named by their first fingerprint word, at most
     ``max_bits`` of all their bits apart.
 
@@ -157,40 +175,40 @@ def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int) ->
     known to be connected, so the links given connect exactly what linking every
     close candidate would:
 
-    * neighbours in the order of an untouched segment that are close are linked
-      first, which gathers dense groups at a cost linear in their size;
+    * the members of a key are ordered by their first word, and those close to one
+      of the ``neighbours`` before them are linked first, which gathers dense
+      groups at a cost linear in their size;
     * a key whose nodes are all in one such group is done;
     * elsewhere nodes near the first node of their group stand behind it, as a
       ball, and a ball meets those of other groups.  Members are compared only
       for balls whose centres are close enough to allow a link.
+
+    Groups travel as a 6-bit logarithm of their size and a 58-bit hash.
     """
     names = _names(words)
     first_bits = max_bits // words + 5
     nodes = checkpoint(nodes.select(*names))
 
-    before = F.lag(F.struct(*names)).over(Window.partitionBy("key").orderBy("fp"))
-    beside = _entries(nodes, names, words, segments, False).select(*names, before.alias("b")).where("b IS NOT NULL")
-    beside = beside.select(*names, *(F.col(f"b.{n}").alias("b" + n) for n in names)).where(_differ(names, "", "b") <= max_bits)
-    sure = checkpoint(beside.select(F.col("fp").alias("a"), F.col("bfp").alias("b")).distinct())
+    sure = checkpoint(_neighbour_links(nodes, words, segments, max_bits, neighbours))
     groups = connected_components(sure).withColumnRenamed("node", "fp")
 
     placed = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     centres = split_join(nodes.select(F.col("fp").alias("component"), *(F.col(n).alias("c" + n) for n in names)), sizes, "component")
     inside = (_differ(names, "", "c") <= BALL_BITS) & (_differ(["fp"], "", "c") <= BALL_FIRST_BITS)
-    ball = F.when(inside, F.col("component")).otherwise(F.col("fp"))
-    wide = F.expr("int(size > 1 AND ball = component)")
-    balled = checkpoint(split_join(placed, centres, "component").select(*names, "component", "size", ball.alias("ball")).withColumn("wide", wide))
-
-    group, over = F.struct("size", "component"), Window.partitionBy("key")
-    carry = ["ball", "component", "size", "wide"]
-    keyed = _entries(balled, carry, words, segments, True)
-    keyed = keyed.select(*carry, "key", F.max(group).over(over).alias("most"), F.min(group).over(over).alias("least")).where("most <> least")
-    mixed = checkpoint(keyed.select("key", "ball", "component", "wide", F.expr("component = most.component").alias("lead")).distinct())
-    side = lambda own: [F.col(n).alias(own + n) for n in ("ball", "component", "wide")]
+    ball = F.when(inside, F.col("component")).otherwise(F.col("fp")).alias("ball")
+    hashed = "shiftrightunsigned(xxhash64({}), 6)"
+    code = F.expr(f"IF(size > 1, shiftleft(bigint(log2(size)), 58) | {hashed.format('component')}, NULL)").alias("code")
+    balled = checkpoint(split_join(placed, centres, "component").select(*names, ball, code))
+
+    keyed = _entries(balled, ["ball", "code"], words, segments).withColumn("group", F.expr(f"coalesce(code, {hashed.format('ball')})"))
+    over = Window.partitionBy("key")
+    keyed = keyed.withColumns({"most": F.max("group").over(over), "least": F.min("group").over(over)}).where("most <> least")
+    mixed = checkpoint(keyed.select("key", "ball", "group", F.expr("int(code IS NOT NULL)").alias("wide"), F.expr("group = most").alias("lead")).distinct())
+    side = lambda own: [F.col(n).alias(own + n) for n in ("ball", "group", "wide")]
     # the largest group of a key meets the others, never itself
     met = split_join(mixed.where("NOT lead").select("key", *side("a_")), mixed.select("key", *side("b_")), "key")
-    met = met.where(f"a_component <> b_component AND bit_count(a_ball ^ b_ball) <= {first_bits} + {BALL_FIRST_BITS} * (a_wide + b_wide)")
+    met = met.where(f"a_group <> b_group AND bit_count(a_ball ^ b_ball) <= {first_bits} + {BALL_FIRST_BITS} * (a_wide + b_wide)")
     met = met.select(
         F.least("a_ball", "b_ball").alias("afp"), F.greatest("a_ball", "b_ball").alias("bfp"),
         F.expr("IF(a_ball < b_ball, a_wide, b_wide)").alias("awide"), F.expr("IF(a_ball < b_ball, b_wide, a_wide)").alias("bwide"),

@@ -271,7 +271,7 @@ def test_similar_links_connect_what_all_candidates_would(spark):
     names = ["fp", "fp1", "fp2", "fp3"]
     nodes = spark.createDataFrame([tuple(map(int, r)) for r in fps.view(np.int64)], ", ".join(f"{n} long" for n in names))
     at = {int(f): i for i, f in enumerate(fps[:, 0].view(np.int64))}
-    links = similar_links(nodes, words, segments, most)
+    links = similar_links(nodes, words, segments, most, neighbours=1)
     assert all(far[at[r.a], at[r.b]] <= most for r in links.collect())
     component = {at[r.node]: r.component for r in connected_components(links).collect()}
     of = [component.get(i, int(fps[i, 0].view(np.int64))) for i in range(len(bits))]
