@@ -154,8 +154,8 @@ def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int) ->
     Candidates are all pairs that share a one-wildcard variant of a segment and
     differ in at most ``max_bits // words + 5`` bits of the first word, three
     deviations.  No key is cut short; what is spared is comparing nodes that are
-    known to be connected, so the links given connect exactly what linking every
-    close candidate would:
+    known to be connected, so the links given connect all that linking every close
+    candidate would, and now and then another pair that is as close:
 
     * neighbours in the order of an untouched segment that are close are linked
       first, which gathers dense groups at a cost linear in their size;
