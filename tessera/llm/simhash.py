@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from tessera.llm import textops
 from tessera.llm.common import checkpoint, documents, split_join
 from tessera.llm.components import connected_components
 
-BITS = 64
+BITS, MINHASH_SEED, BLOCK = 64, 8, 256
 
 
 def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -38,20 +39,26 @@ def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def shingle_hashes(run: list[bytes], shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of each text, with repeats (fewer words: all of them,
+    none: no shingle), and where each text's begin, plus the total."""
+    found = textops.to_words(run, lower=True)
+    sizes = np.diff(found.first)
+    number = np.where(sizes >= shingle, sizes - shingle + 1, np.minimum(sizes, 1))
+    first = np.zeros(len(run) + 1, np.int64)
+    np.cumsum(number, out=first[1:])
+    begin = np.repeat(found.first[:-1] - first[:-1], number) + np.arange(first[-1])
+    last = np.minimum(begin + shingle - 1, np.repeat(found.first[1:] - 1, number))
+    return textops.xxh64_spans(found.buffer, found.starts[begin], found.ends[last], seed), first
+
+
 def fingerprint_batch(texts: list[bytes], shingle: int = 3, seed: int = 42, words: int = 1) -> np.ndarray:
     """SimHash of each text, ``words`` 64-bit words a row: A-Z lowered,
     ``shingle``-word shingles with repeats (fewer words: all of them, none:
     zero), XXH64 of each, majority."""
     out = [np.zeros((0, words), np.uint64)]
     for _, run in textops.batches(texts):
-        found = textops.to_words(run, lower=True)
-        sizes = np.diff(found.first)
-        number = np.where(sizes >= shingle, sizes - shingle + 1, np.minimum(sizes, 1))
-        first = np.zeros(len(run) + 1, np.int64)
-        np.cumsum(number, out=first[1:])
-        begin = np.repeat(found.first[:-1] - first[:-1], number) + np.arange(first[-1])
-        last = np.minimum(begin + shingle - 1, np.repeat(found.first[1:] - 1, number))
-        hashes = textops.xxh64_spans(found.buffer, found.starts[begin], found.ends[last], seed)
+        hashes, first = shingle_hashes(run, shingle, seed)
         out.append(np.stack([textops.bit_majority(_mixed(hashes, k), first) for k in range(words)], axis=1))
     return np.concatenate(out)
 
@@ -212,19 +219,152 @@ def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int) ->
     return sure.unionByName(direct).unionByName(inner.select(F.col("amfp").alias("a"), F.col("bmfp").alias("b")))
 
 
-def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4, segments: int = 3, max_bits: int = 44) -> DataFrame:
+def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """MinHash band keys, one row a text: each key mixes the least values of
+    ``rows`` permutations of the text's shingle hashes.  Texts have shingles."""
+    draw = np.random.default_rng(MINHASH_SEED)
+    keys = np.empty((len(first) - 1, bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(bands):
+            key = np.full(len(first) - 1, band, np.uint64)
+            for _ in range(rows):
+                turn, odd = draw.integers(0, 2**64, 2, dtype=np.uint64)
+                key = (key ^ np.minimum.reduceat((hashes ^ turn) * (odd | np.uint64(1)), first[:-1])) * textops.P1
+                key ^= key >> np.uint64(29)
+            keys[:, band] = key
+    return keys
+
+
+def _signed(docs: DataFrame, shingle: int, seed: int, bands: int, rows: int, sets: bool) -> DataFrame:
+    """(doc_id, fp, node, size, keys) or, with ``sets``, (node, shingles) of each
+    row of ``docs``.  A node is a distinct shingle set, named by its hash (none:
+    zero); shingles are its sorted 64-bit hashes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at, texts in textops.batches(textops.as_bytes(part.column(1))):
+                hashes, first = shingle_hashes(texts, shingle, seed)
+                own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
+                node = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - 2**63 if len(x) else 0 for x in own], pa.int64())
+                if sets:
+                    yield pa.RecordBatch.from_arrays([node, pa.array([x.tobytes() for x in own], pa.binary())], ["node", "shingles"])
+                    continue
+                full = np.flatnonzero(np.diff(first) > 0)
+                keys = band_keys(hashes, np.append(first[:-1][full], first[-1]), bands, rows).view(np.int64) if len(full) else np.zeros((0, bands), np.int64)
+                offsets = np.append(0, np.cumsum(np.where(np.diff(first) > 0, bands, 0)))
+                columns = [
+                    part.column(0).slice(at, len(texts)), pa.array(textops.bit_majority(hashes, first).view(np.int64)), node,
+                    pa.array([len(x) for x in own], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.reshape(-1))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "size", "keys"])
+
+    return docs.mapInArrow(run, "node long, shingles binary" if sets else "doc_id long, fp long, node long, size int, keys array<long>")
+
+
+def _alike(similarity: float):
+    """Of pairs with their shingle sets, those whose Jaccard similarity suffices."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            close = []
+            for x, y in zip(part.column(2), part.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                close.append(shared >= similarity * (len(both) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+    return run
+
+
+def _alike_blocks(similarity: float):
+    """Of one block of asking and one of answering nodes, the pairs whose Jaccard
+    similarity suffices.  Shingles are counted in runs, so memory stays bounded."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, asks = table.column("node").to_numpy(), table.column("asks").to_numpy().astype(bool)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        value, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row, order = np.repeat(np.arange(len(sets)), sizes), np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((int(asks.sum()), int((~asks).sum())))
+        for lo in range(0, len(value), 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[row[a:b], column[a:b] - lo] = 1
+            shared += has[asks] @ has[~asks].T
+        both = sizes[asks][:, None] + sizes[~asks][None, :] - shared
+        x, y = np.nonzero((shared >= similarity * both - 1e-9) & (node[asks][:, None] != node[~asks][None, :]))
+        return pa.table({"a": pa.array(node[asks][x], pa.int64()), "b": pa.array(node[~asks][y], pa.int64())})
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    for own in "ab":
+        pairs = split_join(pairs, sets.select(F.col("node").alias(own), F.col("shingles").alias("s" + own)), own)
+    return checkpoint(pairs.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long"))
+
+
+def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5, seed: int = 42) -> DataFrame:
     """Near-dedup by similarity rather than a few bits: result and edge cases as
-    in simhash_near_dedup.
-
-    Two texts whose shingle sets have a Jaccard similarity of 0.8 differ in
-    about 15 of 100 fingerprint bits, too many for the pigeonhole of one 64-bit
-    word.  So candidates come from ``words`` words: with 4 words of 3 segments a
-    pair of similarity 0.8 shares a one-wildcard variant with probability 0.9, of
-    0.9 with 0.99.  All words together verify: at most ``max_bits`` of their bits
-    may differ (44 of 256 lie one deviation beyond a similarity of 0.8).
-    Documents with equal first words are one node.
+    in simhash_near_dedup, but texts are linked if the Jaccard similarity of
+    their sets of ``shingle``-word shingles is at least ``similarity``, which is
+    computed on the whole sets (of 64-bit hashes) and not on fingerprints.
+
+    A pair of similarity 0.8 differs in some 15 of 100 SimHash bits, which no
+    affordable set of fingerprint segments finds with certainty.  So candidates
+    share a MinHash band: a pair of similarity s is one with probability
+    1 - (1 - s**rows)**bands, 0.9996 at 0.8.  The fingerprint orders the nodes of
+    a band, where similar ones stand side by side.  No band is cut short:
+
+    * each node of a band is compared with the one before it and with the first,
+      which gathers dense groups at a cost linear in their size;
+    * then, in bands whose nodes are in several such groups, every node outside
+      the largest is compared with all, in blocks of about BLOCK by BLOCK nodes.
     """
-    marked = checkpoint(fingerprints(docs, id_col, text_col, shingle, words))
-    names = _names(words)
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(*names)).alias("w"))
-    return _grouped(marked, nodes.select("fp", "least"), similar_links(nodes.select("w.*"), words, segments, max_bits))
+    base = documents(docs, id_col, text_col)
+    marked = checkpoint(_signed(base, shingle, seed, bands, rows, False))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("keys").alias("keys"))
+    nodes = checkpoint(nodes)
+    entries = nodes.select(F.explode("keys").alias("key"), "fp", "node", "size")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
+    entries = checkpoint(split_join(entries, shared, "key"))
+    sets = _signed(base, shingle, seed, bands, rows, True)
+    sets = checkpoint(split_join(sets, entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+    def fits(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+
+    own = F.struct("node", "size")
+    over = Window.partitionBy("key").orderBy("fp", "node")
+    beside = entries.select("node", "size", F.lag(own).over(over).alias("before"), F.first(own).over(over).alias("first"))
+    beside = beside.select("node", "size", F.explode(F.array("before", "first")).alias("o"))
+    beside = beside.where((F.col("o.node") != F.col("node")) & fits("size", "o.size"))
+    tried = checkpoint(beside.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct())
+    sure = _confirmed(tried, sets, similarity)
+    groups = connected_components(sure)
+
+    placed = split_join(entries.select("key", "node"), groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    inside = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = inside.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    # up to three nodes have all been compared
+    most = most.where("groups > 1 AND n > 3").select("key", F.col("most.component").alias("lead"), "n", (F.col("n") - F.col("most.n")).alias("rest"))
+    blocks = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
+    mixed = split_join(placed, most, "key").withColumns({"asked": blocks("rest"), "answering": blocks("n"), "place": F.pmod(F.xxhash64("node"), F.lit(1 << 30))})
+    mixed = split_join(mixed, sets, "node")
+    to_all = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    # the largest group of a band meets the others, never itself
+    asks = mixed.where("component <> lead").withColumns({"i": F.expr("int(place % asked)"), "j": to_all("answering"), "asks": F.lit(True)})
+    answers = mixed.withColumns({"j": F.expr("int(place % answering)"), "i": to_all("asked"), "asks": F.lit(False)})
+    met = asks.unionByName(answers).select("key", "i", "j", "node", "asks", "shingles")
+    links = sure.unionByName(met.groupBy("key", "i", "j").applyInArrow(_alike_blocks(similarity), "a long, b long"))
+
+    named = nodes.select("node", "least")
+    placed = split_join(named, connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = split_join(placed.select("node", "component"), least, "component").select("node", "component_id")
+    return split_join(marked.select("doc_id", "fp", "node"), names, "node").select(
+        "doc_id", "fp", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )

@@ -298,6 +298,52 @@ def test_similar_texts_meet(spark, messy, empty):
     assert simhash_similar(messy).count() == len(TEXTS) and simhash_similar(empty).count() == 0
 
 
+def test_similar_texts_meet_at_the_threshold_and_not_below(spark):
+    """Isolated pairs planted just above and well below a similarity of 0.8, against brute force."""
+    from tessera.llm.simhash import simhash_similar
+
+    r = np.random.default_rng(4)
+    rows = []
+    for g in range(300):
+        w = [f"v{x}" for x in r.integers(0, 50_000, 400)]
+        rows.append((2 * g, " ".join(w)))
+        for k in np.arange(int(r.integers(7, 9)) if g % 3 else 16) * 24 + 5:  # each touches five shingles
+            w[k] = f"changed{g}"
+        rows.append((2 * g + 1, " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    jaccard = {g: len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]) for g in range(300)}
+    near, clean = [g for g in jaccard if jaccard[g] >= 0.8], [g for g in jaccard if jaccard[g] < 0.8]
+    assert len(near) >= 190 and len(clean) >= 90 and max(jaccard.values()) < 0.85 and min(jaccard.values()) > 0.6
+    got = {x.doc_id: x.component_id for x in simhash_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * g + 1] == 2 * g for g in near) >= 0.99 * len(near)
+    assert all(got[2 * g + 1] == 2 * g + 1 for g in clean) and all(got[2 * g] == 2 * g for g in jaccard)
+
+
+def test_similar_texts_in_a_crowd_equal_brute_force(spark, monkeypatch):
+    """One crowd of texts about the threshold, so that bands hold several groups."""
+    from tessera.llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK", 32)
+    r = np.random.default_rng(6)
+    base = [f"b{x}" for x in r.integers(0, 50_000, 150)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in r.integers(0, 150, int(r.integers(1, 5))):
+            w[k] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    root = list(range(len(rows)))
+    while True:
+        new = [min(root[j] for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(rows))]
+        if new == root:
+            break
+        root = new
+    assert 10 < len(set(root)) < 150
+    got = {x.doc_id: x.component_id for x in simhash.simhash_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == root
+
+
 def test_components(spark):
     from tessera.llm.components import connected_components
 
