@@ -6,7 +6,11 @@ WINDOW and more of them, in double precision.  Verified pairs of all passes are
 united into components.  The number of passes follows from the largest label:
 a pair at the threshold agrees in the leading bits that cut a label down to a
 window with a known probability, and passes are added until missing it in all
-of them is less likely than ``miss``.
+of them is less likely than ``miss``.  That holds however the vectors lie, if all
+rows that share those bits meet: where more of them do than a window reaches (a
+label whose vectors point much the same way), all rows outside the largest
+component found so far are compared with the whole run, or with the whole label
+where that is less work.
 
 Links are then counted inside components, where dense groups would need all
 pairs.  A vector within half the threshold angle of the component's pivot links
@@ -25,16 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions, split_join
+from tessera.llm.common import checkpoint, shuffle_partitions, split_join
 from tessera.llm.components import connected_components
 
-WINDOW, SEED = 64, 5
+WINDOW, SEED, BLOCK = 64, 5, 512
 _EDGES = "a long, b long"
 
 
+def leading_bits(rows: int) -> int:
+    return max(1, math.ceil(math.log2(max(2.0, rows / WINDOW))))
+
+
 def passes_needed(rows: int, threshold: float, miss: float) -> int:
-    bits = max(1, math.ceil(math.log2(max(2.0, rows / WINDOW))))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    agree = (1 - math.acos(threshold) / math.pi) ** leading_bits(rows)
     return max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
@@ -44,8 +51,8 @@ def _matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keyed(passes: int):
-    """Sort keys of every pass: (label, dims, pass, key, rep, vector)."""
+def _keyed(passes: int, vectors: bool = True):
+    """Sort keys of every pass: (label, dims, pass, key, rep) and, with ``vectors``, vector."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -56,13 +63,13 @@ def _keyed(passes: int):
                 rows = np.flatnonzero(sizes == dims)
                 mine = flat.take(pa.array(rows))
                 x = mine.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dims)
-                packed = pa.array([v.tobytes() for v in x], pa.binary())
+                packed = [pa.array([v.tobytes() for v in x], pa.binary())] if vectors else []
                 for number in range(passes):
                     if (number, dims) not in planes:
                         planes[number, dims] = np.random.default_rng([SEED, number, dims]).normal(size=(dims, 64))
                     key = np.packbits(x @ planes[number, dims] > 0, axis=1).view(">i8").reshape(-1).astype(np.int64)
                     fixed = [pa.array(np.full(len(rows), v, np.int32)) for v in (dims, number)]
-                    yield pa.RecordBatch.from_arrays([label.take(pa.array(rows)), *fixed, pa.array(key), rep.take(pa.array(rows)), packed], ["label", "dims", "pass", "key", "rep", "vector"])
+                    yield pa.RecordBatch.from_arrays([label.take(pa.array(rows)), *fixed, pa.array(key), rep.take(pa.array(rows)), *packed], ["label", "dims", "pass", "key", "rep", "vector"][: 5 + vectors])
 
     return run
 
@@ -111,6 +118,47 @@ def _windows(threshold: float):
     return run
 
 
+def _meet(threshold: float):
+    """Of one block of asking and one of answering rows, the components that links join."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy().astype(bool)
+        x, component = _matrix(table.column("vector").combine_chunks()), table.column("component").to_numpy()
+        i, j = np.nonzero(x[asks] @ x[~asks].T >= threshold)
+        pairs = np.unique(np.stack([component[asks][i], component[~asks][j]], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return meet
+
+
+def _wide_runs(keys: DataFrame, packed: DataFrame, placed: DataFrame, bits: int, threshold: float) -> DataFrame:
+    """Links (a, b) between components that share a run of equal leading bits
+    longer than the windows reach.  keys: (label, dims, pass, key, rep)."""
+    run = ["label", "dims", "pass", "prefix"]
+    rows = keys.select("label", "dims", "pass", F.shiftright("key", 64 - bits).alias("prefix"), "rep")
+    long = rows.groupBy(run).agg(F.count(F.lit(1)).alias("n")).where(f"n > {2 * WINDOW}").select(run)
+    touched = long.select("label", "dims").distinct()
+    found = split_join(rows, long, run)
+    # a label as a whole is one more run, numbered pass -1
+    whole = split_join(rows.where("pass = 0"), touched, ["label", "dims"]).withColumns({"pass": F.lit(-1), "prefix": F.lit(0).cast("long")})
+    found = split_join(found.unionByName(whole.select(found.columns)), placed, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    found = checkpoint(found)
+    sizes = found.groupBy(*run, "component").agg(F.count(F.lit(1)).alias("n"))
+    runs = sizes.groupBy(run).agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    runs = runs.select(*run, F.col("most.component").alias("lead"), "n", (F.col("n") - F.col("most.n")).alias("rest"))
+    work = F.col("n").cast("double") * F.col("rest")
+    cheap = runs.groupBy("label", "dims").agg((F.sum(F.when(F.col("pass") >= 0, work)) < F.sum(F.when(F.col("pass") < 0, work))).alias("by_run"))
+    runs = runs.join(cheap, ["label", "dims"]).where("by_run = (pass >= 0)")
+    blocks = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
+    found = split_join(found, runs, run).withColumns({"asked": blocks("rest"), "answering": blocks("n"), "place": F.pmod(F.xxhash64("rep"), F.lit(1 << 30))})
+    found = split_join(found, packed.select("rep", "vector"), "rep")
+    to_all = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    asks = found.where("component <> lead").withColumns({"i": F.expr("int(place % asked)"), "j": to_all("answering"), "asks": F.lit(True)})
+    answers = found.withColumns({"j": F.expr("int(place % answering)"), "i": to_all("asked"), "asks": F.lit(False)})
+    met = asks.unionByName(answers).select(*run, "i", "j", "component", "asks", "vector")
+    return met.groupBy(*run, "i", "j").applyInArrow(_meet(threshold), _EDGES).where("a <> b").distinct()
+
+
 def _compare(threshold: float):
     """Of one block pair: for each row of the rest, the weight of its links with
     the members; for each member of the core, the weight of its links with the rest."""
@@ -175,12 +223,18 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, id_col: st
     distinct = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     largest = valid.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     order = ["label", "dims", "pass", "key", "rep"]
-    keyed = distinct.select("label", "rep", "embedding").mapInArrow(_keyed(passes_needed(largest, threshold, miss)), "label long, dims int, pass int, key long, rep long, vector binary")
+    passes = passes_needed(largest, threshold, miss)
+    shape = "label long, dims int, pass int, key long, rep long"
+    keyed = distinct.select("label", "rep", "embedding").mapInArrow(_keyed(passes), f"{shape}, vector binary")
     parts = shuffle_partitions(vectors.sparkSession)
     edges = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(threshold), _EDGES).distinct()
-    placed = connected_components(edges).select(F.col("node").alias("rep"), "component")
+    placed = checkpoint(connected_components(edges).select(F.col("node").alias("rep"), "component"))
 
     packed = distinct.mapInArrow(_packed, "rep long, n long, vector binary")
+    keys = distinct.select("label", "rep", "embedding").mapInArrow(_keyed(passes, vectors=False), shape)
+    wide = checkpoint(_wide_runs(keys, packed, placed, leading_bits(largest), threshold))
+    placed = connected_components(wide.unionByName(placed.select(F.col("rep").alias("a"), F.col("component").alias("b")))).select(F.col("node").alias("rep"), "component")
+
     counts = _link_counts(split_join(packed, placed, "rep").select("component", "rep", "n", "vector"), threshold)
     found = distinct.select("label", "embedding", "rep", "n").join(placed, "rep", "left").join(counts, "rep", "left")
     found = found.select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

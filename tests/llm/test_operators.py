@@ -183,6 +183,25 @@ def test_embedding_dedup_equals_brute_force(spark):
     assert embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def test_pairs_of_a_concentrated_label_meet(spark):
+    """Vectors of mean cosine 0.9, where leading bits hardly part a label, with planted pairs."""
+    from tessera.llm.embedding_dedup import embedding_near_dedup
+
+    r = np.random.default_rng(7)
+    mean, dims = np.zeros(384), 384
+    mean[0] = 3.0
+    x = mean + r.normal(size=(3000, dims)) / np.sqrt(dims)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(200):  # 2k + 1 at cosine 0.935 of 2k
+        step = x[2 * k + 1] - (x[2 * k + 1] @ x[2 * k]) * x[2 * k]
+        x[2 * k + 1] = 0.935 * x[2 * k] + math.sqrt(1 - 0.935**2) * step / np.linalg.norm(step)
+    close = np.triu(x @ x.T >= 0.93, 1)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {row.vec_id: (row.component_id, row.n_links) for row in embedding_near_dedup(df, 0.93, miss=1e-3).collect()}
+    assert all(got[a][0] == got[b][0] for a, b in zip(*np.nonzero(close)))
+    assert [got[i][1] for i in range(len(x))] == (close | close.T).sum(axis=1).tolist()
+
+
 # -- simhash
 
 
