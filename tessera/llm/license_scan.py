@@ -1,13 +1,15 @@
 """License scan, in DataFrame operations only.
 
-Each line of a text is a candidate notice.  Lines and templates are sparse
-TF-IDF vectors over lower-case words; a line whose cosine with a template
-reaches the threshold carries that license.  Template weights are literals of
-the plan (a fixed, small set), so scoring needs no join and no shuffle; lines
-that share too few words with any template to reach the threshold are dropped
-before they are scored.  A document that is mostly notice is a license file and
-covers its directory; documents without a notice of their own take the license
-of the nearest ancestor directory that has one, found by joins on paths.
+Each line, each paragraph and the whole of a text are units: a paragraph is a
+header block or a clause however its lines are wrapped, the whole is a licence
+file.  Units and templates (short notices, headers, paragraphs of licence texts)
+are sparse TF-IDF vectors over lower-case words; a unit whose cosine with a
+template reaches the threshold carries that license.  Template weights are
+literals of the plan (a fixed, small set), so scoring needs no join and no
+shuffle; units that share too few words with any template to reach the threshold
+are dropped before they are scored.  A document that is mostly notice is a license
+file and covers its directory; documents without a notice of their own take the
+license of the nearest ancestor directory that has one, found by joins on paths.
 """
 
 from __future__ import annotations
@@ -21,38 +23,76 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import split_join
 
-#: Notices that the scan knows unless others are given.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "proprietary": "All rights reserved.",
+#: What the scan knows unless other templates are given.  Fixed values: the usual
+#: short notices, titles and tags, and paragraphs of headers and licence texts.
+TEMPLATES: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "BSD-3-Clause": [
+        "Use of this source code is governed by a BSD-style license.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "MIT License",
+        "The MIT License (MIT)",
+        "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "proprietary": ["All rights reserved.", "Copyright. All rights reserved. Proprietary and confidential."],
 }
 WORD = "([a-z0-9]+)"
 #: Words of templates that are common in prose.
 EVERYDAY = {"a", "all", "by", "form", "general", "is", "of", "style", "terms", "the", "this", "to", "under", "use", "v", "work"}
 
 
-def template_weights(templates: dict[str, str]) -> tuple[dict[str, dict[str, float]], float]:
-    """Unit TF-IDF vectors of the templates, and the weight of a word that is in
-    none.  Inverse document frequencies are those of the template set."""
-    counts = {name: Counter(re.findall(WORD, text.lower())) for name, text in templates.items()}
-    df = Counter(w for c in counts.values() for w in c)
+Templates = dict[str, list[str]]
+Weights = list[tuple[str, dict[str, float]]]
+
+
+def _words_of(text: str) -> list[str]:
+    return re.findall(WORD, text.lower())
+
+
+def word_weights(templates: Templates) -> tuple[dict[str, float], float]:
+    """Inverse document frequencies of template words, a license being a document,
+    and that of a word which is in none."""
+    df = Counter(w for texts in templates.values() for w in {w for text in texts for w in _words_of(text)})
     idf = lambda n: math.log((1 + len(templates)) / (1 + n)) + 1
-    weights = {}
-    for name, c in counts.items():
-        norm = math.sqrt(sum((n * idf(df[w])) ** 2 for w, n in c.items()))
-        weights[name] = {w: n * idf(df[w]) / norm for w, n in sorted(c.items())}
-    return weights, idf(0)
+    return {w: idf(n) for w, n in sorted(df.items())}, idf(0)
 
 
-def word_weights(templates: dict[str, str]) -> dict[str, float]:
-    df = Counter(w for text in templates.values() for w in set(re.findall(WORD, text.lower())))
-    return {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in sorted(df.items())}
+def template_weights(templates: Templates) -> Weights:
+    """(license, unit TF-IDF vector) of every template."""
+    idf, _ = word_weights(templates)
+    weights = []
+    for name, texts in templates.items():
+        for text in texts:
+            counts = Counter(_words_of(text))
+            norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in counts.items()))
+            weights.append((name, {w: n * idf[w] / norm for w, n in sorted(counts.items())}))
+    return weights
 
 
 def _lookup(weights: dict[str, float], word: Column, default: float) -> Column:
@@ -64,13 +104,13 @@ def _dot(own: Column, weights: dict[str, float]) -> Column:
     return F.aggregate(own, F.lit(0.0), lambda s, x: s + x["v"] * _lookup(weights, x["w"], 0.0))
 
 
-def telling_words(weights: dict[str, dict[str, float]], threshold: float) -> list[str]:
-    """Words of which a matching line has at least one.  A line's cosine with a
+def telling_words(weights: Weights, threshold: float) -> list[str]:
+    """Words of which a matching unit has at least one.  A unit's cosine with a
     template is at most the norm of the template's weights on shared words, so
     words of each template are taken, everyday ones last, until the others can't
     reach the threshold by themselves."""
     telling: set[str] = set()
-    for vector in weights.values():
+    for _, vector in weights:
         left = 1.0
         for word in sorted(vector, key=lambda w: (w in EVERYDAY, -len(w), w)):
             if left < threshold**2 - 1e-9:
@@ -80,36 +120,55 @@ def telling_words(weights: dict[str, dict[str, float]], threshold: float) -> lis
     return sorted(telling)
 
 
-def notices(text: Column, templates: dict[str, str], threshold: float) -> Column:
-    """array<struct<score, license, line, words>> of the lines that match."""
-    weights, unknown = template_weights(templates)
-    idf = word_weights(templates)
+LINE, PARAGRAPH, WHOLE = 0, 1, 2
+#: Paragraphs are parted by blank lines.
+BLANK = "\n[ \t\r]*\n"
+_FOUND = "array<struct<score:double,license:string,kind:int,line:int,words:int>>"
+
+
+def notices(text: Column, templates: Templates, threshold: float) -> Column:
+    """array<struct<score, license, kind, line, words>> of the units that match;
+    kind is LINE, PARAGRAPH (of several lines) or WHOLE (of several paragraphs),
+    line the number of the unit among those of its kind, from 0."""
+    weights = template_weights(templates)
+    idf, unknown = word_weights(templates)
     telling = F.lit("(?<![a-z0-9])(" + "|".join(telling_words(weights, threshold)) + ")(?![a-z0-9])")
-    lines = F.transform(F.split(text, "\n"), lambda s, i: F.struct(i.alias("line"), F.lower(s).alias("s")))
-    likely = F.filter(lines, lambda h: F.rlike(h["s"], telling))
 
-    def judged(words: Column, line: Column) -> Column:
+    def units(kind: int, pieces: Column) -> Column:
+        return F.transform(pieces, lambda s, i: F.struct(F.lit(kind).alias("kind"), i.alias("line"), F.lower(s).alias("s")))
+
+    paragraphs = F.split(text, BLANK)
+    several = F.filter(units(PARAGRAPH, paragraphs), lambda h: F.contains(h["s"], F.lit("\n")))
+    whole = F.filter(units(WHOLE, F.array(text)), lambda h: F.rlike(h["s"], F.lit(BLANK)))
+    likely = F.filter(F.concat(units(LINE, F.split(text, "\n")), several, whole), lambda h: F.rlike(h["s"], telling))
+
+    def judged(words: Column, unit: Column) -> Column:
         own = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * _lookup(idf, w, unknown)).alias("v")))
-        return F.transform(F.array(own), lambda o: best(o, words, line))[0]  # names the vector, so it is built once
+        return F.transform(F.array(own), lambda o: best(o, words, unit))[0]  # names the vector, so it is built once
 
-    def best(own: Column, words: Column, line: Column) -> Column:
+    def best(own: Column, words: Column, unit: Column) -> Column:
         norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x["v"] * x["v"]))
-        dots = F.greatest(*[F.struct(_dot(own, t).alias("score"), F.lit(name).alias("license")) for name, t in weights.items()])
-        return F.struct((dots["score"] / norm).alias("score"), dots["license"].alias("license"), line.alias("line"), F.size(words).alias("words"))
+        known = F.filter(own, lambda x: F.array_contains(F.lit(sorted(idf)), x["w"]))
+        return F.transform(F.array(known), lambda k: top(k, norm, words, unit))[0]
+
+    def top(known: Column, norm: Column, words: Column, unit: Column) -> Column:
+        dots = F.greatest(*[F.struct(_dot(known, t).alias("score"), F.lit(name).alias("license")) for name, t in weights])
+        return F.struct((dots["score"] / norm).alias("score"), dots["license"].alias("license"), unit["kind"].alias("kind"), unit["line"].alias("line"), F.size(words).alias("words"))
 
-    found = F.transform(likely, lambda h: judged(F.regexp_extract_all(h["s"], F.lit(WORD), F.lit(1)), h["line"]))
-    none = F.array().cast("array<struct<score:double,license:string,line:int,words:int>>")
-    return F.when(F.rlike(F.lower(text), telling), F.filter(found, lambda x: x["score"] >= threshold)).otherwise(none)
+    found = F.transform(likely, lambda h: judged(F.regexp_extract_all(h["s"], F.lit(WORD), F.lit(1)), h))
+    return F.when(F.rlike(F.lower(text), telling), F.filter(found, lambda x: x["score"] >= threshold)).otherwise(F.array().cast(_FOUND))
 
 
-def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8, file_share: float = 0.5) -> DataFrame:
-    """One row per input row: doc_id, path, license, score, line (0-based, null
-    if inherited), origin ("own", "inherited" or "none"), directory (the one
-    inherited from, "" the root).
+def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: Templates | None = None, threshold: float = 0.8, file_share: float = 0.5) -> DataFrame:
+    """One row per input row: doc_id, path, license, score, unit ("line",
+    "paragraph" or "file"; null if inherited), line (0-based number of the line,
+    or of the paragraph; null if inherited), origin ("own", "inherited" or
+    "none"), directory (the one inherited from, "" the root).
 
-    The best line decides; ties go to the later template name, then the later
-    line.  A file whose matching lines hold at least ``file_share`` of its words
-    covers its directory; if several do, the best score, then the largest name.
+    The best unit decides; ties go to the later license name, then to the file
+    over a paragraph over a line, then to the later one.  A file whose matching
+    units of one kind hold at least ``file_share`` of its words covers its
+    directory; if several do, the best score, then the largest name.
     Null and empty texts have no notice; a null path has no directory and
     inherits nothing.  Repeated rows repeat.  An empty table gives an empty
     result; other columns are ignored.
@@ -117,11 +176,16 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
     base = files.select(files[id_col].cast("long").alias("doc_id"), files[path_col].cast("string").alias("path"), files[text_col].cast("string").alias("text"))
     found = notices(F.coalesce("text", F.lit("")), templates or TEMPLATES, threshold)
     words = F.when(F.size("found") > 0, F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1)))).otherwise(0)
+
+    def words_in(kind: int) -> Column:
+        return F.aggregate("found", F.lit(0), lambda s, x: s + F.when(x["kind"] == kind, x["words"]).otherwise(0))
+
+    held = F.greatest(*(words_in(kind) for kind in (LINE, PARAGRAPH, WHOLE)))
     judged = base.select("doc_id", "path", "text", found.alias("found")).select(
         "doc_id",
         "path",
         F.array_max("found").alias("best"),
-        (F.aggregate("found", F.lit(0), lambda s, x: s + x["words"]) >= F.lit(file_share) * F.greatest(words, F.lit(1))).alias("is_file"),
+        (held >= F.lit(file_share) * F.greatest(words, F.lit(1))).alias("is_file"),
         F.when(F.col("path").isNotNull(), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).alias("dir"),
     )
     covering = judged.where(F.col("is_file") & F.col("best").isNotNull() & F.col("dir").isNotNull())
@@ -138,6 +202,7 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
         "path",
         F.coalesce("best.license", "near.cover.license").alias("license"),
         F.coalesce("best.score", "near.cover.score").alias("score"),
+        F.element_at(F.lit(["line", "paragraph", "file"]), F.col("best.kind") + 1).alias("unit"),
         "best.line",
         F.when(own, "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(~own, F.col("near.up")).alias("directory"),

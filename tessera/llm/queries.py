@@ -50,9 +50,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/doc<id>.txt."""
+    """Documents as files at four depths: source, source/lang and two below."""
     docs = _table(spark, sf_dir, "documents")
-    files = docs.withColumn("path", F.format_string("%s/%s/doc%d.txt", "source", "lang", "doc_id"))
+    deep = [F.col("source"), F.concat(F.lit("/"), "lang"), F.concat(F.lit("/d"), F.pmod(F.expr("doc_id div 4"), F.lit(5)).cast("string")), F.concat(F.lit("/e"), F.pmod(F.expr("doc_id div 20"), F.lit(3)).cast("string"))]
+    depth = F.pmod("doc_id", F.lit(4))
+    folder = F.concat(*(F.when(depth >= n, part).otherwise("") if n else part for n, part in enumerate(deep)))
+    files = docs.withColumn("path", F.concat(folder, F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt")))
     return license_scan(files).withColumn("score", F.round("score", 6))
 
 
@@ -86,32 +89,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _license_sql() -> str:
     """The scan in SQL; template weights are written out as a table."""
-    weights, unknown = template_weights(TEMPLATES)
-    idf = word_weights(TEMPLATES)
-    rows = ", ".join(f"('{name}', '{w}', {v!r}, {idf[w]!r})" for name, t in weights.items() for w, v in t.items())
-    return f"""
-        WITH t(license, w, v, idf) AS (VALUES {rows}),
-        f AS (SELECT doc_id, source || '/' || lang || '/doc' || doc_id || '.txt' AS path, source || '/' || lang AS dir, source, coalesce(text, '') AS text FROM documents),
-        l AS (SELECT doc_id, i AS line, string_split(text, chr(10))[i + 1] AS s FROM (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM f)),
-        w AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM l),
-        c AS (SELECT doc_id, line, w.w, count(*) AS n, any_value(idf) AS idf FROM w LEFT JOIN (SELECT DISTINCT w, idf FROM t) i ON i.w = w.w GROUP BY ALL),
-        n AS (SELECT doc_id, line, sqrt(sum((n * coalesce(idf, {unknown!r})) ** 2)) AS norm, CAST(sum(n) AS BIGINT) AS words FROM c GROUP BY ALL),
-        d AS (SELECT c.doc_id, c.line, t.license, sum(c.n * c.idf * t.v) AS dot FROM c JOIN t ON t.w = c.w GROUP BY ALL),
-        s AS (SELECT d.doc_id, d.line, d.license, dot / norm AS score, words FROM d JOIN n ON n.doc_id = d.doc_id AND n.line = d.line WHERE dot / norm >= 0.8),
-        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC, license DESC) = 1),
-        own AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC, line DESC) = 1),
-        total AS (SELECT doc_id, sum(words) AS words FROM n GROUP BY ALL),
-        hit AS (SELECT doc_id, sum(words) AS words FROM b GROUP BY ALL),
+    idf, unknown = word_weights(TEMPLATES)
+    rows = ", ".join(f"({n}, '{name}', '{w}', {v!r}, {idf[w]!r})" for n, (name, t) in enumerate(template_weights(TEMPLATES)) for w, v in t.items())
+    return rf"""
+        WITH t(template, license, w, v, idf) AS (VALUES {rows}),
+        f AS (
+            SELECT doc_id, coalesce(text, '') AS text, source || CASE WHEN doc_id % 4 >= 1 THEN '/' || lang ELSE '' END
+                   || CASE WHEN doc_id % 4 >= 2 THEN '/d' || doc_id // 4 % 5 ELSE '' END || CASE WHEN doc_id % 4 >= 3 THEN '/e' || doc_id // 20 % 3 ELSE '' END AS dir
+            FROM documents
+        ),
+        p AS (SELECT doc_id, string_split_regex(text, '\n[ \t\r]*\n') AS parts, string_split(text, chr(10)) AS lines, text FROM f),
+        u AS (
+            SELECT doc_id, 0 AS kind, i AS line, lines[i + 1] AS s FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM p)
+            UNION ALL SELECT doc_id, 1, i, parts[i + 1] FROM (SELECT doc_id, parts, unnest(range(0, len(parts))) AS i FROM p) WHERE contains(parts[i + 1], chr(10))
+            UNION ALL SELECT doc_id, 2, 0, text FROM p WHERE len(parts) > 1
+        ),
+        w AS (SELECT doc_id, kind, line, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM u),
+        c AS (SELECT doc_id, kind, line, w.w, count(*) AS n, any_value(idf) AS idf FROM w LEFT JOIN (SELECT DISTINCT w, idf FROM t) i ON i.w = w.w GROUP BY ALL),
+        n AS (SELECT doc_id, kind, line, sqrt(sum((n * coalesce(idf, {unknown!r})) ** 2)) AS norm, CAST(sum(n) AS BIGINT) AS words FROM c GROUP BY ALL),
+        d AS (SELECT c.doc_id, c.kind, c.line, t.template, t.license, sum(c.n * c.idf * t.v) AS dot FROM c JOIN t ON t.w = c.w GROUP BY ALL),
+        s AS (SELECT d.doc_id, d.kind, d.line, d.license, dot / norm AS score, words FROM d JOIN n ON n.doc_id = d.doc_id AND n.kind = d.kind AND n.line = d.line WHERE dot / norm >= 0.8),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, kind, line ORDER BY score DESC, license DESC) = 1),
+        own AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC, kind DESC, line DESC) = 1),
+        total AS (SELECT doc_id, sum(words) AS words FROM n WHERE kind = 0 GROUP BY ALL),
+        hit AS (SELECT doc_id, max(words) AS words FROM (SELECT doc_id, kind, sum(words) AS words FROM b GROUP BY ALL) GROUP BY ALL),
         cover AS (
             SELECT f.dir AS up, own.license, own.score FROM f JOIN own ON own.doc_id = f.doc_id
             JOIN hit ON hit.doc_id = f.doc_id JOIN total ON total.doc_id = f.doc_id WHERE hit.words >= 0.5 * total.words
             QUALIFY row_number() OVER (PARTITION BY f.dir ORDER BY own.score DESC, own.license DESC) = 1
+        ),
+        near AS (
+            SELECT dir, cover.* FROM (SELECT DISTINCT dir FROM f) JOIN cover ON up = dir OR starts_with(dir, up || '/')
+            QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(up) DESC) = 1
         )
-        SELECT f.doc_id, path, coalesce(own.license, cover.license) AS license, round(coalesce(own.score, cover.score), 6) AS score,
-               CAST(own.line AS INT) AS line,
-               CASE WHEN own.license IS NOT NULL THEN 'own' WHEN cover.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-               CASE WHEN own.license IS NULL THEN cover.up END AS directory
-        FROM f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN cover ON cover.up = f.dir
+        SELECT f.doc_id, f.dir || '/doc' || f.doc_id || '.txt' AS path, coalesce(own.license, near.license) AS license, round(coalesce(own.score, near.score), 6) AS score,
+               ['line', 'paragraph', 'file'][own.kind + 1] AS unit, CAST(own.line AS INT) AS line,
+               CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+               CASE WHEN own.license IS NULL THEN near.up END AS directory
+        FROM f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN near ON near.dir = f.dir
     """
 
 
