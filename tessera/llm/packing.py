@@ -3,9 +3,12 @@
 Bounded-space online best-fit: a fixed number of open bins, kept in stacks by
 free space with a bitset of the spaces that occur; a piece goes to the bin it
 fills best, and when a new bin is needed while all are open, the fullest closes.
-Pieces are dealt at random into shards of bounded size and reach the packer
-longest first, so a shard wastes about as little as the whole would; the number
-of shards follows the corpus, never the cluster.
+Pieces are dealt at random into shards of bounded size; the number of shards
+follows the corpus, never the cluster.  The order in which a shard's pieces reach
+the packer is free, and pieces near half a sequence come first, then longer and
+shorter ones together: what a long piece leaves open is filled soon, so few open
+bins suffice.  (On the test documents, 256 open bins, sequences over the least
+possible number: 0.07 % in this order, 0.9 % as they come, 2.6 % longest first.)
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ CUT = "doc_id long, piece int, start long, length long, ids_crc32 long, ids bina
 #: Pieces a shard has on average; shards are numbered within this many bits.
 SHARD_PIECES = 4096
 SHARD_SHIFT = 32
+OPEN_BINS = 256
 
 
 class BestFit:
     """Online packer: place(size) gives (bin, offset).  At most ``open_bins``
     bins are open at a time; every size up to ``capacity`` fits."""
 
-    def __init__(self, capacity: int, open_bins: int = 4096):
+    def __init__(self, capacity: int, open_bins: int = OPEN_BINS):
         self.capacity, self.open_bins = capacity, open_bins
         self.stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.spaces = 0  # bit f is set where some open bin has f free
@@ -92,7 +96,9 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int = 0, wi
 
 def _pack(capacity: int, open_bins: int):
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        length = table.column("length").to_numpy()
+        table = table.append_column("__off", pa.array(abs(2 * length - capacity)))
+        table = table.sort_by([("__off", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).drop_columns(["__off"])
         bins, base = BestFit(capacity, open_bins), table.column("shard")[0].as_py() << SHARD_SHIFT
         placed = [bins.place(n) for n in table.column("length").to_pylist()]
         return table.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64())).append_column("offset", pa.array([o for _, o in placed], pa.int64())).drop_columns(["shard"])
@@ -100,7 +106,7 @@ def _pack(capacity: int, open_bins: int):
     return pack
 
 
-def best_fit_packing(docs: DataFrame, path: str, capacity: int = 2048, open_bins: int = 4096, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str, capacity: int = 2048, open_bins: int = OPEN_BINS, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids,
     sequence_id, offset.  A sequence holds at most ``capacity`` tokens and its
     pieces lie in it without gaps from offset 0.
