@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 import numpy as np
@@ -42,6 +43,17 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return int(row.n), int(row.b or 0)
 
 
+#: Text that a task holds at once, at least.
+CHUNK_BYTES = 8 << 20
+
+
+def chunk_size(size: int) -> int:
+    """Bytes of a chunk of a corpus of ``size`` bytes: its square root times 22.6
+    or CHUNK_BYTES.  Where each chunk sends one row to each of as many buckets,
+    there are at most size / 512 such rows, and chunks of 226 MB at 100 TB."""
+    return max(CHUNK_BYTES, math.isqrt(512 * size))
+
+
 def split_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
     """Equi-join whose inputs both get a fresh exchange.
 
@@ -66,15 +78,28 @@ def bounded_sample(rows: DataFrame, key: str, total: int, most: int) -> DataFram
     return rows.where(place < F.lit(int(share * (1 << 40)))).orderBy(place, key).limit(most)
 
 
-#: Partial sums of a map stage: ``part`` numbers the task, ``sums`` is a float64 vector.
+#: Partial sums of a map stage: ``part`` numbers the task, ``sums`` is a float64
+#: vector as packed by pack_sums.
 SUMS = "block int, part int, sums binary"
 FAN_IN = 64
 
 
+def pack_sums(values: np.ndarray) -> bytes:
+    """Byte plane by byte plane: sums that are small whole numbers are mostly zero
+    bytes, which vanish in the shuffle's compression."""
+    return np.ascontiguousarray(values, np.float64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_sums(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.float64).reshape(-1)
+
+
 def _add(table: pa.Table) -> pa.Table:
     table = table.sort_by("part")  # one order of additions, whatever came first
-    total = np.sum([np.frombuffer(v, np.float64) for v in table.column("sums").to_pylist()], axis=0)
-    return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+    total = 0.0
+    for blob in table.column("sums"):
+        total = total + unpack_sums(blob.as_py())
+    return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int32()), "sums": pa.array([pack_sums(total)], pa.binary())})
 
 
 def tree_sum(sums: DataFrame, parts: int) -> dict[int, np.ndarray]:
@@ -83,4 +108,4 @@ def tree_sum(sums: DataFrame, parts: int) -> dict[int, np.ndarray]:
     while parts > 1:
         sums = sums.withColumn("into", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "into").applyInArrow(lambda t: _add(t.drop_columns(["into"])), SUMS)
         parts = -(-parts // FAN_IN)
-    return {row.block: np.frombuffer(row.sums, np.float64) for row in sums.collect()}
+    return {row.block: unpack_sums(row.sums) for row in sums.collect()}

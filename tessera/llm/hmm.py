@@ -10,10 +10,11 @@ A word is emitted in two steps: its state picks a class, the class picks the
 word in proportion to count + 1, with one share for unseen words.  The most
 frequent words are classes of their own, the others share classes by their last
 bytes; the number of classes is fixed, hence so is the model.  Baum-Welch starts
-from a bounded sample (``init_docs``) and then runs over all training documents:
-each task returns expected counts, which are added up in a tree.  Training cuts
-documents into sequences of at most SEQUENCE tokens; scoring never cuts, the
-scaled forward recursion gives the likelihood of the whole text.
+from a random model that no data enter and runs over all training documents in
+every pass: each task returns expected counts, which are added up in a tree.
+Neither training nor scoring cuts a document: forward and backward recursions run
+over its whole length, and long ones keep the forward state at intervals only and
+compute what lies between again.
 """
 
 from __future__ import annotations
@@ -27,18 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
-from tessera.llm.common import SUMS, bounded_sample, checkpoint, documents, shuffle_partitions, text_bytes, tree_sum
+from tessera.llm.common import SUMS, checkpoint, chunk_size, documents, pack_sums, shuffle_partitions, text_bytes, tree_sum
 from tessera.llm.quality import held_out
 from tessera.llm.substring_dedup import _bucket_of, pack_sorted, unpack_sorted
 
 END_CLASS, TAILS, TOPS = 0, 1024, 2000
-SEQUENCE = 256
-#: Longer documents take no part in the start of the training, so the driver's sample is bounded.
-INIT_TOKENS = 8192
 WORD_SEED, TAIL_SEED = 1, 3
 #: Words are never white space, so this stands for the end of a text.
 END_HASH = 0x2545F4914F6CDD1D
-_BLOCK = 1 << 18
+#: Tokens whose state probabilities are held at once, tokens of documents worked off
+#: in step, and the share of all tokens from which a word may be a class of its own.
+_BLOCK, _STEP, OFTEN = 1 << 18, 1 << 22, 1 / 20_000
 
 TOTALS = "kind int, chunk int, bucket int, n long, data binary"
 ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, word_part double, classes binary"
@@ -102,7 +102,7 @@ def _count(buckets: int):
     return count
 
 
-def _totals(buckets: int):
+def _totals():
     """Of one bucket: totals for each chunk (kind 0), tokens and distinct known
     words by tail class (kind 1), and candidates for classes of their own (kind 2)."""
 
@@ -117,12 +117,12 @@ def _totals(buckets: int):
         total = np.bincount(inverse, counts, len(known)).astype(np.int64)
         tail = tails[at].astype(np.int64)
         stats = np.stack([np.bincount(tail, total, TAILS + 1), np.bincount(tail, total > 0, TAILS + 1)])
-        share = max(1.0, total.sum() * buckets / 20_000)
-        often = np.flatnonzero((total >= share) & (tail != END_CLASS))
-        often = often[np.argsort(-total[often], kind="stable")][:TOPS]
+        # a word with OFTEN of all tokens has it of its bucket's, and TOPS are taken in all
+        often = np.flatnonzero((total >= max(1.0, OFTEN * total.sum())) & (tail != END_CLASS))
+        often = often[np.lexsort((known[often], -total[often]))][:TOPS]
         spread, ends = total[inverse], np.cumsum(sizes)
         rows = [(0, c, n, spread[e - n : e].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()) for c, n, e in zip(table.column("chunk").to_pylist(), sizes, ends)]
-        rows.append((1, -1, 0, stats.tobytes()))
+        rows.append((1, -1, 0, pack_sums(stats)))
         rows += [(2, -1, int(total[i]), int(known[i]).to_bytes(8, "little") + int(tail[i]).to_bytes(8, "little")) for i in often]
         kind, chunk, n, data = zip(*rows)
         return pa.table({"kind": pa.array(kind, pa.int32()), "chunk": pa.array(chunk, pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "n": pa.array(n, pa.int64()), "data": pa.array(data, pa.binary())})
@@ -238,51 +238,71 @@ class Hmm:
         return result
 
     def expected_counts(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Baum-Welch statistics of sequences cut at SEQUENCE tokens, and the
-        log-likelihood, as one vector."""
+        """Baum-Welch statistics of whole sequences, and the log-likelihood, as
+        one vector."""
         s, k = self.emit.shape
-        start, move, emitted, total = np.zeros(s), np.zeros((s, s)), np.zeros((s, k)), 0.0
-        pieces = sorted((q[i : i + SEQUENCE] for q in sequences for i in range(0, len(q), SEQUENCE)), key=len, reverse=True)
+        total = np.zeros(self.size)
+        rest = sorted((q for q in sequences if len(q)), key=len, reverse=True)
+        while rest:
+            n = max(1, min(len(rest), _STEP // len(rest[0])))
+            self._add_counts(rest[:n], total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s : -1].reshape(s, k), total[-1:])
+            rest = rest[n:]
+        return total
+
+    def _add_counts(self, block: list[np.ndarray], start: np.ndarray, move: np.ndarray, emitted: np.ndarray, total: np.ndarray) -> None:
+        """Sequences in step, longest first so that the live ones lead.  The first
+        walk keeps the state before every segment; segments are then walked again,
+        last one first, and met by the backward recursion."""
+        n, lengths = len(block), np.array([len(q) for q in block])
+        steps, (s, k) = int(lengths[0]), self.emit.shape
         emit, back = np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T)
-        while pieces:
-            n = max(1, min(len(pieces), _BLOCK // len(pieces[0])))
-            block, pieces = pieces[:n], pieces[n:]
-            lengths = np.array([len(q) for q in block])
-            steps = int(lengths[0])
-            seen = np.zeros((n, steps), np.uint16)
-            for row, q in enumerate(block):
-                seen[row, : len(q)] = q
-            seen = np.ascontiguousarray(seen.T)
-            alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
-            given = emit[seen]
-            alpha, scale = np.zeros((steps, n, s)), np.ones((steps, n))
-            for t in range(steps):
-                m = alive[t]
-                a = (self.start if not t else alpha[t - 1, :m] @ self.move) * given[t, :m]
-                scale[t, :m] = a.sum(axis=1)
-                alpha[t, :m] = a / scale[t, :m, None]
-            beta = np.ones((n, s))
-            for t in range(steps - 1, -1, -1):
-                m = alive[t]
-                if t + 1 < steps and (m2 := alive[t + 1]):
-                    ahead = given[t + 1, :m2] * beta[:m2] / scale[t + 1, :m2, None]
-                    move += self.move * (alpha[t, :m2].T @ ahead)
-                    beta[:m2] = ahead @ back
+        seen = np.zeros((steps, n), np.uint16)
+        for row, q in enumerate(block):
+            seen[: len(q), row] = q
+        alive = np.searchsorted(-lengths, -np.arange(steps + 1), side="left")
+        span = max(1, _BLOCK // n)
+
+        def forward(a: int, b: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            given = emit[seen[a:b]]
+            alpha, scale = np.zeros((b - a, n, s)), np.ones((b - a, n))
+            for t in range(b - a):
+                m = alive[a + t]
+                v = (self.start if state is None else state[:m] @ self.move) * given[t, :m]
+                scale[t, :m] = v.sum(axis=1)
+                state = alpha[t, :m] = v / scale[t, :m, None]
+            return given, alpha, scale
+
+        before, state = [], None
+        for a in range(0, steps, span):
+            before.append(state)
+            if a + span < steps:
+                state = forward(a, a + span, state)[1][-1].copy()
+        beta = np.ones((n, s))
+        ahead = None  # what the next step's emissions and beta bring, weighted by its scale
+        for a in range((steps - 1) // span * span, -1, -span):
+            b = min(a + span, steps)
+            given, alpha, scale = forward(a, b, before.pop())
+            for t in range(b - a - 1, -1, -1):
+                m, after = alive[a + t], alive[a + t + 1]
+                if after:
+                    move += self.move * (alpha[t, :after].T @ ahead[:after])
+                    beta[:after] = ahead[:after] @ back
                 alpha[t, :m] *= beta[:m]
-            start += alpha[0].sum(axis=0)
-            live = np.arange(n)[None, :] < alive[:, None]
-            where, weight = seen[live], alpha[live]
-            for state in range(s):
-                emitted[state] += np.bincount(where, weight[:, state], k)
-            total += float(np.log(scale).sum())
-        return np.concatenate([start, move.reshape(-1), emitted.reshape(-1), [total]])
+                ahead = given[t, :m] * beta[:m] / scale[t, :m, None]
+            live = np.arange(n)[None, :] < alive[a:b, None]
+            where, weight = seen[a:b][live], alpha[live]
+            for state_ in range(s):
+                emitted[state_] += np.bincount(where, weight[:, state_], k)
+            total += np.log(scale).sum()
+            if not a:
+                start += alpha[0].sum(axis=0)
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(v, np.uint16) for v in column.to_pylist()]
 
 
-def _groups(sequences: list[np.ndarray], most: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+def _groups(sequences: list[np.ndarray], most: int = _STEP) -> Iterator[list[np.ndarray]]:
     group, size = [], 0
     for q in sequences:
         group.append(q)
@@ -300,7 +320,7 @@ def _expectation(model: Hmm):
         for part in parts:
             for group in _groups(_sequences(part.column(0))):
                 total += model.expected_counts(group)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pack_sums(total)], pa.binary())], ["block", "part", "sums"])
 
     return run
 
@@ -314,38 +334,38 @@ def _score(model: Hmm):
     return run
 
 
-def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, passes: int = 2, init_docs: int = 800, init_passes: int = 12, chunk_bytes: int = 8 << 20) -> DataFrame:
+def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, passes: int = 6, chunk_bytes: int | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probability of the whole text under the model).
 
     Learns from rows whose crc32(id) mod 7 is not 2; those and rows with a null
     id are held out.  Every text ends with an end token, so null and empty texts
     have one token.  Repeated rows count as often as they occur and score alike.
-    Without training rows the counts are zero and the model uniform.  An empty
-    table gives an empty result; other columns are ignored.
+    Without training rows the counts are zero and the model stays as it starts.
+    An empty table gives an empty result; other columns are ignored.
+    ``chunk_bytes`` is the text a task holds at once (common.chunk_size unless
+    given); ``passes`` of Baum-Welch each read all training documents.
     """
     base = documents(docs, id_col, text_col)
     _, size = text_bytes(base)
-    parts = max(shuffle_partitions(docs.sparkSession), -(-size // chunk_bytes))
-    dealt = base.select("doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("chunk"))
+    parts = max(shuffle_partitions(docs.sparkSession), -(-size // (chunk_bytes or chunk_size(size))))
+    # by text too, so that rows that share an id, or have none, are dealt out
+    dealt = base.select("doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("chunk"))
     sent = dealt.groupBy("chunk").applyInArrow(_count(parts), "bucket int, chunk int, n int, hashes binary, tails binary, counts binary")
-    totals = checkpoint(sent.groupBy("bucket").applyInArrow(_totals(parts), TOTALS))
+    totals = checkpoint(sent.groupBy("bucket").applyInArrow(_totals(), TOTALS))
     by_bucket = totals.where("kind = 1").select(F.lit(0).alias("block"), F.col("bucket").alias("part"), F.col("data").alias("sums"))
     stats = tree_sum(by_bucket, parts).get(0, np.zeros(2 * (TAILS + 1))).reshape(2, -1)
-    often = totals.where("kind = 2").orderBy(F.desc("n"), "data").limit(TOPS).collect()
+    # at most 1 / OFTEN words reach that share of all tokens
+    often = totals.where((F.col("kind") == 2) & (F.col("n") >= F.lit(float(OFTEN * stats[0].sum())))).orderBy(F.desc("n"), "data").limit(TOPS).collect()
     vocabulary = Vocabulary(stats, [(int.from_bytes(r.data[:8], "little"), int.from_bytes(r.data[8:], "little"), r.n) for r in often])
 
     answers = totals.where("kind = 0").drop("kind")
     encoded = checkpoint(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encode(vocabulary), ENCODED))
-    training = encoded.where(~F.col("held_out")).select("classes", "doc_id", "n_tokens")
-    starters = bounded_sample(training.where(F.col("n_tokens") <= INIT_TOKENS), "doc_id", int(stats[0][END_CLASS]), init_docs)
-    sample = [np.frombuffer(r.classes, np.uint16) for r in starters.select("classes").collect()]
+    training = encoded.where(~F.col("held_out")).select("classes")
     model = Hmm.random(states, vocabulary.classes)
-    for _ in range(init_passes):
-        model = model.updated(sum((model.expected_counts(g) for g in _groups(sample)), np.zeros(model.size)))
     n = encoded.rdd.getNumPartitions()
     for _ in range(passes):
-        found = tree_sum(training.select("classes").mapInArrow(_expectation(model), SUMS), n)
+        found = tree_sum(training.mapInArrow(_expectation(model), SUMS), n)
         model = model.updated(found.get(0, np.zeros(model.size)))
     scored = encoded.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(vocabulary.tokens)).cast("long").alias("train_tokens"), "base_score", "score")

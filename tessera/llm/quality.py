@@ -1,12 +1,13 @@
 """Quality classifier: random-indexing word vectors, a two-layer network,
 temperature-calibrated probabilities.
 
-Tokens are runs of letters, digits or other marks, hashed into a fixed number of
-rows.  Each row has a sparse ternary index vector; a word's vector is the sum of
-the index vectors next to its occurrences, counted over the whole corpus in one
-pass and added up in a tree, so no task gathers more than a fixed number of
-partial sums.  A document is the mean of its words' vectors.  The network is
-fitted in numpy on a bounded sample of labelled rows (``max_train_rows``, those
+Tokens are runs of letters, digits or other marks, hashed into ROWS rows: words
+that share a row (few of the frequent ones do) share a vector.  Each row has a
+sparse ternary index vector; a word's vector is the sum of the index vectors next
+to its occurrences, counted over the whole corpus in one pass and added up in a
+tree, so no task gathers more than a fixed number of partial sums.  A document is
+pooled from its words' vectors alone: their mean, shrunk for short texts, the mean
+of their squares, and the mean product of neighbours.  The network is fitted in numpy on a bounded sample of labelled rows (``max_train_rows``, those
 with the smallest hash of their id); everything else covers all rows.
 """
 
@@ -21,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
-from tessera.llm.common import SUMS, bounded_sample, checkpoint, documents, split_join, tree_sum
+from tessera.llm.common import SUMS, bounded_sample, checkpoint, documents, pack_sums, split_join, tree_sum
 
-ROWS, DIMS, NONZERO, BLOCKS = 4096, 64, 4, 16
+#: Rows of the word table (a documented parameter, 16 MB of vectors), and what a
+#: document's mean is shrunk by, in tokens.
+ROWS, DIMS, NONZERO, BLOCKS, SHRINK = 1 << 16, 64, 4, 64, 8
 SEED = 7
-FEATURES = DIMS + 2
+FEATURES = 3 * DIMS
 
 
 def _classes() -> np.ndarray:
@@ -82,12 +85,12 @@ def _context_sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     me = TaskContext.get().partitionId()
     used = [b for b in range(BLOCKS) if blocks[b].any()]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array([me] * len(used), pa.int32()), pa.array([blocks[b].tobytes() for b in used], pa.binary())], ["block", "part", "sums"]
+        [pa.array(used, pa.int32()), pa.array([me] * len(used), pa.int32()), pa.array([pack_sums(blocks[b]) for b in used], pa.binary())], ["block", "part", "sums"]
     )
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """(ROWS, DIMS) unit vectors, centred; 1 MB whatever the corpus."""
+    """(ROWS, DIMS) unit vectors, centred; 16 MB whatever the corpus."""
     source = docs.select(F.col(text_col).alias("text"))
     parts = source.rdd.getNumPartitions()
     sums = source.mapInArrow(_context_sums, SUMS)
@@ -102,20 +105,18 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector of each text, then the share of tokens that repeat the
-    one before and the logarithm of the token count."""
+    """Of each text's word vectors: the sum over count + SHRINK, the mean square
+    and the mean product of neighbours; zeros without words."""
     out = np.zeros((len(texts), FEATURES), np.float32)
-    at = 0
-    for _, run in textops.batches(texts):
+    for at, run in textops.batches(texts):
         rows, first = tokens(run)
         size = np.diff(first)
-        same = np.concatenate([[0], np.cumsum(rows[1:] == rows[:-1]), [0]])
         for k in np.flatnonzero(size).tolist():
-            a, b = first[k], first[k + 1]
-            out[at + k, :DIMS] = np.add.reduce(vectors.take(rows[a:b], axis=0), axis=0) / (b - a)
-            out[at + k, DIMS] = (same[b - 1] - same[a]) / (b - a)
-        out[at : at + len(run), DIMS + 1] = np.log1p(size) / 10
-        at += len(run)
+            own = vectors.take(rows[first[k] : first[k + 1]], axis=0)
+            n = len(own)
+            out[at + k, :DIMS] = np.add.reduce(own, axis=0) / (n + SHRINK)
+            out[at + k, DIMS : 2 * DIMS] = np.einsum("td,td->d", own, own) / n
+            out[at + k, 2 * DIMS :] = np.einsum("td,td->d", own[:-1], own[1:]) / max(n - 1, 1)
     return out
 
 
@@ -126,9 +127,10 @@ def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
         for part in parts:
             found = pool(textops.as_bytes(part.column(1)), shared.value)
             packed = pa.array([row.tobytes() for row in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), packed], ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), packed], ["doc_id", "text_md5", "features"])
 
-    return docs.mapInArrow(run, "doc_id long, features binary")
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", "text", digest.alias("text_md5")).mapInArrow(run, "doc_id long, text_md5 string, features binary")
 
 
 class Network:
@@ -185,7 +187,7 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, max_train_rows: int = 20_000) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
+    """One row per input row: doc_id, held_out, score, predicted, text_md5.
 
     Learns from labelled rows whose crc32(id) mod 5 is not 0, at most
     ``max_train_rows`` of them; a document with several labels has the largest,
@@ -205,8 +207,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = np.frombuffer(b"".join(part.column(1).to_pylist()), np.float32).reshape(part.num_rows, FEATURES)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(network.scores(found.astype(np.float64)))], ["doc_id", "score"])
+            found = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float32).reshape(part.num_rows, FEATURES)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(network.scores(found.astype(np.float64)))], ["doc_id", "text_md5", "score"])
 
-    scored = pooled.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = pooled.mapInArrow(run, "doc_id long, text_md5 string, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_md5")
