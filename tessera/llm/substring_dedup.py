@@ -23,6 +23,7 @@ for another is about n / 2**80 a window, 1e-11 at 10**13 windows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,15 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
-from tessera.llm.common import documents, shuffle_partitions, text_bytes
+from tessera.llm.common import chunk_size, shuffle_partitions, text_bytes
 
 #: Odd multipliers of the two rolling hashes, and the seed of the word hash.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xD1B54A32D192ED03)
 WORD_SEED = 1
 LAST_ID = 2**63 - 1
+#: Sampled rows a chunk; a chunk number is that of its range, shifted, and a part.
+SAMPLE, PARTS_SHIFT = 64, 20
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
+#: Prefix of carried columns inside the operator, so that they can't clash.
+_CARRIED = "__carried_"
 
 
 def rolling_hashes(words: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
@@ -140,7 +145,7 @@ def _send(window: int, buckets: int):
         return pa.table(
             {
                 "bucket": pa.array(bucket[cuts].astype(np.int32)),
-                "chunk": pa.array(np.full(len(cuts), chunk, np.int32)),
+                "chunk": pa.array(np.full(len(cuts), chunk, np.int64)),
                 "n": pa.array((ends - cuts).astype(np.int32)),
                 "hashes": pa.array([pack_sorted(hashes[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
                 "second": pa.array([second[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
@@ -151,20 +156,25 @@ def _send(window: int, buckets: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each chunk, a bit for each of its hashes, set where an
-    earlier chunk has the hash."""
-    order = np.argsort(table.column("chunk").to_numpy(), kind="stable")
+    """Of one bucket: for each chunk, a bit for each of its hashes, set where a
+    chunk of an earlier range has the hash."""
+    chunks = table.column("chunk").to_numpy()
+    order = np.argsort(chunks, kind="stable")
     sizes = table.column("n").to_numpy()[order].astype(np.int64)
     blobs, seconds = table.column("hashes").combine_chunks(), table.column("second").combine_chunks()
     hashes = np.concatenate([unpack_sorted(blobs[int(i)].as_buffer(), int(n)) for i, n in zip(order, sizes)])
     second = np.concatenate([np.frombuffer(seconds[int(i)].as_buffer(), np.uint16) for i in order])
-    by_hash = np.argsort(hashes, kind="stable")  # rows came in chunk order, so the earliest chunk leads each run
+    span = np.repeat(chunks[order] >> PARTS_SHIFT, sizes)
+    by_hash = np.argsort(hashes, kind="stable")  # rows came in the order of ranges, so the earliest leads each run
     h, s = hashes[by_hash], second[by_hash]
     if np.any((h[1:] == h[:-1]) & (s[1:] != s[:-1])):
         by_hash = np.lexsort((second, hashes))
         h, s = hashes[by_hash], second[by_hash]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+    begins = np.flatnonzero(new)
     seen = np.zeros(len(h), bool)
-    seen[by_hash[1:]] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
+    seen[by_hash] = span[by_hash] > np.repeat(span[by_hash[begins]], np.diff(np.append(begins, len(h))))
     ends = np.cumsum(sizes)
     return pa.table(
         {
@@ -181,7 +191,7 @@ def _runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _mark(window: int):
+def _mark(window: int, as_is: bool):
     def mark(table: pa.Table, answers: pa.Table) -> pa.Table:
         rank, order, texts = _in_id_order(table)
         found = _windows(texts, window)
@@ -196,6 +206,7 @@ def _mark(window: int):
         repeated = np.empty(len(by_hash), bool)
         repeated[by_hash] = np.repeat(flags, lengths) | (owner[by_hash] > np.repeat(owner[by_hash[begins]], lengths))
         n_words, n_removed, kept = [], [], []
+        given = table.column("text").take(pa.array(order)) if as_is else None
         spans, cuts, at = [0], ([], []), 0
         for _, words, starts in found.runs:
             mine = starts[repeated[at : at + len(starts)]]
@@ -208,7 +219,9 @@ def _mark(window: int):
             for a, b in zip(words.first[:-1], words.first[1:]):
                 own = gone[a:b]
                 count = int(own.sum())
-                if a == b or count == b - a:
+                if as_is and not count:
+                    kept.append(given[len(kept)].as_py())
+                elif a == b or count == b - a:
                     kept.append(b"")
                 elif not count:
                     kept.append(raw[words.starts[a] : words.ends[b - 1]])
@@ -229,30 +242,65 @@ def _mark(window: int):
                 "doc_id": table.column("doc_id").take(pa.array(order)),
                 "n_words": pa.array(n_words, pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
-                "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+                "kept_text": pa.array([k if k is None or isinstance(k, bytes) else k.encode() for k in kept], pa.binary()).cast(pa.string()),
                 "removed": pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pa.StructArray.from_arrays(flat, ["start", "end"])),
+                **{c: table.column(c).take(pa.array(order)) for c in table.column_names if c.startswith(_CARRIED)},
             }
         )
 
     return mark
 
 
-def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """Deal documents into ranges of ids with about as many rows each."""
-    docs = docs.withColumn("order_id", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("__at", F.col("order_id").cast("double"))
-    asked = [i / chunks for i in range(1, chunks)]
-    cuts = docs.agg(F.percentile_approx("__at", asked, max(10_000, 20 * chunks))).first()[0] if chunks > 1 else []
-    splits = [-math.inf, *sorted(set(cuts or [])), math.inf]
+def _cuts(most: float):
+    """Of rows (id, bytes) in the order of ids, each id at which ``most`` bytes are full."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = 0.0
+        for part in parts:
+            found = []
+            for key, size in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                full += size
+                times = int(full // most)
+                found += [key] * times
+                full -= times * most
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["id"])
+
+    return run
+
+
+def _chunked(docs: DataFrame, rows: int, size: int, chunks: int) -> DataFrame:
+    """Deal documents into ``chunks`` ranges of ids with about as many bytes each.
+
+    The ranges end at ids of a sample by hash, about SAMPLE rows a chunk; the
+    driver gets one id a chunk (chunk_size keeps them under half a million at
+    100 TB).  An id, or the null ids, with bytes for several chunks is a range of
+    its own whose rows are dealt by text; the parts of a range don't count as
+    earlier than one another.
+    """
+    docs = docs.withColumn("order_id", F.coalesce("doc_id", F.lit(LAST_ID)))
+    share = min(1.0, SAMPLE * chunks / max(rows, 1))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", "text"))
+    taken = docs.where(F.pmod(key, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("order_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    cuts: list[int] = []
+    if chunks > 1 and size:
+        ranged = taken.repartitionByRange(max(1, min(shuffle_partitions(docs.sparkSession), chunks // 4)), "order_id", "n").sortWithinPartitions("order_id", "n")
+        cuts = [r.id for r in ranged.mapInArrow(_cuts(size * share / chunks), "id long").collect()]
+    times = Counter(float(c) for c in cuts)
+    splits = sorted({-math.inf, math.inf, *times, *(np.nextafter(c, math.inf) for c, n in times.items() if n > 1)})
     if len(splits) < 3:
-        return docs.select("doc_id", "order_id", "text", F.lit(0).alias("chunk"))
-    dealt = Bucketizer(splits=splits, inputCol="__at", outputCol="__chunk").transform(docs)
-    return dealt.select("doc_id", "order_id", "text", F.col("__chunk").cast("int").alias("chunk"))
+        return docs.withColumn("chunk", F.lit(0).cast("long"))
+    at = Bucketizer(splits=[float(x) for x in splits], inputCol="__at", outputCol="__span").transform(docs.withColumn("__at", F.col("order_id").cast("double")))
+    wide = [(k, times[x]) for k, x in enumerate(splits) if times.get(x, 0) > 1]
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in wide for v in pair]), F.col("__span").cast("int")), F.lit(1)) if wide else F.lit(1)
+    chunk = F.shiftleft(F.col("__span").cast("long"), PARTS_SHIFT) + F.pmod(F.xxhash64("text"), parts)
+    return at.withColumn("chunk", chunk).drop("__at", "__span")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 8 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int | None = None, carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text (the words
-    that stay, joined by single spaces) and removed (maximal intervals
-    [start, end) of word positions).
+    that stay, joined by single spaces), removed (maximal intervals [start, end)
+    of word positions) and the input's columns ``carry``.  With ``as_is`` the
+    kept_text of a row that loses nothing is its text, null if it is null.
 
     Words are runs of anything but ASCII white space, unchanged.  A word goes if
     a window over it also starts in a document with a smaller id; windows are
@@ -260,15 +308,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     than a window keep everything.  Rows that share an id are not "smaller" than
     each other, so repeated rows stay; null ids count as larger than all others
     and as equal to each other.  An empty table gives an empty result; other
-    columns are ignored.  ``chunk_bytes`` is the text a task holds at once:
-    raise it (256 MB at 100 TB) so that chunks times buckets stays bounded.
+    columns are ignored.  ``chunk_bytes`` is the text a task holds at once
+    (common.chunk_size unless given).
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    base = documents(docs, id_col, text_col)
-    _, size = text_bytes(base)
-    parts = max(shuffle_partitions(docs.sparkSession), -(-size // chunk_bytes))
-    dealt = _chunked(base, parts)
-    sent = dealt.groupBy("chunk").applyInArrow(_send(window, parts), "bucket int, chunk int, n int, hashes binary, second binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, n int, seen binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(window), RESULT)
+    kinds = dict(docs.dtypes)
+    carried = {f"{_CARRIED}{k}": c for k, c in enumerate(carry or [])}
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *(docs[c].alias(k) for k, c in carried.items()))
+    rows, size = text_bytes(base)
+    parts = max(shuffle_partitions(docs.sparkSession), -(-size // (chunk_bytes or chunk_size(size))))
+    dealt = _chunked(base, rows, size, parts)
+    sent = dealt.select("chunk", "order_id", "text").groupBy("chunk").applyInArrow(_send(window, parts), "bucket int, chunk long, n int, hashes binary, second binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, n int, seen binary")
+    shape = ", ".join([RESULT, *(f"{k} {kinds[c]}" for k, c in carried.items())])
+    found = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(window, as_is), shape)
+    return found.withColumnsRenamed(carried) if carried else found
