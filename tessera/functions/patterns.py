@@ -1,7 +1,10 @@
-"""Literal, regex, wildcard and glob patterns as Column predicates.
+r"""Literal, regex, wildcard and glob patterns as Column predicates.
 
-The accepted regex dialect is the part that linear-time engines and Java share:
-look-around and back-references are refused when the pattern is compiled.
+There is one regex dialect, for lines and for whole contents: what linear-time
+engines and Java share.  Look-around and back-references are refused when the
+pattern is compiled; classes such as \w know all of Unicode; ``.`` stops at line
+feeds only; ``^`` and ``$`` are the start and the end of a content unless the
+pattern itself asks for lines with (?m).
 """
 
 from __future__ import annotations
@@ -73,6 +76,33 @@ def checked_regex(pattern: str) -> str:
     return pattern
 
 
+def _pieces(pattern: str) -> list[str]:
+    """Escapes, classes and other characters of a regex, one by one."""
+    return re.findall(r"\\.|\[\^?\]?(?:\\.|\[:\w+:\]|[^\]\\])*\]|\(\?[a-zA-Z-]*[:)]|.", pattern, re.S)
+
+
+def java_regex(pattern: str) -> str:
+    """The checked pattern in Java's syntax: ``$`` is the very end, and names of
+    character classes are those of Java."""
+    flags = "".join(re.findall(r"\(\?([a-zA-Z]+)", pattern))
+    pieces = [r"\z" if p == "$" and "m" not in flags else re.sub(r"\[:(\w+):\]", lambda m: r"\p{" + {"word": "IsWord"}.get(m[1], m[1].title()) + "}", p) for p in _pieces(checked_regex(pattern))]
+    wide = any(re.fullmatch(r"\\[wWdDsSbB]", e) for p in pieces for e in re.findall(r"\\.", p))
+    return ("(?dU)" if wide else "(?d)") + "".join(pieces)
+
+
+def spans_lines(pattern: str) -> bool:
+    """Whether a regex can match a line break, or is anchored to the content."""
+    flags = "".join(re.findall(r"\(\?([a-zA-Z]+)", pattern))
+    if "s" in flags or "m" in flags:
+        return True
+    for piece in _pieces(pattern):
+        if piece in ("^", "$", "\n") or re.fullmatch(r"\\[nsWDRvAzZ]", piece) or piece.startswith("[^"):
+            return True
+        if piece.startswith("[") and (re.search(r"\\[nsWDRv]|\[:space:\]|\n", piece) or any(ord(a) <= 10 <= ord(b) for a, b in re.findall(r"(.)-(.)", piece, re.S))):
+            return True
+    return False
+
+
 @dataclass(frozen=True)
 class Pattern:
     text: str
@@ -85,7 +115,7 @@ class Pattern:
         """Java regex of the pattern, with its case flag."""
         body = {
             "literal": lambda: quote(self.text),
-            "regex": lambda: checked_regex(self.text),
+            "regex": lambda: java_regex(self.text),
             "wildcard": lambda: wildcard_regex(self.text, self.path),
             "glob": lambda: glob_regex(self.text),
         }[self.mode]()
@@ -98,6 +128,15 @@ class Pattern:
             return F.contains(F.lower(value), F.lit(self.text.lower()))
         return F.rlike(value, F.lit(self.regex))
 
+    @property
+    def spans_lines(self) -> bool:
+        return "\n" in self.text if self.mode != "regex" else spans_lines(self.text)
+
+    @property
+    def line_literal(self) -> str | None:
+        """A literal that every matching content holds, case ignored."""
+        return self.text if self.mode == "literal" and self.text.isascii() and self.text else None
+
     @property
     def prefilter(self) -> str | None:
         """The literal that a trigram index can narrow, if there is one."""
@@ -123,7 +162,8 @@ def any_pattern(value: Column, patterns: list[Pattern]) -> Column:
 
 def word_bounded(regex: str) -> str:
     """The regex between identifier boundaries."""
-    flags, body = (regex[:5], regex[5:]) if regex.startswith("(?iu)") else ("", regex)
+    flags = re.match(r"(?:\(\?[a-zA-Z]+\))*", regex)[0]
+    body = regex[len(flags) :]
     return f"{flags}(?<!{_BOUNDARY})(?:{body})(?!{_BOUNDARY})"
 
 

@@ -48,23 +48,27 @@ def hierarchy(edges: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 0
     return found
 
 
-def enclosing_definitions(references: DataFrame, definitions: DataFrame, block: int = 64) -> DataFrame:
+def enclosing_definitions(references: DataFrame, definitions: DataFrame, block: int = 16) -> DataFrame:
     """For each reference (ref_id, path, line, column) the innermost definition
     (def_id, path, start_line, end_line) that holds it, else the nearest that
     starts before it in the file; ties go to the smallest def_id.
 
+    Every reference of a line has the same answer, so lines are solved once.
     Containment is an equality join on line blocks: a definition is listed under
-    every block it spans.  The fallback is a running maximum over the file."""
-    r = references.withColumn("__b", F.expr(f"line div {block}"))
-    d = definitions.select("def_id", "path", "start_line", "end_line", F.explode(F.sequence(F.expr(f"start_line div {block}"), F.expr(f"end_line div {block}"))).alias("__b"))
-    holds = r.join(d, ["path", "__b"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    inner = holds.groupBy("ref_id").agg(F.min(F.struct((-F.col("start_line")).alias("o"), "def_id")).alias("m")).select("ref_id", F.col("m.def_id").alias("inner_id"))
-    starts = definitions.groupBy("path", F.col("start_line").alias("line")).agg(F.min("def_id").alias("start_id"))
-    both = references.select("path", "line", "ref_id", F.lit(None).cast("string").alias("start_id")).unionByName(starts.select("path", "line", F.lit(None).cast(references.schema["ref_id"].dataType).alias("ref_id"), "start_id"))
-    order = Window.partitionBy("path").orderBy("line", F.col("ref_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    before = both.withColumn("before_id", F.last("start_id", ignorenulls=True).over(order)).where(F.col("ref_id").isNotNull()).select("ref_id", "before_id")
-    joined = before.join(inner, "ref_id", "left")
-    return joined.select("ref_id", F.coalesce("inner_id", "before_id").alias("def_id"), F.when(F.col("inner_id").isNotNull(), "contains").when(F.col("before_id").isNotNull(), "precedes").alias("how"))
+    every block it spans, once for each place it takes.  The fallback is a running
+    maximum over a file's lines."""
+    points = references.select("path", "line").distinct()
+    places = definitions.groupBy("path", "start_line", "end_line").agg(F.min("def_id").alias("def_id"))
+    p = points.withColumn("__b", F.expr(f"line div {block}"))
+    d = places.select("def_id", "path", "start_line", "end_line", F.explode(F.sequence(F.expr(f"start_line div {block}"), F.expr(f"end_line div {block}"))).alias("__b"))
+    holds = p.join(d, ["path", "__b"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    inner = holds.groupBy("path", "line").agg(F.min(F.struct((-F.col("start_line")).alias("o"), "def_id")).alias("m")).select("path", "line", F.col("m.def_id").alias("inner_id"))
+    starts = places.groupBy("path", F.col("start_line").alias("line")).agg(F.min("def_id").alias("start_id"))
+    both = points.join(starts, ["path", "line"], "full").join(inner, ["path", "line"], "left")
+    order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    solved = both.withColumn("before_id", F.last("start_id", ignorenulls=True).over(order)).select("path", "line", "inner_id", "before_id")
+    how = F.when(F.col("inner_id").isNotNull(), "contains").when(F.col("before_id").isNotNull(), "precedes")
+    return references.select("ref_id", "path", "line").join(solved, ["path", "line"], "left").select("ref_id", F.coalesce("inner_id", "before_id").alias("def_id"), how.alias("how"))
 
 
 def resolve_unique(calls_: DataFrame, definitions: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,20 +93,24 @@ def inside_call_sites(references: DataFrame, sites: DataFrame) -> DataFrame:
     return references.join(s, on & (point >= s["__a"]) & (point <= s["__b"]), "left_semi")
 
 
-def type_closure(type_edges: DataFrame, max_depth: int = 16) -> DataFrame:
+def type_closure(type_edges: DataFrame) -> DataFrame:
     """(subtype, supertype, depth): every pair reachable over subtype edges with
-    the fewest steps; cycles end the walk.  Each round joins only the pairs the
-    last one found."""
-    pairs = cut(type_edges.select("subtype", "supertype").where("subtype <> supertype").distinct())
-    step = pairs.select(F.col("subtype").alias("__m"), F.col("supertype").alias("__s"))
-    known = front = pairs.withColumn("depth", F.lit(1))
-    for level in range(2, max_depth + 1):
-        new = front.join(step, F.col("supertype") == F.col("__m")).select("subtype", F.col("__s").alias("supertype")).where("subtype <> supertype").distinct()
-        front = cut(new.join(known, ["subtype", "supertype"], "left_anti").withColumn("depth", F.lit(level)))
-        if front.isEmpty():
-            break
-        known = known.unionByName(front)
-    return known
+    the fewest steps, however many; cycles end the walk.
+
+    Distances double each round: a shortest path of more than d and at most 2 d
+    steps goes on from a pair exactly d apart by a known pair, so a round joins
+    only those, and a chain of n types takes log2(n) rounds."""
+    pairs = type_edges.select("subtype", "supertype").where("subtype <> supertype").distinct()
+    known, reach = cut(pairs.withColumn("depth", F.lit(1))), 1
+    while True:
+        onward = known.select(F.col("subtype").alias("__m"), F.col("supertype").alias("__s"), F.col("depth").alias("__d"))
+        ahead = known.where(F.col("depth") == reach).join(onward, F.col("supertype") == F.col("__m"))
+        ahead = ahead.select("subtype", F.col("__s").alias("supertype"), (F.col("depth") + F.col("__d")).alias("depth")).where("subtype <> supertype")
+        ahead = ahead.groupBy("subtype", "supertype").agg(F.min("depth").alias("depth"))
+        new = cut(ahead.join(known, ["subtype", "supertype"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, reach = cut(known.unionByName(new)), 2 * reach
 
 
 def resolve_calls(raw_calls: DataFrame, methods: DataFrame, closure: DataFrame) -> DataFrame:

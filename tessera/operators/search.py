@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
+from tessera.functions.arrays import named, prefix_sums
 from tessera.functions.grams import literal_grams
 from tessera.functions.patterns import Pattern, word_bounded
 
@@ -23,23 +24,22 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select(*keep, F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def _positions(text: Column, regex: str) -> Column:
-    """array<struct<column, match_text>> of the non-empty matches of a line.
-
-    Splitting by the pattern gives the text between matches, so positions are
-    sums of lengths; all of it stays in the JVM."""
+def _spans(text: Column, regex: str) -> Column:
+    """array<struct<gap, m>>: the matches of a text, each with the text before it
+    and behind the match before.  Splitting by the pattern gives the gaps, so all
+    of it stays in the JVM."""
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    between = F.split(text, regex, -1)
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("len"), m.alias("m")))
+    return F.zip_with(F.slice(F.split(text, regex, -1), F.lit(1), F.size(found)), found, lambda b, m: F.struct(b.alias("gap"), m.alias("m")))
 
-    def placed(p: Column) -> Column:
-        def start(m: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(p, F.lit(1), i), F.lit(0), lambda s, q: s + q["gap"] + q["len"])
-            return F.struct((before + m["gap"] + 1).alias("column"), m["m"].alias("match_text"))
 
-        return F.transform(p, start)
+def _positions(text: Column, regex: str) -> Column:
+    """array<struct<column, match_text>> of the matches of a line."""
+
+    def placed(pairs: Column) -> Column:
+        before = prefix_sums(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["m"])))
+        return F.zip_with(pairs, before, lambda p, at: F.struct((at + F.length(p["gap"]) + 1).cast("int").alias("column"), p["m"].alias("match_text")))
 
-    return F.transform(F.array(pairs), placed)[0]  # names the pairs, so a line is split once
+    return named(_spans(text, regex), placed)
 
 
 def find_matches(files: DataFrame, pattern: Pattern, whole_word: bool = False, preview_chars: int = PREVIEW_CHARS) -> DataFrame:
@@ -47,12 +47,16 @@ def find_matches(files: DataFrame, pattern: Pattern, whole_word: bool = False, p
     end_line, end_column (1-based, in characters; the end is exclusive),
     match_text, preview, preview_truncated, producer, reliability, exact.
 
-    A pattern that can match a line break is searched over whole contents."""
+    A pattern that can match a line break or is anchored is searched over whole
+    contents, any other line by line; both in the same dialect."""
     regex = word_bounded(pattern.regex) if whole_word else pattern.regex
-    if "\n" in pattern.text or pattern.mode == "regex" and re.search(r"\\n|\\s|\(\?s|\[\^", pattern.text):
-        return _across_lines(files, pattern, whole_word, preview_chars)
-    hits = lines(files.select("path", "language", "content")).where(F.rlike("text", F.lit(regex)))
-    each = hits.select("path", "language", "line", "text", F.explode(_positions(F.col("text"), regex)).alias("m"))
+    files = files.select("path", "language", "content")
+    if pattern.line_literal:
+        files = files.where(F.contains(F.lower("content"), F.lit(pattern.line_literal.lower())))
+    if pattern.spans_lines:
+        return _in_contents(files, regex, preview_chars)
+    hits = lines(files).where(F.rlike("text", F.lit(regex)))
+    each = hits.select("path", "language", "line", "text", F.explode(_positions(F.col("text"), regex)).alias("m")).where("m.match_text <> ''")
     return each.select(
         "path",
         "language",
@@ -77,30 +81,31 @@ def _evidence(line_text: Column, preview_chars: int) -> list[Column]:
     ]
 
 
-_SPANS = "path string, language string, line int, column int, end_line int, end_column int, match_text string, text string"
-
-
-def _across_lines(files: DataFrame, pattern: Pattern, whole_word: bool, preview_chars: int) -> DataFrame:
-    source = re.sub(r"^\(\?iu\)", "", pattern.regex)
-    source = f"(?<![A-Za-z0-9_])(?:{source})(?![A-Za-z0-9_])" if whole_word else source
-    flags = 0 if pattern.case_sensitive else re.IGNORECASE
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = re.compile(source, flags)
-        for part in parts:
-            rows = []
-            for path, language, content in zip(*(part.column(i).to_pylist() for i in range(3))):
-                for m in compiled.finditer(content or ""):
-                    if m.end() > m.start():
-                        a, b = content.rfind("\n", 0, m.start()) + 1, content.rfind("\n", 0, m.end()) + 1
-                        stop = content.find("\n", m.start())
-                        rows.append((path, language, content.count("\n", 0, a) + 1, m.start() - a + 1, content.count("\n", 0, b) + 1, m.end() - b + 1, m[0], content[a : stop if stop >= 0 else None]))
-            columns = list(zip(*rows)) or [[]] * 8
-            kinds = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _SPANS.split(", ")])
-
-    found = files.select("path", "language", "content").mapInArrow(run, _SPANS)
-    return found.select("path", "language", "line", "column", "end_line", "end_column", "match_text", *_evidence(F.col("text"), preview_chars))
+def _in_contents(files: DataFrame, regex: str, preview_chars: int) -> DataFrame:
+    """Matches of whole contents.  Lines are counted as line breaks before and in
+    each match, columns from the start of the line; both are prefix sums."""
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+    def placed(pairs: Column) -> Column:
+        at = prefix_sums(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["m"])))
+        line = prefix_sums(F.transform(pairs, lambda p: breaks(p["gap"]) + breaks(p["m"])))
+        here = lambda p, z: F.struct(
+            p["m"].alias("match_text"), (z["at"] + F.length(p["gap"])).alias("at"), (z["line"] + breaks(p["gap"])).cast("int").alias("line"),
+            (z["line"] + breaks(p["gap"]) + breaks(p["m"])).cast("int").alias("end_line"),
+        )
+        return F.zip_with(pairs, F.arrays_zip(at.alias("at"), line.alias("line")), here)
+
+    hits = files.where(F.rlike("content", F.lit(regex)))
+    hits = hits.select("path", "language", F.split("content", "\n").alias("__lines"), named(_spans(F.col("content"), regex), placed).alias("__found"))
+    starts = prefix_sums(F.transform("__lines", lambda t: F.length(t) + 1))
+    each = hits.withColumn("__starts", starts).select("path", "language", "__lines", "__starts", F.explode("__found").alias("m")).where("m.match_text <> ''")
+    column = lambda at, line: (at - F.col("__starts")[line] + 1).cast("int")
+    end = F.col("m.at") + F.length("m.match_text")
+    each = each.select(
+        "path", "language", (F.col("m.line") + 1).alias("line"), column(F.col("m.at"), F.col("m.line")).alias("column"),
+        (F.col("m.end_line") + 1).alias("end_line"), column(end, F.col("m.end_line")).alias("end_column"), F.col("m.match_text").alias("match_text"), F.col("__lines")[F.col("m.line")].alias("text"),
+    )
+    return each.select("path", "language", "line", "column", "end_line", "end_column", "match_text", *_evidence(F.col("text"), preview_chars))
 
 
 def with_context(matches: DataFrame, files: DataFrame, around: int) -> DataFrame:
@@ -165,31 +170,49 @@ def read_range(files: DataFrame, path: str, first: int | None = None, last: int
 
 
 _TOKENS = "path string, language string, line int, column int, name string"
+_BATCH_ROWS = 1 << 16
+
+
+def tokens(files: DataFrame, parts: list[str] | None = None) -> DataFrame:
+    """ASCII identifiers with positions: (path, language, line, column, name), in
+    Arrow batches.  With ``parts`` only those that hold one of them, case ignored;
+    contents and lines without any are passed over first."""
+    files = files.select("path", "language", "content")
+    wanted = [p.lower() for p in parts or []]
+    if wanted:
+        has = F.lit(False)
+        for part in wanted:
+            has = has | F.contains(F.lower("content"), F.lit(part))
+        files = files.where(has)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile("[A-Za-z_][A-Za-z0-9_]*")
+        names = [f.split()[0] for f in _TOKENS.split(", ")]
 
+        def flush(part: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+            row, line, column, name = zip(*found) if found else ([],) * 4
+            here = pa.array(row, pa.int32())
+            return pa.RecordBatch.from_arrays([part.column(0).take(here), part.column(1).take(here), pa.array(line, pa.int32()), pa.array(column, pa.int32()), pa.array(name, pa.string())], names)
 
-def tokens(files: DataFrame) -> DataFrame:
-    """ASCII identifiers with positions: (path, language, line, column, name).
-    Every word of a corpus is one, so this is one linear pass in Arrow batches."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile("[A-Za-z_][A-Za-z0-9_]*")
-        for part in parts:
+        for part in batches:
+            found: list[tuple] = []
             for row, content in enumerate(part.column(2).to_pylist()):
-                found = [(n, m.start() + 1, m[0]) for n, line in enumerate((content or "").split("\n"), 1) for m in word.finditer(line)]
-                if found:
-                    line, column, name = zip(*found)
-                    here = pa.array([row] * len(found), pa.int32())
-                    columns = [part.column(0).take(here), part.column(1).take(here), pa.array(line, pa.int32()), pa.array(column, pa.int32()), pa.array(name)]
-                    yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _TOKENS.split(", ")])
-
-    return files.select("path", "language", "content").mapInArrow(run, _TOKENS)
+                for n, line in enumerate((content or "").split("\n"), 1):
+                    if wanted:
+                        low = line.lower()
+                        if not any(p in low for p in wanted):
+                            continue
+                        found += [(row, n, m.start() + 1, m[0]) for m in word.finditer(line) if any(p in m[0].lower() for p in wanted)]
+                    else:
+                        found += [(row, n, m.start() + 1, m[0]) for m in word.finditer(line)]
+                if len(found) >= _BATCH_ROWS:
+                    yield flush(part, found)
+                    found = []
+            yield flush(part, found)
+
+    return files.mapInArrow(run, _TOKENS)
 
 
 def line_offsets(content: Column) -> Column:
     """Byte offset of the start of each line."""
-    sizes = F.transform(F.split(content, "\n"), lambda t: F.octet_length(t) + 1)
-    return F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, n: s + n))
-
-
-def numbered(matches: DataFrame, order: list[str]) -> DataFrame:
-    return matches.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(*order)))
+    return F.transform(prefix_sums(F.transform(F.split(content, "\n"), lambda t: F.octet_length(t) + 1)), lambda x: x.cast("int"))

@@ -319,8 +319,8 @@ def identifier_parts(spark: SparkSession, d: str) -> DataFrame:
     FROM z WHERE lower(name) = 'the' OR k IN ('x_the_int', 'x_the', 'the_int', 'the')"""
 )
 def input_variants(spark: SparkSession, d: str) -> DataFrame:
-    names = search.tokens(files(spark, d)).select("name").distinct()
     plan = InputPlan("X.the(int)")
+    names = search.tokens(files(spark, d), plan.parts).select("name").distinct()
     return names.select("name", plan.matched_kind([F.col("name")]).alias("matched")).where(F.col("matched").isNotNull())
 
 
@@ -348,25 +348,24 @@ def symbol_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TOKENS} SELECT name, language, path, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column" FROM o WHERE role = 'definition' AND lower(name) = 'the'""")
 def defs(spark: SparkSession, d: str) -> DataFrame:
-    named = InputPlan("The").matched_kind([F.col("name")]).isNotNull()
-    found = symbols.definitions(adapters.occurrences(spark, d, named), F.lit(True))
+    found = symbols.definitions(adapters.occurrences(spark, d, InputPlan("The")), F.lit(True))
     return found.select("name", "language", "path", F.col("start_line").cast("long").alias("line"), F.col("start_column").cast("long").alias("column"))
 
 
 @query(
-    f"""WITH {TOKENS}, dd AS (SELECT symbol_key, path AS def_path, line AS def_line, "column" AS def_column FROM o WHERE role = 'definition')
+    f"""WITH {TOKENS.replace("AS m FROM l)", "AS m FROM l WHERE contains(lower(text), 'that'))")}, dd AS (SELECT symbol_key, path AS def_path, line AS def_line, "column" AS def_column FROM o WHERE role = 'definition')
     SELECT o.symbol_key, o.path, o.line AS start_line, o."column" AS start_column, def_path, def_line, def_column
     FROM o JOIN dd ON dd.symbol_key = o.symbol_key WHERE role = 'reference' AND lower(name) = 'that'"""
 )
 def refs_with_definition(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.occurrences(spark, d, InputPlan("that").matched_kind([F.col("name")]).isNotNull())
+    rows = adapters.occurrences(spark, d, InputPlan("that"))
     hits = rows.where("role = 'reference'")
     return symbols.references_with_definition(hits, rows.where("role = 'definition'")).select("symbol_key", "path", "start_line", "start_column", "def_path", "def_line", "def_column")
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT language, name FROM o WHERE contains(lower(name), 'tion')")
 def symbols_contains(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.occurrences(spark, d, InputPlan("tion").matched_kind([F.col("name")], contains=True).isNotNull())
+    rows = adapters.occurrences(spark, d, InputPlan("tion"), contains=True)
     return rows.where("role = 'definition'").select("language", "name").distinct()
 
 
@@ -525,13 +524,13 @@ def prefer_precise(spark: SparkSession, d: str) -> DataFrame:
     return graph.prefer_precise(c).select("call_line", "caller_id", "target", "source")
 
 
-_TYPES = "y AS (SELECT 'T' || c_custkey AS subtype, 'T' || (c_custkey // 3) AS supertype FROM customer WHERE c_custkey > 0)"
-_CLOSURE = _TYPES + """, w AS (SELECT subtype, supertype, 1 AS depth FROM y UNION ALL SELECT w.subtype, y.supertype, depth + 1 FROM w JOIN y ON y.subtype = w.supertype WHERE depth < 16),
+_TYPES = "y AS (SELECT 'T' || c_custkey AS subtype, 'T' || CASE WHEN c_custkey <= 40 THEN c_custkey - 1 ELSE c_custkey // 3 END AS supertype FROM customer WHERE c_custkey > 0)"
+_CLOSURE = _TYPES + """, w AS (SELECT subtype, supertype, 1 AS depth FROM y UNION ALL SELECT w.subtype, y.supertype, depth + 1 FROM w JOIN y ON y.subtype = w.supertype),
 cl AS (SELECT subtype, supertype, CAST(min(depth) AS INT) AS depth FROM w WHERE subtype <> supertype GROUP BY 1, 2)"""
 
 
 def _types(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").where("c_custkey > 0").select(F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("subtype"), F.concat(F.lit("T"), F.expr("c_custkey div 3").cast("string")).alias("supertype"))
+    return table(spark, d, "customer").where("c_custkey > 0").select(F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("subtype"), F.concat(F.lit("T"), F.expr("IF(c_custkey <= 40, c_custkey - 1, c_custkey div 3)").cast("string")).alias("supertype"))
 
 
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT * FROM cl")

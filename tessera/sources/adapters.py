@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import search, symbols
+from tessera.plans.inputs import InputPlan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +42,13 @@ def snapshot_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.unionByName(new).select("path", "language", F.octet_length("content").cast("long").alias("size"), "mtime_ms", F.lit(0o644).cast("long").alias("mode"), F.sha2("content", 256).alias("hash"), "content")
 
 
-def occurrences(spark: SparkSession, sf_dir: str, named: Column | None = None) -> DataFrame:
-    """Identifiers of documents as occurrences; ``named`` restricts the names, and
+def occurrences(spark: SparkSession, sf_dir: str, plan: InputPlan | None = None, contains: bool = False) -> DataFrame:
+    """Identifiers of documents as occurrences; ``plan`` restricts the names, and
     is applied before definitions are found, which a name decides by itself."""
-    found = search.tokens(files(spark, sf_dir))
-    return symbols.tokens_as_occurrences(found if named is None else found.where(named))
+    if plan is None:
+        return symbols.tokens_as_occurrences(search.tokens(files(spark, sf_dir)))
+    found = search.tokens(files(spark, sf_dir), plan.parts)
+    return symbols.tokens_as_occurrences(found.where(plan.matched_kind([F.col("name")], contains=contains).isNotNull()))
 
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:

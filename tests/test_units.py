@@ -138,6 +138,54 @@ def test_match_across_lines_equals_python(spark):
     assert [(r.line, r.column, r.end_line, r.end_column) for r in got] == [(1, 1, 2, 4), (2, 5, 3, 4)]
 
 
+@pytest.mark.parametrize(
+    "regex,want",
+    [
+        (r"\w+", [(1, 1, "naïve"), (1, 7, "été"), (2, 1, "import"), (2, 8, "y"), (3, 1, "n9"), (3, 4, "import")]),
+        (r"y\W+n", [(2, 8, "y\nn")]),
+        (r"y\sn", [(2, 8, "y\nn")]),
+        (r"^import", []),
+        (r"^na.ve", [(1, 1, "naïve")]),
+        (r"(?m)^import", [(2, 1, "import")]),
+        (r"import$", [(3, 4, "import")]),
+        (r"(?m)y$", [(2, 8, "y")]),
+        (r"é[^x]+y", [(1, 7, "été\nimport y")]),
+        (r"[[:digit:]]+", [(3, 2, "9")]),
+        (r"t.i", []),
+        (r"(?s)é.i", [(1, 9, "é\ni")]),
+        (r"x*", []),
+    ],
+)
+def test_regex_dialect(spark, regex, want):
+    df = frame(spark, [("a", "text", "naïve été\nimport y\nn9 import")], FILES)
+    got = search.find_matches(df, patterns.compile_pattern(regex, "regex")).orderBy("line", "column").collect()
+    assert [(r.line, r.column, r.match_text) for r in got] == want
+
+
+def test_prefix_sums(spark):
+    from tessera.functions.arrays import prefix_sums
+
+    rows = [([],), (None,), ([3],), (list(range(1, 700)),), ([1] * 64,), ([2] * 65,)]
+    got = frame(spark, rows, "v array<int>").select("v", prefix_sums(F.col("v")).alias("p")).collect()
+    assert all(r.p == (None if r.v is None else [sum(r.v[:i]) for i in range(len(r.v))]) for r in got) and len(got) == len(rows)
+
+
+def test_type_closure_has_no_depth_limit(spark):
+    rows = [(f"t{i}", f"t{i + 1}") for i in range(40)] + [("t40", "t35"), ("a", "t3"), ("a", "t1"), ("a", "a")]
+    got = {(r.subtype, r.supertype): r.depth for r in graph.type_closure(frame(spark, rows, "subtype string, supertype string")).collect()}
+    want, edges = {}, {}
+    for a, b in rows:
+        edges.setdefault(a, set()).add(b)
+    for start in edges:
+        front, depth, seen = {start}, 0, {start}
+        while front:
+            depth += 1
+            front = {n for f in front for n in edges.get(f, ())} - seen
+            seen |= front
+            want |= {(start, n): depth for n in front}
+    assert got == want and max(got.values()) == 40
+
+
 def test_prefilter_loses_nothing(spark):
     from tessera.functions.grams import explode_grams
 
