@@ -117,14 +117,25 @@ def with_context(matches: DataFrame, files: DataFrame, around: int) -> DataFrame
     return matches.join(split, "path").withColumn("context", cells).drop("__lines")
 
 
-def prefiltered(files: DataFrame, postings: DataFrame, literal: str, fold_case: bool) -> DataFrame:
-    """Files whose postings hold every trigram of the literal; the postings must
-    have been built with the same case folding, then nothing is lost."""
+def gram_hits(postings: DataFrame, literal: str, fold_case: bool) -> DataFrame | None:
+    """Paths whose postings hold every trigram of the literal; the postings must
+    have been built with the same case folding.  None if it has no trigram."""
     wanted = literal_grams(literal.lower() if fold_case else literal)
     if not wanted:
+        return None
+    hits = postings.where(F.col("gram").isin(wanted)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return hits.where(F.col("n") == len(wanted)).select("path")
+
+
+def prefiltered(files: DataFrame, postings: DataFrame, literal: str, fold_case: bool) -> DataFrame:
+    """Files that may hold the literal; none that does is lost.  Files with a
+    column source that is not "index" have no postings and stay."""
+    hits = gram_hits(postings, literal, fold_case)
+    if hits is None:
         return files
-    hits = postings.where(F.col("gram").isin(wanted)).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
-    return files.join(hits, "path", "left_semi")
+    indexed = files.where("source = 'index'") if "source" in files.columns else files
+    kept = indexed.join(hits, "path", "left_semi")
+    return kept.unionByName(files.where("source <> 'index'")) if "source" in files.columns else kept
 
 
 def find_files(catalog: DataFrame, pattern: Pattern) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identifiers as ids
 from tessera.functions import paths, secrets
-from tessera.functions.grams import explode_grams, literal_grams
+from tessera.functions.grams import explode_grams, gram_text, literal_grams
 from tessera.functions.patterns import compile_pattern
 from tessera.operators import config, events, graph, project, results, routes, scheduler, search, snapshots, symbols
 from tessera.plans.inputs import Coordinate, InputPlan
+from tessera.plans.stored import StoredFacts, stored_facts
 from tessera.sources import adapters, catalog, occurrences
 from tessera.sources.adapters import file_events, files, snapshot_now, supply_edges, table
 from tessera.sources.catalog import Scope
@@ -179,9 +180,14 @@ def find_context(spark: SparkSession, d: str) -> DataFrame:
     return search.with_context(found, base, 1).select("path", "line", shown.alias("context"))
 
 
+def facts(spark: SparkSession, d: str) -> StoredFacts:
+    """Stored facts of the documents, built when first asked for."""
+    return stored_facts(spark, f"{d}/documents.parquet", files(spark, d))
+
+
 @query(f"WITH {FILES} SELECT path, language, size, 'txt' AS extension, split_part(path, '/', 1) AS top_dir FROM f WHERE contains(path, 'doc12')")
 def files_literal(spark: SparkSession, d: str) -> DataFrame:
-    return search.find_files(files(spark, d), compile_pattern("DOC12", path=True))
+    return search.find_files(facts(spark, d).catalog(), compile_pattern("DOC12", path=True))
 
 
 @query(f"WITH {FILES} SELECT path FROM f WHERE regexp_full_match(path, 'src[0-3]/.*/doc[^0]*1[.]txt')")
@@ -221,10 +227,11 @@ gr AS (SELECT DISTINCT path, lower(hex(c[i:i + 2])) AS gram FROM (SELECT path, c
 
 @query(f"WITH {GRAMS} SELECT gram, count(*) AS files FROM gr GROUP BY 1")
 def gram_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return explode_grams(files(spark, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
+    counted = explode_grams(files(spark, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
+    return counted.select(gram_text(F.col("gram")).alias("gram"), "files")
 
 
-_CANDIDATE_GRAMS = ", ".join(f"'{g}'" for g in literal_grams("Licensed"))
+_CANDIDATE_GRAMS = ", ".join(f"'{g:06x}'" for g in literal_grams("Licensed"))
 
 
 @query(f"WITH {GRAMS} SELECT path FROM gr WHERE gram IN ({_CANDIDATE_GRAMS}) GROUP BY 1 HAVING count(*) = {len(literal_grams('Licensed'))}")
@@ -235,8 +242,15 @@ def gram_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(match_sql("(?i)licensed"))
 def find_with_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    base = files(spark, d)
-    return search.find_matches(search.prefiltered(base, explode_grams(base, fold_case=True), "Licensed", fold_case=True), compile_pattern("Licensed"))
+    return search.find_matches(search.prefiltered(files(spark, d), facts(spark, d).grams(), "Licensed", fold_case=True), compile_pattern("Licensed"))
+
+
+@query(
+    f"""WITH {GRAMS.replace("encode(content) AS c, strlen(content) AS n", "encode(lower(content)) AS c, strlen(lower(content)) AS n")}, x AS (SELECT unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS name, language FROM f)
+    SELECT (SELECT count(*) FROM f) AS catalog, (SELECT count(*) FROM gr) AS grams, (SELECT count(*) FROM x) AS occurrences, (SELECT count(*) FROM (SELECT DISTINCT language, name FROM x)) AS symbols"""
+)
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    return facts(spark, d).counts()
 
 
 # -- result sets
@@ -348,7 +362,7 @@ def symbol_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TOKENS} SELECT name, language, path, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column" FROM o WHERE role = 'definition' AND lower(name) = 'the'""")
 def defs(spark: SparkSession, d: str) -> DataFrame:
-    found = symbols.definitions(adapters.occurrences(spark, d, InputPlan("The")), F.lit(True))
+    found = symbols.definitions(facts(spark, d).named(InputPlan("The")), F.lit(True))
     return found.select("name", "language", "path", F.col("start_line").cast("long").alias("line"), F.col("start_column").cast("long").alias("column"))
 
 
@@ -358,15 +372,14 @@ def defs(spark: SparkSession, d: str) -> DataFrame:
     FROM o JOIN dd ON dd.symbol_key = o.symbol_key WHERE role = 'reference' AND lower(name) = 'that'"""
 )
 def refs_with_definition(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.occurrences(spark, d, InputPlan("that"))
-    hits = rows.where("role = 'reference'")
-    return symbols.references_with_definition(hits, rows.where("role = 'definition'")).select("symbol_key", "path", "start_line", "start_column", "def_path", "def_line", "def_column")
+    stored, plan = facts(spark, d), InputPlan("that")
+    hits = stored.named(plan, "occurrences").where("role = 'reference'")
+    return symbols.references_with_definition(hits, stored.named(plan)).select("symbol_key", "path", "start_line", "start_column", "def_path", "def_line", "def_column")
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT language, name FROM o WHERE contains(lower(name), 'tion')")
 def symbols_contains(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.occurrences(spark, d, InputPlan("tion"), contains=True)
-    return rows.where("role = 'definition'").select("language", "name").distinct()
+    return facts(spark, d).named(InputPlan("tion"), contains=True).select("language", "name").distinct()
 
 
 @query(
