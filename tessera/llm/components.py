@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not was[0]:
             break
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(_small_star(_large_star(edges)), 2 * was[0])
         now = state(edges)
         if now == was:
             break

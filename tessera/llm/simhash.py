@@ -11,32 +11,26 @@ fingerprints are one node, however many documents share them.
 
 from __future__ import annotations
 
-import functools
-import operator
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
-from tessera.llm.common import checkpoint, documents, split_join
+from tessera.llm.common import checkpoint, documents, shuffle_partitions, split_join
 from tessera.llm.components import connected_components
 
-BITS, MINHASH_SEED, BLOCK = 64, 8, 256
-
-
-def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
-    """Hashes for a further fingerprint word, independent of the first's."""
-    if not number:
-        return hashes
-    with np.errstate(over="ignore"):
-        h = hashes + np.uint64(number) * textops.P1
-        h = (h ^ (h >> np.uint64(30))) * textops.P2
-        h = (h ^ (h >> np.uint64(27))) * textops.P3
-    return h ^ (h >> np.uint64(31))
+BITS, MINHASH_SEED = 64, 8
+#: Members of a key that are paired with each other at most.
+HOT = 1024
+#: A block of nodes that are compared holds about so many nodes and shingles at most.
+NODES, CELL = 1024, 1 << 19
+#: Pairs that are counted at once, and the shares of all bands after which components are renewed.
+PIECE, ROUNDS = 1 << 19, (0.15, 0.45, 1.0)
 
 
 def shingle_hashes(run: list[bytes], shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,27 +46,25 @@ def shingle_hashes(run: list[bytes], shingle: int, seed: int) -> tuple[np.ndarra
     return textops.xxh64_spans(found.buffer, found.starts[begin], found.ends[last], seed), first
 
 
-def fingerprint_batch(texts: list[bytes], shingle: int = 3, seed: int = 42, words: int = 1) -> np.ndarray:
-    """SimHash of each text, ``words`` 64-bit words a row: A-Z lowered,
-    ``shingle``-word shingles with repeats (fewer words: all of them, none:
-    zero), XXH64 of each, majority."""
-    out = [np.zeros((0, words), np.uint64)]
+def fingerprint_batch(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of each text: A-Z lowered, ``shingle``-word shingles with repeats
+    (fewer words: all of them, none: zero), XXH64 of each, majority."""
+    out = [np.zeros(0, np.uint64)]
     for _, run in textops.batches(texts):
         hashes, first = shingle_hashes(run, shingle, seed)
-        out.append(np.stack([textops.bit_majority(_mixed(hashes, k), first) for k in range(words)], axis=1))
+        out.append(textops.bit_majority(hashes, first))
     return np.concatenate(out)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1, ...): fingerprint words as signed longs.  No shuffle."""
-    names = ["fp", *(f"fp{k}" for k in range(1, words))]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fp): fingerprints as signed longs.  No shuffle."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = fingerprint_batch(textops.as_bytes(part.column(1)), shingle, words=words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[:, k]) for k in range(words))], ["doc_id", *names])
+            found = fingerprint_batch(textops.as_bytes(part.column(1)), shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["doc_id", "fp"])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 def _keys(fps: DataFrame, max_bits: int, low_side: bool) -> DataFrame:
@@ -92,12 +84,46 @@ def _keys(fps: DataFrame, max_bits: int, low_side: bool) -> DataFrame:
     return step.where(side).select((F.shiftleft(F.col("n").cast("long"), 40).bitwiseXOR(key)).alias("key"), "fp")
 
 
+def _spread(entries: DataFrame, max_bits: int) -> DataFrame:
+    """Star links of entries (key, fp) of keys that many share.  Those that agree in
+    a key and, outside its segment, in all but the bits the key has left over are at
+    most ``max_bits`` apart, whichever they are, so each group is linked with its
+    smallest, and every close pair is in a group."""
+    segments = max_bits // 2 + 1
+    width = -(-BITS // segments)
+    variants = width + 1
+    number = "shiftrightunsigned(key, 40)"
+    rest = entries.select("key", "fp", F.expr(f"fp & ~shiftleft({(1 << width) - 1}L, int({number} div {variants}) * {width})").alias("rest"), F.expr(f"{max_bits} - int({number} % {variants} > 0)").alias("left"))
+    masks = {n: [sum(1 << b for b in bits) for bits in itertools.combinations(range(BITS), n)] for n in range(max_bits + 1)}
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    table = F.create_map(*[c for n, all_ in masks.items() for c in (F.lit(n), F.lit([signed(m) for m in all_]))])
+    wiped = rest.select("key", "fp", F.explode(table[F.col("left")]).alias("m"), "rest")
+    groups = wiped.select("key", "fp", "m", F.expr("rest & ~m").alias("rest"))
+    least = groups.groupBy("key", "m", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
+    return split_join(groups, least, ["key", "m", "rest"]).where("a <> fp").select("a", F.col("fp").alias("b"))
+
+
 def fingerprint_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints at most ``max_bits`` apart; each
-    pair at least once.  ``fps`` has one column, fp, without repeats."""
-    low = _keys(fps, max_bits, True).withColumnRenamed("fp", "a")
-    high = _keys(fps, max_bits, False).withColumnRenamed("fp", "b")
-    return low.join(high, "key").where(F.expr(f"a <> b AND bit_count(a ^ b) <= {max_bits}")).select("a", "b")
+    """Links (a, b) between distinct fingerprints at most ``max_bits`` apart: every
+    such pair is linked, or connected by links.  ``fps`` has one column, fp, without
+    repeats.  The members of a key are paired; of keys with more than HOT members
+    (of at most two bits) they are linked in stars, at a cost linear in them."""
+    low = _keys(fps, max_bits, True)
+    high = _keys(fps, max_bits, False)
+    spread = None
+    if max_bits <= 2:
+        plain = f"shiftrightunsigned(key, 40) % {-(-BITS // (max_bits // 2 + 1)) + 1} = 0"
+        entries = low.unionByName(high.where(f"NOT ({plain})"))
+        hot = checkpoint(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
+        if not hot.isEmpty():
+            spread = _spread(split_join(entries, hot, "key"), max_bits)
+            low, high = (split_join(side, hot, "key", "left_anti") for side in (low, high))
+    variants = -(-BITS // (max_bits // 2 + 1)) + 1
+    pairs = low.withColumnRenamed("fp", "a").join(high.withColumnRenamed("fp", "b"), "key")
+    # with nothing wiped both sides hold both members, else the sides differ in the wiped bit
+    once = f"a < b OR shiftrightunsigned(key, 40) % {variants} > 0 AND a <> b"
+    pairs = pairs.where(F.expr(f"bit_count(a ^ b) <= {max_bits} AND ({once})")).select("a", "b")
+    return pairs if spread is None else pairs.unionByName(spread)
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -119,106 +145,14 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _grouped(marked: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Name the components: marked (doc_id, fp), nodes (fp, least), links (a, b)."""
     linked = connected_components(links)
-    placed = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    placed = split_join(nodes, linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
+    names = split_join(placed.select("fp", "component"), least, "component").select("fp", "component_id")
     return split_join(marked.select("doc_id", "fp"), names, "fp").select(
         "doc_id", "fp", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
-#: Members of a ball lie within this many bits of its centre, of all and of the first word.
-BALL_BITS, BALL_FIRST_BITS = 24, 6
-
-
-def _names(words: int) -> list[str]:
-    return ["fp", *(f"fp{k}" for k in range(1, words))]
-
-
-def _differ(names: list[str], a: str = "", b: str = "") -> Column:
-    """Differing bits of two fingerprints whose words have these prefixes."""
-    return functools.reduce(operator.add, (F.bit_count(F.col(a + n).bitwiseXOR(F.col(b + n))) for n in names))
-
-
-def _entries(nodes: DataFrame, carry: list[str], words: int, segments: int, wild: bool) -> DataFrame:
-    """The columns ``carry`` and a key for each segment of each word; with
-    ``wild`` also a key for each segment with one of its bits wiped."""
-    width = BITS // segments
-    variants = width + 1 if wild else 1
-    each = nodes.select(*carry, F.posexplode(F.array(*_names(words))).alias("word", "bits"))
-    each = each.select(*carry, "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(segments * variants - 1))).alias("n"))
-    segment = F.expr(f"shiftrightunsigned(bits, int(n div {variants}) * {width}) & {(1 << width) - 1}L")
-    number = F.expr(f"word * {segments * variants} + n")
-    wiped = each.select(*carry, segment.alias("segment"), F.expr(f"int(n % {variants}) - 1").alias("bit"), number.alias("n"))
-    # a wiped bit is kept in the number of the variant; the untouched segment is variant 0
-    return wiped.select(*carry, F.expr("shiftleft(bigint(n), 40) ^ IF(bit < 0, segment, segment & ~shiftleft(1L, greatest(bit, 0)))").alias("key"))
-
-
-def similar_links(nodes: DataFrame, words: int, segments: int, max_bits: int) -> DataFrame:
-    """Links (a, b) between nodes, named by their first fingerprint word, at most
-    ``max_bits`` of all their bits apart.
-
-    Candidates are all pairs that share a one-wildcard variant of a segment and
-    differ in at most ``max_bits // words + 5`` bits of the first word, three
-    deviations.  No key is cut short; what is spared is comparing nodes that are
-    known to be connected, so the links given connect all that linking every close
-    candidate would, and now and then another pair that is as close:
-
-    * neighbours in the order of an untouched segment that are close are linked
-      first, which gathers dense groups at a cost linear in their size;
-    * a key whose nodes are all in one such group is done;
-    * elsewhere nodes near the first node of their group stand behind it, as a
-      ball, and a ball meets those of other groups.  Members are compared only
-      for balls whose centres are close enough to allow a link.
-    """
-    names = _names(words)
-    first_bits = max_bits // words + 5
-    nodes = checkpoint(nodes.select(*names))
-
-    before = F.lag(F.struct(*names)).over(Window.partitionBy("key").orderBy("fp"))
-    beside = _entries(nodes, names, words, segments, False).select(*names, before.alias("b")).where("b IS NOT NULL")
-    beside = beside.select(*names, *(F.col(f"b.{n}").alias("b" + n) for n in names)).where(_differ(names, "", "b") <= max_bits)
-    sure = checkpoint(beside.select(F.col("fp").alias("a"), F.col("bfp").alias("b")).distinct())
-    groups = connected_components(sure).withColumnRenamed("node", "fp")
-
-    placed = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    centres = split_join(nodes.select(F.col("fp").alias("component"), *(F.col(n).alias("c" + n) for n in names)), sizes, "component")
-    inside = (_differ(names, "", "c") <= BALL_BITS) & (_differ(["fp"], "", "c") <= BALL_FIRST_BITS)
-    ball = F.when(inside, F.col("component")).otherwise(F.col("fp"))
-    wide = F.expr("int(size > 1 AND ball = component)")
-    balled = checkpoint(split_join(placed, centres, "component").select(*names, "component", "size", ball.alias("ball")).withColumn("wide", wide))
-
-    group, over = F.struct("size", "component"), Window.partitionBy("key")
-    carry = ["ball", "component", "size", "wide"]
-    keyed = _entries(balled, carry, words, segments, True)
-    keyed = keyed.select(*carry, "key", F.max(group).over(over).alias("most"), F.min(group).over(over).alias("least")).where("most <> least")
-    mixed = checkpoint(keyed.select("key", "ball", "component", "wide", F.expr("component = most.component").alias("lead")).distinct())
-    side = lambda own: [F.col(n).alias(own + n) for n in ("ball", "component", "wide")]
-    # the largest group of a key meets the others, never itself
-    met = split_join(mixed.where("NOT lead").select("key", *side("a_")), mixed.select("key", *side("b_")), "key")
-    met = met.where(f"a_component <> b_component AND bit_count(a_ball ^ b_ball) <= {first_bits} + {BALL_FIRST_BITS} * (a_wide + b_wide)")
-    met = met.select(
-        F.least("a_ball", "b_ball").alias("afp"), F.greatest("a_ball", "b_ball").alias("bfp"),
-        F.expr("IF(a_ball < b_ball, a_wide, b_wide)").alias("awide"), F.expr("IF(a_ball < b_ball, b_wide, a_wide)").alias("bwide"),
-    ).distinct()
-    for own in "ab":
-        met = split_join(met, nodes.select(*(F.col(n).alias(own + n) for n in names)), own + "fp")
-    apart = _differ(names, "a", "b")
-    met = checkpoint(met.where(apart <= F.expr(f"{max_bits} + {BALL_BITS} * (awide + bwide)")).withColumn("apart", apart))
-    direct = met.where(F.col("apart") <= max_bits).select(F.col("afp").alias("a"), F.col("bfp").alias("b"))
-
-    def members(own: str, other: str) -> DataFrame:
-        """Members of one ball of each undecided pair that the other may reach."""
-        open_pairs = met.where(F.col("apart") > max_bits).withColumn("ball", F.col(own + "fp"))
-        found = split_join(open_pairs, balled.select("ball", *(F.col(n).alias("m" + n) for n in names)), "ball")
-        found = found.where(_differ(names, "m", other) <= F.lit(max_bits) + BALL_BITS * F.col(other + "wide"))
-        return found.select("afp", "bfp", *(F.col("m" + n).alias(own + "m" + n) for n in names))
-
-    inner = split_join(members("a", "b"), members("b", "a"), ["afp", "bfp"]).where(_differ(names, "am", "bm") <= max_bits)
-    return sure.unionByName(direct).unionByName(inner.select(F.col("amfp").alias("a"), F.col("bmfp").alias("b")))
-
-
 def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """MinHash band keys, one row a text: each key mixes the least values of
     ``rows`` permutations of the text's shingle hashes.  Texts have shingles."""
@@ -236,8 +170,8 @@ def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> n
 
 
 def _signed(docs: DataFrame, shingle: int, seed: int, bands: int, rows: int, sets: bool) -> DataFrame:
-    """(doc_id, fp, node, size, keys) or, with ``sets``, (node, shingles) of each
-    row of ``docs``.  A node is a distinct shingle set, named by its hash (none:
+    """(doc_id, text_md5, fp, node, size, keys) or, with ``sets``, (node, shingles)
+    of each row of ``docs``.  A node is a distinct shingle set, named by its hash (none:
     zero); shingles are its sorted 64-bit hashes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,12 +187,13 @@ def _signed(docs: DataFrame, shingle: int, seed: int, bands: int, rows: int, set
                 keys = band_keys(hashes, np.append(first[:-1][full], first[-1]), bands, rows).view(np.int64) if len(full) else np.zeros((0, bands), np.int64)
                 offsets = np.append(0, np.cumsum(np.where(np.diff(first) > 0, bands, 0)))
                 columns = [
-                    part.column(0).slice(at, len(texts)), pa.array(textops.bit_majority(hashes, first).view(np.int64)), node,
+                    part.column(0).slice(at, len(texts)), part.column(2).slice(at, len(texts)), pa.array(textops.bit_majority(hashes, first).view(np.int64)), node,
                     pa.array([len(x) for x in own], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.reshape(-1))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "size", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_md5", "fp", "node", "size", "keys"])
 
-    return docs.mapInArrow(run, "node long, shingles binary" if sets else "doc_id long, fp long, node long, size int, keys array<long>")
+    given = docs.withColumn("text_md5", F.lit("") if sets else F.md5(F.coalesce("text", F.lit(""))))
+    return given.mapInArrow(run, "node long, shingles binary" if sets else "doc_id long, text_md5 string, fp long, node long, size int, keys array<long>")
 
 
 def _alike(similarity: float):
@@ -277,94 +212,204 @@ def _alike(similarity: float):
     return run
 
 
-def _alike_blocks(similarity: float):
-    """Of one block of asking and one of answering nodes, the pairs whose Jaccard
-    similarity suffices.  Shingles are counted in runs, so memory stays bounded."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the number of values that each set on the left shares with each
+    on the right.  Values that few sets hold are counted pair by pair, the others
+    as products of 0/1 matrices, both in pieces of bounded size."""
+    tall, wide = len(left), len(right)
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    values = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    first, many = [], []
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(both, values[k]), max(len(both) - 1, 0))
+        mine = both[at] == values[k] if len(both) else np.zeros(len(at), bool)
+        at, rows[k] = at[mine], rows[k][mine]
+        rows[k] = rows[k][np.argsort(at, kind="stable")]
+        many.append(np.bincount(at, minlength=len(both)))
+        first.append(np.cumsum(many[k]) - many[k])
+    out = np.zeros(tall * wide, np.int32)
+    work = many[0] * many[1]
+    few = np.flatnonzero(work <= max(64, tall * wide // 100))
+    ends = np.cumsum(work[few])
+    for lo in range(0, int(ends[-1]) if len(few) else 0, PIECE):
+        pair = np.arange(lo, min(lo + PIECE, int(ends[-1])))
+        which = np.searchsorted(ends, pair, side="right")
+        value = few[which]
+        i, j = np.divmod(pair - (ends[which] - work[value]), many[1][value])
+        out += np.bincount(rows[0][first[0][value] + i] * wide + rows[1][first[1][value] + j], minlength=tall * wide)
+    out = out.reshape(tall, wide)
+    common = np.flatnonzero(work > max(64, tall * wide // 100))
+    for lo in range(0, len(common), 1024):
+        has = []
+        for k, size in ((0, tall), (1, wide)):
+            some = common[lo : lo + 1024]
+            column = np.repeat(np.arange(len(some)), many[k][some])
+            place = np.repeat(first[k][some] - (np.cumsum(many[k][some]) - many[k][some]), many[k][some]) + np.arange(len(column))
+            matrix = np.zeros((size, len(some)), np.float32)
+            matrix[rows[k][place], column] = 1
+            has.append(matrix)
+        out += (has[0] @ has[1].T).astype(np.int32)
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smallest, node) that connect what the links (a, b) connect; each
+    node is named once."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        was, least = label, np.minimum(label[u], label[v])
+        label = label.copy()
+        np.minimum.at(label, u, least)
+        np.minimum.at(label, v, least)
+        label = label[label]
+        if np.array_equal(label, was):
+            break
+    moved = label != np.arange(len(nodes))
+    return nodes[label[moved]], nodes[moved]
+
+
+def _met(similarity: float):
+    """Of one cell: links between components whose members are similar, as a
+    forest.  A cell holds whole bands, or two blocks of the nodes of one band
+    (``own`` and the cell's i and j tell which)."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, asks = table.column("node").to_numpy(), table.column("asks").to_numpy().astype(bool)
+        table = table.sort_by("key")
+        key, own, component = (table.column(c).to_numpy() for c in ("key", "own", "component"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         sizes = np.array([len(x) for x in sets])
-        value, column = np.unique(np.concatenate(sets), return_inverse=True)
-        row, order = np.repeat(np.arange(len(sets)), sizes), np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        shared = np.zeros((int(asks.sum()), int((~asks).sum())))
-        for lo in range(0, len(value), 4096):
-            a, b = np.searchsorted(column, [lo, lo + 4096])
-            has = np.zeros((len(sets), 4096), np.float32)
-            has[row[a:b], column[a:b] - lo] = 1
-            shared += has[asks] @ has[~asks].T
-        both = sizes[asks][:, None] + sizes[~asks][None, :] - shared
-        x, y = np.nonzero((shared >= similarity * both - 1e-9) & (node[asks][:, None] != node[~asks][None, :]))
-        return pa.table({"a": pa.array(node[asks][x], pa.int64()), "b": pa.array(node[~asks][y], pa.int64())})
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(key)]):
+            left = right = np.arange(a, b)
+            if i != j:
+                left, right = left[own[a:b] == i], right[own[a:b] == j]
+            if not len(left) or not len(right):
+                continue
+            shared = shared_counts([sets[k] for k in left], [sets[k] for k in right])
+            either = sizes[left][:, None] + sizes[right][None, :] - shared
+            x, y = np.nonzero((shared >= similarity * either - 1e-9) & (component[left][:, None] != component[right][None, :]))
+            if len(x):
+                links.append(forest(component[left][x], component[right][y]))
+        found = forest(*(np.concatenate([link[k] for link in links]) for k in (0, 1)))
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _following(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (key, fp, node), each node with the one before it in its band."""
+    last = (None, None)
+    for part in parts:
+        if not part.num_rows:
+            continue
+        key, node = part.column(0).to_numpy(), part.column(2).to_numpy()
+        pairs = [(node[:-1][same], node[1:][same]) for same in [key[1:] == key[:-1]]]
+        if last[0] == key[0]:
+            pairs.append((np.array([last[1]]), node[:1]))
+        last = key[-1], node[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs]), pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _hot_links(entries: DataFrame, hot: DataFrame, count: int, sets: DataFrame, similarity: float) -> DataFrame:
+    """Similar pairs among neighbours in the bands of ``hot``, ordered by
+    fingerprint, and between each node and the band's first.  Their number is
+    linear in the nodes; rows of a band may be in many tasks, and a pair that the
+    border of two tasks parts is left to the later rounds."""
+    rows = checkpoint(split_join(entries, hot, "key").select("key", "fp", "node"), count)
+    parts = shuffle_partitions(entries.sparkSession)
+    beside = rows.repartitionByRange(parts, "key", "fp", "node").sortWithinPartitions("key", "fp", "node").mapInArrow(_following, "a long, b long")
+    first = rows.groupBy("key").agg(F.min(F.struct("fp", "node")).alias("first"))
+    lead = split_join(rows, first, "key").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    pairs = beside.unionByName(lead).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for own in "ab":
         pairs = split_join(pairs, sets.select(F.col("node").alias(own), F.col("shingles").alias("s" + own)), own)
-    return checkpoint(pairs.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long"))
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long")
+
+
+def _band_links(entries: DataFrame, count: int, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between components that share a band and have similar members, all
+    pairs of nodes in different components compared.
+
+    entries: (key, node, size, component), at most ``count`` rows.  Nodes outside a band's largest
+    component are dealt into blocks, and so are those inside; a block of the
+    former meets itself and every other, blocks of the latter never meet each
+    other.  Bands of one block share cells of about CELL shingles.
+    """
+    inside = entries.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("mass"))
+    blocks = F.greatest(F.ceil(F.col("n") / NODES), F.ceil(F.col("mass") / CELL)).cast("int")
+    most = inside.groupBy("key").agg(F.max(F.struct("n", "component", "mass")).alias("most"), F.sum("n").alias("n"), F.sum("mass").alias("mass")).where("n > most.n")
+    most = most.select("key", F.col("most.component").alias("lead"), blocks.alias("whole"), "n", "mass", F.col("most.n").alias("lead_n"), F.col("most.mass").alias("lead_mass"))
+    rest = most.select("key", "lead", "whole", "mass", (F.col("n") - F.col("lead_n")).alias("n"), (F.col("mass") - F.col("lead_mass")).alias("rest_mass"), "lead_n", "lead_mass")
+    blocks_of = lambda n, mass: F.greatest(F.lit(1), F.ceil(F.col(n) / NODES), F.ceil(F.col(mass) / CELL)).cast("int")
+    plan = checkpoint(rest.select("key", "lead", "whole", "mass", blocks_of("n", "rest_mass").alias("outer"), blocks_of("lead_n", "lead_mass").alias("inner")), count // 2)
+    mass = plan.where("whole = 1").agg(F.sum("mass")).first()[0] or 0
+    cells = max(shuffle_partitions(entries.sparkSession), -(-int(mass) // CELL))
+    dealt = split_join(entries, plan, "key")
+    dealt = dealt.withColumns({"mine": F.expr("component = lead"), "place": F.pmod(F.xxhash64("node"), F.lit(1 << 30))})
+    own = F.when(F.col("mine"), F.col("outer") + F.expr("int(place % inner)")).otherwise(F.expr("int(place % outer)"))
+    dealt = dealt.withColumn("own", F.when(F.col("whole") == 1, -1).otherwise(own))
+    others = F.when(F.col("own") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.when(F.col("mine"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1))
+    dealt = dealt.withColumn("other", F.explode(others))
+    dealt = dealt.select(
+        "key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") < 0, F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.col("key")).alias("cell"),
+    )
+    met = split_join(dealt, sets, "node").select("key", "component", "own", "i", "j", "cell", "shingles")
+    return met.groupBy("cell", "i", "j").applyInArrow(_met(similarity), "a long, b long")
 
 
 def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5, seed: int = 42) -> DataFrame:
     """Near-dedup by similarity rather than a few bits: result and edge cases as
     in simhash_near_dedup, but texts are linked if the Jaccard similarity of
     their sets of ``shingle``-word shingles is at least ``similarity``, which is
-    computed on the whole sets (of 64-bit hashes) and not on fingerprints.
+    computed on the whole sets (of 64-bit hashes) and not on fingerprints.  Also
+    text_md5, and first: whether the row is the one of its component with the
+    smallest id and, where rows share that id, the smallest text_md5 (rows that
+    share both are first together).
 
     A pair of similarity 0.8 differs in some 15 of 100 SimHash bits, which no
     affordable set of fingerprint segments finds with certainty.  So candidates
     share a MinHash band: a pair of similarity s is one with probability
-    1 - (1 - s**rows)**bands, 0.9996 at 0.8.  The fingerprint orders the nodes of
-    a band, where similar ones stand side by side.  No band is cut short:
-
-    * each node of a band is compared with the one before it and with the first,
-      which gathers dense groups at a cost linear in their size;
-    * then, in bands whose nodes are in several such groups, every node outside
-      the largest is compared with all, in blocks of about BLOCK by BLOCK nodes.
+    1 - (1 - s**rows)**bands, 0.9996 at 0.8.  No band is cut short; nodes known
+    to be connected are not compared again:
+
+    * bands too large for one block are first gathered at a cost linear in their
+      size: SimHash orders their nodes, and neighbours are compared;
+    * then the bands are worked off in ROUNDS; a band whose nodes are all
+      connected is done, elsewhere all nodes outside its largest component meet
+      all others, in blocks.  Each block returns a forest, never its pairs.
     """
     base = documents(docs, id_col, text_col)
     marked = checkpoint(_signed(base, shingle, seed, bands, rows, False))
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("keys").alias("keys"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")  # null ids come last
+    nodes = marked.groupBy("node").agg(F.min(row).alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     nodes = checkpoint(nodes)
-    entries = nodes.select(F.explode("keys").alias("key"), "fp", "node", "size")
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
-    entries = checkpoint(split_join(entries, shared, "key"))
+    entries = nodes.select(F.posexplode("keys").alias("band", "key"), "fp", "node", "size")
+    met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("mass")).where("many > 1")
+    shared = checkpoint(met.select("key", ((F.col("many") > NODES) | (F.col("mass") > CELL)).alias("hot"), "many"), nodes.count() * bands // 2)
+    known = shared.agg(F.sum("many").alias("rows"), F.sum(F.when(F.col("hot"), F.col("many"))).alias("hot")).first()
+    entries = checkpoint(split_join(entries, shared.select("key"), "key"), known.rows or 0)
     sets = _signed(base, shingle, seed, bands, rows, True)
     sets = checkpoint(split_join(sets, entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
-    def fits(a: str, b: str) -> Column:
-        return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
-
-    own = F.struct("node", "size")
-    over = Window.partitionBy("key").orderBy("fp", "node")
-    beside = entries.select("node", "size", F.lag(own).over(over).alias("before"), F.first(own).over(over).alias("first"))
-    beside = beside.select("node", "size", F.explode(F.array("before", "first")).alias("o"))
-    beside = beside.where((F.col("o.node") != F.col("node")) & fits("size", "o.size"))
-    tried = checkpoint(beside.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct())
-    sure = _confirmed(tried, sets, similarity)
-    groups = connected_components(sure)
-
-    placed = split_join(entries.select("key", "node"), groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = inside.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
-    # up to three nodes have all been compared
-    most = most.where("groups > 1 AND n > 3").select("key", F.col("most.component").alias("lead"), "n", (F.col("n") - F.col("most.n")).alias("rest"))
-    blocks = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
-    mixed = split_join(placed, most, "key").withColumns({"asked": blocks("rest"), "answering": blocks("n"), "place": F.pmod(F.xxhash64("node"), F.lit(1 << 30))})
-    mixed = split_join(mixed, sets, "node")
-    to_all = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    # the largest group of a band meets the others, never itself
-    asks = mixed.where("component <> lead").withColumns({"i": F.expr("int(place % asked)"), "j": to_all("answering"), "asks": F.lit(True)})
-    answers = mixed.withColumns({"j": F.expr("int(place % answering)"), "i": to_all("asked"), "asks": F.lit(False)})
-    met = asks.unionByName(answers).select("key", "i", "j", "node", "asks", "shingles")
-    links = sure.unionByName(met.groupBy("key", "i", "j").applyInArrow(_alike_blocks(similarity), "a long, b long"))
-
-    named = nodes.select("node", "least")
-    placed = split_join(named, connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = split_join(placed.select("node", "component"), least, "component").select("node", "component_id")
-    return split_join(marked.select("doc_id", "fp", "node"), names, "node").select(
-        "doc_id", "fp", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    groups = connected_components(_hot_links(entries, shared.where("hot").select("key"), known.hot or 0, sets, similarity))
+    start = 0
+    for share in ROUNDS:
+        stop = round(bands * share)
+        placed = split_join(entries.where(f"band >= {start} AND band < {stop}"), groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links = _band_links(checkpoint(placed.select("key", "node", "size", "component"), known.rows or 0), known.rows or 0, sets, similarity)
+        groups = connected_components(links.unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+        start = stop
+
+    placed = split_join(nodes.select("node", "least"), groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least").alias("least"))
+    names = split_join(placed.select("node", "component"), least, "component").select("node", "least")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
+    return split_join(marked.select("doc_id", "text_md5", "fp", "node"), names, "node").select(
+        "doc_id", "fp", F.col("least.doc_id").alias("component_id"), kept.alias("kept"), "text_md5", (kept & (F.col("text_md5") == F.col("least.text_md5"))).alias("first")
     )

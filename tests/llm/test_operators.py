@@ -4,6 +4,7 @@ repeated rows, empty tables and clashing column names."""
 import hashlib
 import itertools
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -87,6 +88,25 @@ def test_substring_dedup_equals_brute_force(messy, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_deals_out_hot_ids(spark):
+    """Many rows of one id, and of none, that share passages among each other and with others."""
+    from tessera.llm.common import text_bytes
+    from tessera.llm.substring_dedup import PARTS_SHIFT, _chunked, substring_dedup
+
+    r = np.random.default_rng(5)
+    passages = [" ".join(f"q{x}" for x in r.integers(0, 900, 20)) for _ in range(12)]
+    text = lambda: " ".join(f"{r.integers(0, 10**6)} {passages[r.integers(0, 12)]}" for _ in range(4))
+    rows = [(7, text()) for _ in range(60)] + [(None, text()) for _ in range(60)] + [(int(i), text()) for i in r.integers(0, 15, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    size = text_bytes(df)[1]
+    parts = _chunked(df, len(rows), size, 30).select("chunk").distinct().collect()
+    assert {p.chunk >> PARTS_SHIFT for p in parts if p.chunk % (1 << PARTS_SHIFT)} and len(parts) > 15
+    found = substring_dedup(df.selectExpr("*", "doc_id AS n_words", "length(text) AS size"), chunk_bytes=size // 30, carry=["n_words", "size"], as_is=True)
+    assert found.columns[-2:] == ["n_words", "size"]
+    got = Counter((r[0], r[1], r[2], r[3]) for r in found.collect())
+    assert got == Counter(removed_words(rows)) and all(r[0] == r[5] and r[6] >= len(r[3]) for r in found.collect())
+
+
 def test_rolling_hash_is_rabin_karp():
     from tessera.llm.substring_dedup import BASE, pack_sorted, rolling_hashes, unpack_sorted
 
@@ -119,6 +139,23 @@ def test_preference_formatting(spark):
     assert format_preferences(c.limit(0), r.limit(0)).count() == 0
 
 
+def test_preference_formatting_of_ties_repeats_and_long_texts(spark):
+    from tessera.llm.chat_format import collect_turns, format_pairs, format_preferences, parroted
+
+    turns = "pair_id long, turn long, role string, text string"
+    long = "word " * 50_000
+    chosen = [(1, 1, "user", "b"), (1, 1, "assistant", "a"), (1, 1, "user", "b"), (2, None, "user", "first"), (2, 0, "assistant", long), (3, 0, "assistant", "alone")]
+    rejected = [(1, 1, "user", "b"), (1, 1, "assistant", "a"), (2, None, "user", "first"), (2, 0, "assistant", "short")]
+    c, r = (spark.createDataFrame(x, turns) for x in (chosen, rejected))
+    got = {row.pair_id: row for row in format_preferences(c, r).collect()}
+    assert got[1].prompt == "<|assistant|>\na<|end|>\n<|user|>\nb<|end|>\n" and got[1].chosen == "<|user|>\nb<|end|>\n" and got[1].rejected == ""  # a tie goes by role and text, a repeat is a turn
+    assert got[2].prompt_turns == 1 and got[2].chosen == f"<|assistant|>\n{long}<|end|>\n" and [got[2].chosen[s.start : s.end] for s in got[2].chosen_mask] == [f"{long}<|end|>\n"]
+    pairs = collect_turns(c, "pair_id", "chosen").withColumn("rejected", parroted(F.col("chosen")))
+    own = {row.pair_id: row for row in format_pairs(pairs, "pair_id").collect()}
+    assert own[2].rejected == "<|assistant|>\nfirst<|end|>\n" and own[3].rejected == "<|assistant|>\n<|end|>\n" and own[1].prompt_turns == 0
+    assert own[1].rejected.startswith("<|assistant|>\n<|end|>\n")
+
+
 # -- exact dedup
 
 
@@ -178,6 +215,8 @@ def test_embedding_dedup_equals_brute_force(spark):
     rows += [(3000 + i, [1.0] + [0.0] * 15, 2) for i in range(5)]
     rows += [(4000, None, 1), (4001, [0.0] * 16, 1), (4002, [float("nan")] * 16, 1), (4003, [float("inf")] + [1.0] * 15, 1), (4004, centre.tolist(), None), (4005, [], 1), (4006, centre.tolist()[:8], 1), (4007, [None] + [1.0] * 15, 1)]
     df = spark.createDataFrame([(*x, True, 1) for x in rows], "vec_id long, embedding array<double>, label int, kept boolean, n long")
+    again = spark.createDataFrame([(7, centre.tolist(), 3), (7, centre.tolist(), 3), (7, (-centre).tolist(), 3), (6, centre.tolist(), 3)], "vec_id long, embedding array<double>, label int")
+    assert Counter((x.vec_id, x.n_links, x.component_id, x.kept) for x in embedding_near_dedup(again, 0.93).collect()) == {(7, 2, 6, False): 2, (7, 0, 7, True): 1, (6, 2, 6, True): 1}
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_near_dedup(df, 0.93).collect()}
     assert got == brute_links(rows, 0.93)
     assert embedding_near_dedup(df.limit(0)).count() == 0
@@ -254,50 +293,32 @@ def test_every_pair_of_close_fingerprints_is_found(spark):
     for b in base:
         prints |= {b ^ (1 << int(i)) ^ (1 << int(j)) for i, j in r.integers(0, 64, (15, 2))}
     signed = [p - (p >> 63 << 64) for p in prints]
-    found = {frozenset((x.a, x.b)) for x in fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
+    rows = fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    found = {frozenset((x.a, x.b)) for x in rows}
     mask = 2**64 - 1
+    assert len(found) == len({(x.a, x.b) for x in rows})  # no pair from both sides
     assert found == {frozenset(p) for p in itertools.combinations(signed, 2) if ((p[0] ^ p[1]) & mask).bit_count() <= 2}
 
 
-def test_similar_links_connect_what_all_candidates_would(spark):
-    from tessera.llm.components import connected_components
-    from tessera.llm.simhash import similar_links
-
-    rng = np.random.default_rng(3)
-    words, segments, most = 4, 3, 44
-    bits = []
-    for centre in rng.integers(0, 2, (6, 256)):
-        moved = [centre ^ (rng.random(256) < share) for share in (0.05, 0.1, 0.15, 0.2)]  # groups near one another
-        bits += [m ^ (rng.random(256) < spread) for m in moved for spread in np.linspace(0.0, 0.12, 12)]
-    bits = np.array(bits + list(rng.integers(0, 2, (40, 256))), np.uint64)
-    fps = (bits.reshape(len(bits), words, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
-    own = np.sort(np.unique(fps[:, 0], return_index=True)[1])  # a node is named by its first word
-    bits, fps = bits[own], fps[own]
-    far = (bits[:, None] != bits[None]).sum(axis=2)
-    first = (bits[:, None, :64] != bits[None, :, :64]).sum(axis=2)
-    cut = [slice(64 * w + 21 * s, 64 * w + 21 * s + 21) for w in range(words) for s in range(segments)]
-    shared = np.any([(bits[:, None, c] != bits[None, :, c]).sum(axis=2) <= 1 for c in cut], axis=0)
-
-    def groups(linked):
-        root = np.arange(len(bits))
-        while True:
-            new = np.array([min(root[j] for j in np.flatnonzero(linked[i])) for i in range(len(bits))])
-            if (new == root).all():
-                return root
-            root = new
-
-    least, whole = groups(shared & (first <= most // words + 5) & (far <= most)), groups(far <= most)
-    names = ["fp", "fp1", "fp2", "fp3"]
-    nodes = spark.createDataFrame([tuple(map(int, r)) for r in fps.view(np.int64)], ", ".join(f"{n} long" for n in names))
-    at = {int(f): i for i, f in enumerate(fps[:, 0].view(np.int64))}
-    links = similar_links(nodes, words, segments, most)
-    assert all(far[at[r.a], at[r.b]] <= most for r in links.collect())
-    component = {at[r.node]: r.component for r in connected_components(links).collect()}
-    of = [component.get(i, int(fps[i, 0].view(np.int64))) for i in range(len(bits))]
-    assert 6 < len(set(least)) < len(bits) and len(set(of)) >= len(set(whole))
-    for i, j in itertools.combinations(range(len(bits)), 2):
-        assert of[i] == of[j] or least[i] != least[j]
-        assert of[i] != of[j] or whole[i] == whole[j]
+def test_links_of_a_crowded_key_connect_the_same(spark, monkeypatch):
+    """Keys with many members are linked in stars: no wrong link, and the same components."""
+    from tessera.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT", 5)
+    r = np.random.default_rng(9)
+    half = int(r.integers(0, 2**32)) << 32
+    prints = {half | int(x) for x in r.integers(0, 2**12, 150)} | {int(x) for x in r.integers(0, 2**63, 40)}
+    prints |= {p ^ (1 << int(b)) for p, b in zip(sorted(prints), r.integers(0, 64, 60))}
+    signed = [p - (p >> 63 << 64) for p in prints]
+    links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    assert all(((x.a ^ x.b) & (2**64 - 1)).bit_count() <= 2 for x in links)
+    up = {p: p for p in signed}
+    for _ in range(len(signed)):
+        for x in links:
+            up[x.a] = up[x.b] = min(up[x.a], up[x.b])
+    group = groups_within([p & (2**64 - 1) for p in signed], 2)
+    assert all((up[a] == up[b]) == (group[a & (2**64 - 1)] == group[b & (2**64 - 1)]) for a, b in itertools.combinations(signed, 2))
+    assert len(set(up.values())) > 30
 
 
 def test_similar_texts_meet(spark, messy, empty):
@@ -342,7 +363,7 @@ def test_similar_texts_in_a_crowd_equal_brute_force(spark, monkeypatch):
     """One crowd of texts about the threshold, so that bands hold several groups."""
     from tessera.llm import simhash
 
-    monkeypatch.setattr(simhash, "BLOCK", 32)
+    monkeypatch.setattr(simhash, "NODES", 32)
     r = np.random.default_rng(6)
     base = [f"b{x}" for x in r.integers(0, 50_000, 150)]
     rows = []
@@ -363,6 +384,54 @@ def test_similar_texts_in_a_crowd_equal_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(rows))] == root
 
 
+def test_shared_counts_and_forest_equal_brute_force(monkeypatch):
+    from tessera.llm import simhash
+
+    monkeypatch.setattr(simhash, "PIECE", 37)
+    r = np.random.default_rng(12)
+    sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 30, 200, 7, 200)] + [np.arange(60, dtype=np.uint64)] * 20
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[3:]] for a in sets]
+    assert simhash.shared_counts(sets, sets[3:]).tolist() == want
+    a, b = r.integers(0, 80, (2, 50))
+    least, node = simhash.forest(a, b)
+    root = {int(x): int(x) for x in [*a, *b]}
+    for _ in root:
+        for x, y in zip(a.tolist(), b.tolist()):
+            root[x] = root[y] = min(root[x], root[y])
+    assert dict(zip(node.tolist(), least.tolist())) == {x: y for x, y in root.items() if x != y}
+
+
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_recall_of_similar_texts_on_the_documents(spark, scale):
+    """All pairs of similarity 0.8 and more by exact prefix filtering: texts that
+    similar share one of the rarest fifth, and one more, of either's shingles."""
+    from tessera.llm.simhash import simhash_similar, shingle_hashes
+
+    docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
+    sets, members = {}, {}
+    for i, t in docs.select("doc_id", "text").collect():
+        own = tuple(sorted(set(shingle_hashes([(t or "").encode()], 5, 42)[0].tolist())))
+        members.setdefault(own, []).append(i)
+    sets = [set(own) for own in members if own]
+    df = Counter(x for own in sets for x in own)
+    index, pairs = {}, []
+    for i, own in enumerate(sets):
+        tried = set()
+        for x in sorted(own, key=lambda x: (df[x], x))[: len(own) // 5 + 1]:
+            tried.update(index.setdefault(x, []))
+            index[x].append(i)
+        pairs += [(i, j) for j in tried if len(own & sets[j]) >= 0.8 * len(own | sets[j])]
+    name = [ids[0] for own, ids in members.items() if own]
+    got = {x.doc_id: x.component_id for x in simhash_similar(docs).collect()}
+    met = sum(got[name[i]] == got[name[j]] for i, j in pairs)
+    assert len(pairs) >= (1 if scale == "0.01" else 40) and met >= 0.99 * len(pairs), (met, len(pairs))
+    root = {n: n for n in name}
+    for _ in range(20):
+        for i, j in pairs:
+            root[name[i]] = root[name[j]] = min(root[name[i]], root[name[j]])
+    assert sum(got[n] != got[root[n]] for n in name) <= 1 and len({got[n] for n in name}) >= len(set(root.values()))
+
+
 def test_components(spark):
     from tessera.llm.components import connected_components
 
@@ -395,9 +464,91 @@ def test_license_scan(spark):
     assert license_scan(df).count() == len(rows) and license_scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_knows_headers_files_and_ancestors(spark):
+    from tessera.llm.license_scan import TEMPLATES, license_scan
+
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + "\n".join(TEMPLATES["MIT"][-1].replace(", to deal", ",\nto deal").replace("merge,", "merge,\n").split("\n"))
+    apache = "/*\n * " + "\n * ".join(w for w in TEMPLATES["Apache-2.0"][3].replace(" (the", "\n(the").replace(" in compliance", "\nin compliance").split("\n")) + "\n */\n\nint main() { return 0; }\n" + "x = y;\n" * 60
+    rows = [
+        (1, "p/LICENSE", mit),
+        (2, "p/a/one.c", "code"),
+        (3, "p/a/b/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+        (4, "p/a/b/c/d/two.c", "code"),
+        (5, "p/a/b/c/three.c", apache),
+        (6, "pa/four.c", "code"),
+        (7, "p/a/five.py", "# SPDX-License-Identifier: Apache-2.0\nprint(1)\n" + "y = 2\n" * 40),
+        (8, "q/six.c", "/* Released under the\n   MIT License. */\n\n" + "z = 3\n" * 40),
+        (9, None, "code"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.unit, r.origin, r.directory) for r in license_scan(df).collect()}
+    assert got == {
+        1: ("MIT", "paragraph", "own", None), 2: ("MIT", None, "inherited", "p"), 3: ("GPL-3.0", "paragraph", "own", None), 4: ("GPL-3.0", None, "inherited", "p/a/b"),
+        5: ("Apache-2.0", "paragraph", "own", None), 6: (None, None, "none", None), 7: ("Apache-2.0", "line", "own", None), 8: ("MIT", "paragraph", "own", None), 9: (None, None, "none", None),
+    }
+    own = {"A": ["alpha beta"], "B": ["alpha beta"]}  # a tie goes to the later name
+    tied = spark.createDataFrame([(1, "x/y", "alpha beta"), (1, "x/y", "alpha beta"), (2, "x/z", "gamma")], "doc_id long, path string, text string")
+    assert Counter((r.doc_id, r.license, r.origin) for r in license_scan(tied, templates=own).collect()) == {(1, "B", "own"): 2, (2, "B", "inherited"): 1}
+
+
 # -- quality
 
 
+def test_context_sums_and_pooling_equal_brute_force(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tessera.llm import quality
+    from tessera.llm.common import unpack_sums
+
+    monkeypatch.setattr(quality, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = ["One two  two, 33 x", "", None, "solo", "two One two " * 40]
+    tokens = [re.findall(r"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\s\x80-\xff]+", t or "") for t in texts]
+    row = lambda w: xxhash.xxh64_intdigest(w.encode(), quality.SEED) % quality.ROWS
+    places, signs = quality.index_vectors()
+    index = lambda w: np.array([sum(s for p, s in zip(places[row(w)], signs[row(w)]) if p == d) for d in range(quality.DIMS)])
+    want = {}
+    for t in tokens:
+        for a, b in zip(t, t[1:]):
+            want[row(a)] = want.get(row(a), 0) + index(b)
+            want[row(b)] = want.get(row(b), 0) + index(a)
+    got = np.zeros((quality.BLOCKS, quality.ROWS // quality.BLOCKS * quality.DIMS))
+    for batch in quality._context_sums(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+        got[batch.column(0)[0].as_py()] = unpack_sums(batch.column(2)[0].as_py())
+    got = got.reshape(quality.ROWS, quality.DIMS)
+    assert set(np.flatnonzero(np.abs(got).sum(1))) <= set(want) and all(np.array_equal(got[k], v) for k, v in want.items())
+    vectors = np.random.default_rng(0).normal(size=(quality.ROWS, quality.DIMS)).astype(np.float32)
+    for found, t in zip(quality.pool([(t or "").encode() for t in texts], vectors), tokens):
+        own = np.array([vectors[row(w)] for w in t], np.float64).reshape(-1, quality.DIMS)
+        parts = [own.sum(0) / (len(t) + quality.SHRINK), (own**2).sum(0) / max(len(t), 1), (own[:-1] * own[1:]).sum(0) / max(len(t) - 1, 1)]
+        assert np.allclose(found, np.concatenate(parts), atol=1e-4)
+
+
+def test_temperature_lowers_the_loss_of_rows_left_out():
+    from tessera.llm.quality import Network
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, 30))
+    y = (x[:, 0] + 2 * r.normal(size=400) > 0).astype(float)  # noisy labels, many features: logits too sure
+    n = Network(epochs=300).fit(x, y)
+    held = np.random.default_rng(n.seed).permutation(400)[:80]
+    loss = lambda t: np.mean(np.logaddexp(0, -np.where(y[held] > 0, 1, -1) * n.logits(x[held]) / t))
+    assert n.temperature > 1.5 and loss(n.temperature) < loss(1.0) and all(loss(n.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.25, 8, 61))
+    assert np.allclose(n.scores(x), 1 / (1 + np.exp(-n.logits(x) / n.temperature)))
+
+
+def test_labels_that_repeat_or_disagree(spark):
+    """Of several labels of a document the largest counts, null labels count as none."""
+    from tessera.llm.quality import quality_scores
+
+    docs = spark.createDataFrame([(i, ("good calm words " if i % 2 else "bad loud noise ") * 5) for i in range(200)], "doc_id long, text string")
+    plain = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    torn = plain.unionByName(plain).unionByName(spark.createDataFrame([(i, 0) for i in range(200)] + [(i, None) for i in range(200)], plain.schema))
+    score = lambda labels: {r.doc_id: r.score for r in quality_scores(docs, labels).collect()}
+    assert score(plain) == score(torn) and all((v > 0.5) == (i % 2 == 1) for i, v in score(plain).items())
+
+
 def test_quality_classifier(spark, messy, empty):
     from tessera.llm.quality import quality_scores
 
@@ -476,6 +627,33 @@ def test_packing(spark, messy, empty, library):
     assert best_fit_packing(empty, path).count() == 0
 
 
+def test_packing_closes_bins_as_a_plain_packer_does(spark, library):
+    """Placements of the frame equal those of a packer that scans a list of open bins."""
+    from tessera.llm.packing import best_fit_packing
+
+    r = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, " ".join(["tree"] * int(n))) for i, n in enumerate(r.integers(1, 90, 300))], "doc_id long, text string")
+    rows = best_fit_packing(docs, library[0], capacity=64, open_bins=3, with_ids=False).collect()
+    open_bins, bins, closed, want = [], 0, 0, {}
+    for x in sorted(rows, key=lambda x: (abs(2 * x.length - 64), -x.length, x.doc_id, x.piece)):
+        fitting = [b for b in open_bins if b[1] >= x.length]
+        if fitting:
+            least = min(b[1] for b in fitting)
+            best = [b for b in fitting if b[1] == least][-1]
+            open_bins.remove(best)
+        else:
+            if len(open_bins) == 3:
+                least = min(b[1] for b in open_bins)
+                open_bins.remove([b for b in open_bins if b[1] == least][-1])
+                closed += 1
+            best = (bins, 64)
+            bins += 1
+        want[x.doc_id, x.piece] = (best[0], 64 - best[1])
+        if best[1] > x.length:
+            open_bins.append((best[0], best[1] - x.length))
+    assert closed > 10 and {(x.doc_id, x.piece): (x.sequence_id, x.offset) for x in rows} == want
+
+
 def test_best_fit_closes_the_fullest():
     from tessera.llm.packing import BestFit
 
@@ -515,6 +693,11 @@ def test_forward_recursion_and_counts_are_exact():
     moved.move[0, 1] *= 1 + eps
     slope = (moved.log_likelihoods(sequences).sum() - model.log_likelihoods(sequences).sum()) / eps
     assert math.isclose(slope, counts[3 + 1], rel_tol=1e-3)
+    for span, wide in ((4, 3), (7, 2), (1, 1)):  # segments that are walked again, and blocks of few sequences
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("tessera.llm.hmm._BLOCK", span)
+            m.setattr("tessera.llm.hmm._WIDE", wide)
+            assert np.allclose(model.expected_counts(sequences), counts)
     long = [r.integers(0, 5, 900).astype(np.uint16) for _ in range(3)]
     likelihoods = []
     for _ in range(5):
@@ -524,6 +707,34 @@ def test_forward_recursion_and_counts_are_exact():
     assert likelihoods == sorted(likelihoods)
 
 
+def test_words_to_classes_to_score_equal_brute_force(spark):
+    """Counts, classes, one pass of training and the likelihood of short texts, each computed plainly."""
+    from tessera.llm.hmm import OFTEN, TAIL_SEED, TAILS, TOPS, WORD_SEED, Hmm, hmm_scores
+
+    texts = ["a B c", "b c", "", "a a", "zz yy", "c", "B", "a yy c", "qq", "a c b"]
+    rows = [(i, texts[i % len(texts)]) for i in range(40)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    split = {i: t.lower().split() for i, t in rows}
+    counts = Counter(w for i, t in split.items() if i not in held for w in t)
+    ends = len(rows) - len(held)
+    total = sum(counts.values()) + ends
+    often = sorted((w for w in counts if counts[w] >= OFTEN * total), key=lambda w: -counts[w])[:TOPS]
+    by_hash = sorted(often, key=lambda w: xxhash.xxh64_intdigest(w.encode(), WORD_SEED))
+    tail = lambda w: 1 + xxhash.xxh64_intdigest(w.encode()[-3:], TAIL_SEED) % TAILS
+    kind = lambda w: 1 + TAILS + by_hash.index(w) if w in by_hash else tail(w)
+    # a tail class holds the known words that are no class of their own, each with count + 1, and one share for all others
+    rest = [w for w in counts if w not in by_hash]
+    share = lambda w: 1.0 if w in by_hash else (counts[w] + 1) / (sum(counts[v] + 1 for v in rest if tail(v) == tail(w)) + 1)
+    model = Hmm.random(2, 1 + TAILS + TOPS)
+    coded = {i: np.array([*map(kind, t), 0], np.uint16) for i, t in split.items()}
+    model = model.updated(model.expected_counts([coded[i] for i, _ in rows if i not in held]))
+    found = hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), states=2, passes=1).collect()
+    assert len(found) == len(rows) and held
+    for r in found:
+        want = brute_likelihood(model, coded[r.doc_id]) / math.log(10) + sum(math.log10(share(w)) for w in split[r.doc_id])
+        assert math.isclose(r.score, want, rel_tol=1e-6), r
+
+
 def test_hmm_scores(spark, messy, empty):
     from tessera.llm.hmm import hmm_scores
 
@@ -533,7 +744,7 @@ def test_hmm_scores(spark, messy, empty):
         held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
         counts = Counter(w for i, t in split if not held(i) for w in t)
         n, v = sum(counts.values()), len(counts)
-        found = sorted(hmm_scores(df, init_docs=50, chunk_bytes=100_000).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
+        found = sorted(hmm_scores(df, passes=4, chunk_bytes=100_000).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
         split.sort(key=lambda x: (x[0] is None, x[0] or 0, len(x[1])))
         for r, (i, t) in zip(found, split, strict=True):
             assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, held(i), len(t), sum(counts[w] > 0 for w in t), n)
