@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 import numpy as np
@@ -16,18 +17,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a session without one
-    (a test on one machine) gets a folder of its own."""
+    """Use the cluster's shared checkpoint folder.  A session on one machine (a local
+    master) without one gets a folder of its own; any other has to name one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[[^-\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows that a file of a checkpoint holds at least, if the number of rows is known.
+ROWS_A_FILE = 1 << 16
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder.  Where a bound on
+    its ``rows`` is known, few rows go to few files, however many partitions a
+    shuffle has; many rows keep their partitions."""
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        files = -(-rows // ROWS_A_FILE) or 1
+        if files < shuffle_partitions(df.sparkSession):
+            df = df.coalesce(files)
     return df.checkpoint(eager=True)
 
 
@@ -102,10 +120,15 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int32()), "sums": pa.array([pack_sums(total)], pa.binary())})
 
 
-def tree_sum(sums: DataFrame, parts: int) -> dict[int, np.ndarray]:
+def tree_summed(sums: DataFrame, parts: int) -> DataFrame:
     """Add up SUMS rows by block in rounds, FAN_IN partial sums to a task, so no
-    task's work grows with the number of map tasks; one row a block is collected."""
+    task's work grows with the number of map tasks; one row a block is left."""
     while parts > 1:
         sums = sums.withColumn("into", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "into").applyInArrow(lambda t: _add(t.drop_columns(["into"])), SUMS)
         parts = -(-parts // FAN_IN)
-    return {row.block: unpack_sums(row.sums) for row in sums.collect()}
+    return sums
+
+
+def tree_sum(sums: DataFrame, parts: int) -> dict[int, np.ndarray]:
+    """The rows of tree_summed, collected: their number and size are fixed."""
+    return {row.block: unpack_sums(row.sums) for row in tree_summed(sums, parts).collect()}

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xD1B54A32D192ED03)
 WORD_SEED = 1
 LAST_ID = 2**63 - 1
-#: Sampled rows a chunk; a chunk number is that of its range, shifted, and a part.
-SAMPLE, PARTS_SHIFT = 64, 20
+#: Sampled rows a chunk, and in all, at least; a chunk number is that of its range, shifted, and a part.
+SAMPLE, SAMPLED, PARTS_SHIFT = 256, 1 << 20, 20
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
 #: Prefix of carried columns inside the operator, so that they can't clash.
@@ -206,7 +207,6 @@ def _mark(window: int, as_is: bool):
         repeated = np.empty(len(by_hash), bool)
         repeated[by_hash] = np.repeat(flags, lengths) | (owner[by_hash] > np.repeat(owner[by_hash[begins]], lengths))
         n_words, n_removed, kept = [], [], []
-        given = table.column("text").take(pa.array(order)) if as_is else None
         spans, cuts, at = [0], ([], []), 0
         for _, words, starts in found.runs:
             mine = starts[repeated[at : at + len(starts)]]
@@ -220,7 +220,7 @@ def _mark(window: int, as_is: bool):
                 own = gone[a:b]
                 count = int(own.sum())
                 if as_is and not count:
-                    kept.append(given[len(kept)].as_py())
+                    kept.append(None)  # the text itself, below
                 elif a == b or count == b - a:
                     kept.append(b"")
                 elif not count:
@@ -236,13 +236,17 @@ def _mark(window: int, as_is: bool):
                     spans.append(spans[-1])
                 n_words.append(int(b - a))
                 n_removed.append(count)
+        kept_text = pa.array(kept, pa.binary()).cast(pa.string())
+        if as_is:
+            given = table.column("text").combine_chunks().cast(pa.string()).take(pa.array(order))
+            kept_text = pc.if_else(pa.array(np.array(n_removed) == 0), given, kept_text)
         flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in cuts]
         return pa.table(
             {
                 "doc_id": table.column("doc_id").take(pa.array(order)),
                 "n_words": pa.array(n_words, pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
-                "kept_text": pa.array([k if k is None or isinstance(k, bytes) else k.encode() for k in kept], pa.binary()).cast(pa.string()),
+                "kept_text": kept_text,
                 "removed": pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pa.StructArray.from_arrays(flat, ["start", "end"])),
                 **{c: table.column(c).take(pa.array(order)) for c in table.column_names if c.startswith(_CARRIED)},
             }
@@ -271,16 +275,17 @@ def _cuts(most: float):
 def _chunked(docs: DataFrame, rows: int, size: int, chunks: int) -> DataFrame:
     """Deal documents into ``chunks`` ranges of ids with about as many bytes each.
 
-    The ranges end at ids of a sample by hash, about SAMPLE rows a chunk; the
+    The ranges end at ids of a sample by hash, SAMPLE rows a chunk or SAMPLED in all
+    (below that, of all rows); the
     driver gets one id a chunk (chunk_size keeps them under half a million at
     100 TB).  An id, or the null ids, with bytes for several chunks is a range of
     its own whose rows are dealt by text; the parts of a range don't count as
     earlier than one another.
     """
     docs = docs.withColumn("order_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    share = min(1.0, SAMPLE * chunks / max(rows, 1))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", "text"))
-    taken = docs.where(F.pmod(key, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("order_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    share = min(1.0, max(SAMPLE * chunks, SAMPLED) / max(rows, 1))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    taken = (docs if share == 1 else docs.where(key < F.lit(int(share * (1 << 40))))).select("order_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     cuts: list[int] = []
     if chunks > 1 and size:
         ranged = taken.repartitionByRange(max(1, min(shuffle_partitions(docs.sparkSession), chunks // 4)), "order_id", "n").sortWithinPartitions("order_id", "n")
@@ -319,8 +324,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, size = text_bytes(base)
     parts = max(shuffle_partitions(docs.sparkSession), -(-size // (chunk_bytes or chunk_size(size))))
     dealt = _chunked(base, rows, size, parts)
-    sent = dealt.select("chunk", "order_id", "text").groupBy("chunk").applyInArrow(_send(window, parts), "bucket int, chunk long, n int, hashes binary, second binary")
+    by_chunk = dealt.groupBy("chunk")  # the same columns both times, so that one exchange serves both
+    sent = by_chunk.applyInArrow(_send(window, parts), "bucket int, chunk long, n int, hashes binary, second binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, n int, seen binary")
     shape = ", ".join([RESULT, *(f"{k} {kinds[c]}" for k, c in carried.items())])
-    found = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(window, as_is), shape)
+    found = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_mark(window, as_is), shape)
     return found.withColumnsRenamed(carried) if carried else found
