@@ -21,7 +21,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import split_join
+from tessera.functions.arrays import named
+from tessera.llm.common import checkpoint, split_join
 
 #: What the scan knows unless other templates are given.  Fixed values: the usual
 #: short notices, titles and tags, and paragraphs of headers and licence texts.
@@ -64,7 +65,7 @@ TEMPLATES: dict[str, list[str]] = {
 }
 WORD = "([a-z0-9]+)"
 #: Words of templates that are common in prose.
-EVERYDAY = {"a", "all", "by", "form", "general", "is", "of", "style", "terms", "the", "this", "to", "under", "use", "v", "work"}
+EVERYDAY = set("a all also an and any are as at basis be been but by can code deal either file files following for form forms found free from general he in is it kind language later law may name names new no not obtain of on one option or other persons rights see so specific style subject such terms that the their these this to under use used was were which whom will with without work you your".split())
 
 
 Templates = dict[str, list[str]]
@@ -79,19 +80,19 @@ def word_weights(templates: Templates) -> tuple[dict[str, float], float]:
     """Inverse document frequencies of template words, a license being a document,
     and that of a word which is in none."""
     df = Counter(w for texts in templates.values() for w in {w for text in texts for w in _words_of(text)})
-    idf = lambda n: math.log((1 + len(templates)) / (1 + n)) + 1
+    idf = lambda n: math.log((2 + len(templates)) / (1 + n))
     return {w: idf(n) for w, n in sorted(df.items())}, idf(0)
 
 
 def template_weights(templates: Templates) -> Weights:
-    """(license, unit TF-IDF vector) of every template."""
+    """(license, unit TF-IDF vector) of every template; n occurrences weigh 1 + ln n."""
     idf, _ = word_weights(templates)
     weights = []
     for name, texts in templates.items():
         for text in texts:
-            counts = Counter(_words_of(text))
-            norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in counts.items()))
-            weights.append((name, {w: n * idf[w] / norm for w, n in sorted(counts.items())}))
+            raw = {w: (1 + math.log(n)) * idf[w] for w, n in sorted(Counter(_words_of(text)).items())}
+            norm = math.sqrt(sum(v * v for v in raw.values()))
+            weights.append((name, {w: v / norm for w, v in raw.items()}))
     return weights
 
 
@@ -100,23 +101,23 @@ def _lookup(weights: dict[str, float], word: Column, default: float) -> Column:
     return F.coalesce(F.element_at(table, word), F.lit(default))
 
 
-def _dot(own: Column, weights: dict[str, float]) -> Column:
-    return F.aggregate(own, F.lit(0.0), lambda s, x: s + x["v"] * _lookup(weights, x["w"], 0.0))
-
-
 def telling_words(weights: Weights, threshold: float) -> list[str]:
     """Words of which a matching unit has at least one.  A unit's cosine with a
     template is at most the norm of the template's weights on shared words, so
-    words of each template are taken, everyday ones last, until the others can't
-    reach the threshold by themselves."""
+    words are taken until, of every template, the others can't reach the threshold
+    by themselves: the one that helps the most templates first, everyday words
+    last."""
     telling: set[str] = set()
-    for _, vector in weights:
-        left = 1.0
-        for word in sorted(vector, key=lambda w: (w in EVERYDAY, -len(w), w)):
-            if left < threshold**2 - 1e-9:
-                break
-            telling.add(word)
-            left -= vector[word] ** 2
+    left = [1.0] * len(weights)
+    while open_ := [k for k, x in enumerate(left) if x >= threshold**2 - 1e-9]:
+        gain: dict[str, float] = {}
+        for k in open_:
+            for word, v in weights[k][1].items():
+                if word not in telling:
+                    gain[word] = gain.get(word, 0.0) + min(v * v, left[k] - threshold**2 + 1e-6)
+        word = min(gain, key=lambda w: (w in EVERYDAY or w.isdigit() or len(w) < 2, len(w) < 5, -gain[w], w))
+        telling.add(word)
+        left = [x - v.get(word, 0.0) ** 2 for x, (_, v) in zip(left, weights)]
     return sorted(telling)
 
 
@@ -132,7 +133,18 @@ def notices(text: Column, templates: Templates, threshold: float) -> Column:
     line the number of the unit among those of its kind, from 0."""
     weights = template_weights(templates)
     idf, unknown = word_weights(templates)
-    telling = F.lit("(?<![a-z0-9])(" + "|".join(telling_words(weights, threshold)) + ")(?![a-z0-9])")
+    telling = telling_words(weights, threshold)
+
+    def tells(lowered: Column) -> Column:
+        """Substrings will do for long words, which is several times faster than a pattern."""
+        some = F.lit(False)
+        if short := [w for w in telling if len(w) < 5]:
+            some = F.rlike(lowered, F.lit("(?<![a-z0-9])(?:" + "|".join(short) + ")(?![a-z0-9])"))
+        for word in telling:
+            some = F.contains(lowered, F.lit(word)) | some if len(word) >= 5 else some
+        return some
+
+    by_word = F.create_map(*[c for w in idf for c in (F.lit(w), F.lit([v.get(w, 0.0) for _, v in weights]))])
 
     def units(kind: int, pieces: Column) -> Column:
         return F.transform(pieces, lambda s, i: F.struct(F.lit(kind).alias("kind"), i.alias("line"), F.lower(s).alias("s")))
@@ -140,23 +152,31 @@ def notices(text: Column, templates: Templates, threshold: float) -> Column:
     paragraphs = F.split(text, BLANK)
     several = F.filter(units(PARAGRAPH, paragraphs), lambda h: F.contains(h["s"], F.lit("\n")))
     whole = F.filter(units(WHOLE, F.array(text)), lambda h: F.rlike(h["s"], F.lit(BLANK)))
-    likely = F.filter(F.concat(units(LINE, F.split(text, "\n")), several, whole), lambda h: F.rlike(h["s"], telling))
+    likely = F.filter(F.concat(units(LINE, F.split(text, "\n")), several, whole), lambda h: tells(h["s"]))
 
     def judged(words: Column, unit: Column) -> Column:
-        own = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * _lookup(idf, w, unknown)).alias("v")))
-        return F.transform(F.array(own), lambda o: best(o, words, unit))[0]  # names the vector, so it is built once
-
-    def best(own: Column, words: Column, unit: Column) -> Column:
-        norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x["v"] * x["v"]))
-        known = F.filter(own, lambda x: F.array_contains(F.lit(sorted(idf)), x["w"]))
-        return F.transform(F.array(known), lambda k: top(k, norm, words, unit))[0]
-
-    def top(known: Column, norm: Column, words: Column, unit: Column) -> Column:
-        dots = F.greatest(*[F.struct(_dot(known, t).alias("score"), F.lit(name).alias("license")) for name, t in weights])
-        return F.struct((dots["score"] / norm).alias("score"), dots["license"].alias("license"), unit["kind"].alias("kind"), unit["line"].alias("line"), F.size(words).alias("words"))
+        return named(F.array_sort(words), lambda s: named(counted(s), lambda own: named(known_of(own, s), lambda known: top(own, known, unit, F.size(s)))))
+
+    def counted(s: Column) -> Column:
+        """Distinct words of a sorted array with their numbers, in linear time."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~s[i].eqNullSafe(F.get(s, i - 1)))
+        ends = lambda first: F.concat(F.slice(first, 2, F.size(first)), F.array(F.size(s)))
+        return named(starts, lambda first: F.zip_with(first, ends(first), lambda a, z: F.struct(s[a].alias("w"), (z - a).alias("n"))))
+
+    def known_of(own: Column, s: Column) -> Column:
+        """Words that templates have, with their weights in the unit."""
+        few = named(F.array_intersect(s, F.lit(sorted(idf))), lambda k: F.filter(own, lambda x: F.array_contains(k, x["w"])))
+        return F.transform(few, lambda x: F.struct(x["w"].alias("w"), x["n"].alias("n"), ((F.log(x["n"]) + 1) * _lookup(idf, x["w"], unknown)).alias("v")))
+
+    def top(own: Column, known: Column, unit: Column, words: Column) -> Column:
+        tf = lambda of: F.aggregate(of, F.lit(0.0), lambda s, x: s + F.pow(F.log(x["n"]) + 1, F.lit(2)))
+        norm = F.sqrt(F.aggregate(known, F.lit(0.0), lambda s, x: s + x["v"] * x["v"]) + (tf(own) - tf(known)) * unknown**2)
+        dots = F.aggregate(known, F.lit([0.0] * len(weights)), lambda s, x: F.zip_with(s, by_word[x["w"]], lambda a, v: a + v * x["v"]))
+        best = F.array_max(F.zip_with(dots, F.lit([name for name, _ in weights]), lambda d, name: F.struct(d.alias("score"), name.alias("license"))))
+        return named(best, lambda d: F.struct((d["score"] / norm).alias("score"), d["license"].alias("license"), unit["kind"].alias("kind"), unit["line"].alias("line"), words.alias("words")))
 
     found = F.transform(likely, lambda h: judged(F.regexp_extract_all(h["s"], F.lit(WORD), F.lit(1)), h))
-    return F.when(F.rlike(F.lower(text), telling), F.filter(found, lambda x: x["score"] >= threshold)).otherwise(F.array().cast(_FOUND))
+    return F.when(named(F.lower(text), tells), F.filter(found, lambda x: x["score"] >= threshold)).otherwise(F.array().cast(_FOUND))
 
 
 def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: Templates | None = None, threshold: float = 0.8, file_share: float = 0.5) -> DataFrame:
@@ -188,6 +208,7 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
         (held >= F.lit(file_share) * F.greatest(words, F.lit(1))).alias("is_file"),
         F.when(F.col("path").isNotNull(), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).alias("dir"),
     )
+    judged = checkpoint(judged)  # a few dozen bytes a file, read three times
     covering = judged.where(F.col("is_file") & F.col("best").isNotNull() & F.col("dir").isNotNull())
     covering = covering.groupBy("dir").agg(F.max(F.struct("best.score", "best.license")).alias("cover"))
 
@@ -202,7 +223,7 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
         "path",
         F.coalesce("best.license", "near.cover.license").alias("license"),
         F.coalesce("best.score", "near.cover.score").alias("score"),
-        F.element_at(F.lit(["line", "paragraph", "file"]), F.col("best.kind") + 1).alias("unit"),
+        F.when(F.col("best.kind") == LINE, "line").when(F.col("best.kind") == PARAGRAPH, "paragraph").when(F.col("best.kind") == WHOLE, "file").alias("unit"),
         "best.line",
         F.when(own, "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(~own, F.col("near.up")).alias("directory"),

@@ -106,8 +106,8 @@ def _license_sql() -> str:
         ),
         w AS (SELECT doc_id, kind, line, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM u),
         c AS (SELECT doc_id, kind, line, w.w, count(*) AS n, any_value(idf) AS idf FROM w LEFT JOIN (SELECT DISTINCT w, idf FROM t) i ON i.w = w.w GROUP BY ALL),
-        n AS (SELECT doc_id, kind, line, sqrt(sum((n * coalesce(idf, {unknown!r})) ** 2)) AS norm, CAST(sum(n) AS BIGINT) AS words FROM c GROUP BY ALL),
-        d AS (SELECT c.doc_id, c.kind, c.line, t.template, t.license, sum(c.n * c.idf * t.v) AS dot FROM c JOIN t ON t.w = c.w GROUP BY ALL),
+        n AS (SELECT doc_id, kind, line, sqrt(sum(((1 + ln(n)) * coalesce(idf, {unknown!r})) ** 2)) AS norm, CAST(sum(n) AS BIGINT) AS words FROM c GROUP BY ALL),
+        d AS (SELECT c.doc_id, c.kind, c.line, t.template, t.license, sum((1 + ln(c.n)) * c.idf * t.v) AS dot FROM c JOIN t ON t.w = c.w GROUP BY ALL),
         s AS (SELECT d.doc_id, d.kind, d.line, d.license, dot / norm AS score, words FROM d JOIN n ON n.doc_id = d.doc_id AND n.kind = d.kind AND n.line = d.line WHERE dot / norm >= 0.8),
         b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, kind, line ORDER BY score DESC, license DESC) = 1),
         own AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC, kind DESC, line DESC) = 1),
