@@ -36,9 +36,10 @@ END_CLASS, TAILS, TOPS = 0, 1024, 2000
 WORD_SEED, TAIL_SEED = 1, 3
 #: Words are never white space, so this stands for the end of a text.
 END_HASH = 0x2545F4914F6CDD1D
-#: Tokens whose state probabilities are held at once, tokens of documents worked off
-#: in step, and the share of all tokens from which a word may be a class of its own.
-_BLOCK, _STEP, OFTEN = 1 << 18, 1 << 22, 1 / 20_000
+#: Tokens whose state probabilities are held at once, documents that are worked off in
+#: step whatever their length, tokens of documents that are sorted together, and the
+#: share of all tokens from which a word may be a class of its own.
+_BLOCK, _WIDE, _SORTED, OFTEN = 1 << 19, 64, 1 << 22, 1 / 20_000
 
 TOTALS = "kind int, chunk int, bucket int, n long, data binary"
 ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, word_part double, classes binary"
@@ -104,7 +105,7 @@ def _count(buckets: int):
 
 def _totals():
     """Of one bucket: totals for each chunk (kind 0), tokens and distinct known
-    words by tail class (kind 1), and candidates for classes of their own (kind 2)."""
+    words by tail class (kind 1), and the most frequent words (kind 2)."""
 
     def totals(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
@@ -123,13 +124,26 @@ def _totals():
         spread, ends = total[inverse], np.cumsum(sizes)
         rows = [(0, c, n, spread[e - n : e].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()) for c, n, e in zip(table.column("chunk").to_pylist(), sizes, ends)]
         rows.append((1, -1, 0, pack_sums(stats)))
-        rows += [(2, -1, int(total[i]), int(known[i]).to_bytes(8, "little") + int(tail[i]).to_bytes(8, "little")) for i in often]
+        rows.append((2, -1, len(often), np.stack([known[often], tail[often].astype(np.uint64), total[often].astype(np.uint64)]).tobytes()))
         kind, chunk, n, data = zip(*rows)
         return pa.table({"kind": pa.array(kind, pa.int32()), "chunk": pa.array(chunk, pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "n": pa.array(n, pa.int64()), "data": pa.array(data, pa.binary())})
 
     return totals
 
 
+def _frequent(least: float):
+    """Of buckets' most frequent words those with ``least`` tokens: (hash, tail, n)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for blob in part.column(0).to_pylist():
+                hashes, tails, counts = np.frombuffer(blob, np.uint64).reshape(3, -1)
+                kept = counts >= least
+                yield pa.RecordBatch.from_arrays([pa.array(v[kept].view(np.int64)) for v in (hashes, tails, counts)], ["hash", "tail", "n"])
+
+    return run
+
+
 class Vocabulary:
     """The fixed-size part of the vocabulary: totals, tail classes, frequent words."""
 
@@ -244,7 +258,7 @@ class Hmm:
         total = np.zeros(self.size)
         rest = sorted((q for q in sequences if len(q)), key=len, reverse=True)
         while rest:
-            n = max(1, min(len(rest), _STEP // len(rest[0])))
+            n = min(len(rest), max(_WIDE, _BLOCK // len(rest[0])))
             self._add_counts(rest[:n], total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s : -1].reshape(s, k), total[-1:])
             rest = rest[n:]
         return total
@@ -302,7 +316,7 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(v, np.uint16) for v in column.to_pylist()]
 
 
-def _groups(sequences: list[np.ndarray], most: int = _STEP) -> Iterator[list[np.ndarray]]:
+def _groups(sequences: list[np.ndarray], most: int = _SORTED) -> Iterator[list[np.ndarray]]:
     group, size = [], 0
     for q in sequences:
         group.append(q)
@@ -356,8 +370,9 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_bucket = totals.where("kind = 1").select(F.lit(0).alias("block"), F.col("bucket").alias("part"), F.col("data").alias("sums"))
     stats = tree_sum(by_bucket, parts).get(0, np.zeros(2 * (TAILS + 1))).reshape(2, -1)
     # at most 1 / OFTEN words reach that share of all tokens
-    often = totals.where((F.col("kind") == 2) & (F.col("n") >= F.lit(float(OFTEN * stats[0].sum())))).orderBy(F.desc("n"), "data").limit(TOPS).collect()
-    vocabulary = Vocabulary(stats, [(int.from_bytes(r.data[:8], "little"), int.from_bytes(r.data[8:], "little"), r.n) for r in often])
+    often = totals.where("kind = 2").select("data").mapInArrow(_frequent(OFTEN * float(stats[0].sum())), "hash long, tail long, n long")
+    often = often.orderBy(F.desc("n"), "hash").limit(TOPS).collect()
+    vocabulary = Vocabulary(stats, [(r.hash % 2**64, r.tail, r.n) for r in often])
 
     answers = totals.where("kind = 0").drop("kind")
     encoded = checkpoint(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encode(vocabulary), ENCODED))
