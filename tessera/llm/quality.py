@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops
-from tessera.llm.common import SUMS, bounded_sample, checkpoint, documents, pack_sums, split_join, tree_sum
+from tessera.llm.common import SUMS, bounded_sample, checkpoint, documents, pack_sums, split_join, tree_summed, unpack_sums
 
-#: Rows of the word table (a documented parameter, 16 MB of vectors), and what a
+#: Rows of the word table (a documented parameter, 8 MB of vectors), and what a
 #: document's mean is shrunk by, in tokens.
 ROWS, DIMS, NONZERO, BLOCKS, SHRINK = 1 << 16, 64, 4, 64, 8
 SEED = 7
@@ -81,27 +81,33 @@ def _context_sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, context in ((left, right), (right, left)):
                 for k in range(NONZERO):
                     np.add.at(sums, word * DIMS + places[context, k], signs[context, k])
-    blocks = sums.reshape(BLOCKS, -1)
     me = TaskContext.get().partitionId()
-    used = [b for b in range(BLOCKS) if blocks[b].any()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array([me] * len(used), pa.int32()), pa.array([pack_sums(blocks[b]) for b in used], pa.binary())], ["block", "part", "sums"]
-    )
+    for number, block in enumerate(sums.reshape(BLOCKS, -1)):
+        if block.any():
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([me], pa.int32()), pa.array([pack_sums(block)], pa.binary())], ["block", "part", "sums"])
+
+
+def _single(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        packed = [unpack_sums(blob.as_py()).astype(np.float32).tobytes() for blob in part.column(2)]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["block", "sums"])
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """(ROWS, DIMS) unit vectors, centred; 16 MB whatever the corpus."""
+    """(ROWS, DIMS) unit vectors, centred, in half precision: 8 MB whatever the
+    corpus.  The driver takes the sums block by block, 16 MB in all."""
     source = docs.select(F.col(text_col).alias("text"))
     parts = source.rdd.getNumPartitions()
-    sums = source.mapInArrow(_context_sums, SUMS)
-    found = np.zeros((BLOCKS, ROWS // BLOCKS * DIMS))
-    for block, total in tree_sum(sums, parts).items():
-        found[block] = total
-    found = found.reshape(ROWS, DIMS)
-    mass = np.linalg.norm(found, axis=1, keepdims=True)
-    unit = found / np.maximum(mass, 1e-9)
-    centre = (unit * np.sqrt(mass)).sum(0) / max(np.sqrt(mass).sum(), 1e-9)
-    return np.where(mass > 0, unit - centre, 0).astype(np.float32)
+    vectors = np.zeros((BLOCKS, ROWS // BLOCKS * DIMS), np.float32)
+    for row in tree_summed(source.mapInArrow(_context_sums, SUMS), parts).mapInArrow(_single, "block int, sums binary").toLocalIterator():
+        vectors[row.block] = np.frombuffer(row.sums, np.float32)
+    vectors = vectors.reshape(ROWS, DIMS)
+    mass = np.linalg.norm(vectors, axis=1)
+    vectors /= np.maximum(mass, 1e-9)[:, None]
+    weight = np.sqrt(mass)
+    centre = weight @ vectors / max(weight.sum(), 1e-9)
+    vectors[mass > 0] -= centre
+    return vectors.astype(np.float16)
 
 
 def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
@@ -112,7 +118,7 @@ def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
         rows, first = tokens(run)
         size = np.diff(first)
         for k in np.flatnonzero(size).tolist():
-            own = vectors.take(rows[first[k] : first[k + 1]], axis=0)
+            own = vectors.take(rows[first[k] : first[k + 1]], axis=0).astype(np.float32)
             n = len(own)
             out[at + k, :DIMS] = np.add.reduce(own, axis=0) / (n + SHRINK)
             out[at + k, DIMS : 2 * DIMS] = np.einsum("td,td->d", own, own) / n
