@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents
 
 LONG_WORD = 64
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 MAX_VOCABULARY_BYTES = 64 << 20
 _BATCH = 4 << 20
 NONE = np.int32(2**31 - 1)
