@@ -77,7 +77,8 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_
     empty completion; equal sides have the whole conversation as prompt and two
     empty completions.  Null roles and texts count as empty; turns that tie are
     ordered by role and text, repeated rows are repeated turns.  Rows with a null
-    key form one pair a side and don't meet the other side's.  Empty tables give
+    key form one pair a side and don't meet the other side's.  A conversation is
+    one array, so it has to fit a row (2 GB).  Empty tables give
     an empty result; other columns are ignored.
     """
     sides = collect_turns(chosen, key, "chosen").join(collect_turns(rejected, key, "rejected"), key, "full")

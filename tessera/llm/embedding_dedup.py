@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, shuffle_partitions, split_join
 from tessera.llm.components import connected_components
 
-WINDOW, SEED, BLOCK = 64, 5, 512
+WINDOW, SEED, BLOCK, TILE = 64, 5, 512, 512
 _EDGES = "a long, b long"
 
 
@@ -45,13 +45,13 @@ def passes_needed(rows: int, threshold: float, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
-def _matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
-    """Unit rows in double precision of a column of packed doubles."""
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Unit rows in double precision of a column of packed numbers of a kind."""
+    x = np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keyed(passes: int, vectors: bool = True):
+def _keyed(passes: int, kind: str, vectors: bool = True):
     """Sort keys of every pass: (label, dims, pass, key, rep) and, with ``vectors``, vector."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def _keyed(passes: int, vectors: bool = True):
                 rows = np.flatnonzero(sizes == dims)
                 mine = flat.take(pa.array(rows))
                 x = mine.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dims)
-                packed = [pa.array([v.tobytes() for v in x], pa.binary())] if vectors else []
+                packed = [pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())] if vectors else []
                 for number in range(passes):
                     if (number, dims) not in planes:
                         planes[number, dims] = np.random.default_rng([SEED, number, dims]).normal(size=(dims, 64))
@@ -94,7 +94,7 @@ def _united(x: np.ndarray, ids: np.ndarray, threshold: float) -> Iterator[tuple[
         yield least[differ], own[differ]
 
 
-def _windows(threshold: float):
+def _windows(threshold: float, kind: str):
     """Rows come sorted; each (label, dims, pass) run is compared in windows, with
     the last rows of a batch carried into the next.  Where two tasks meet inside
     a run, a pair that the cut parts is left to the other passes."""
@@ -111,19 +111,19 @@ def _windows(threshold: float):
             ids = table.column("rep").to_numpy()
             for a, b in zip([0, *new], [*new, table.num_rows]):
                 vectors = table.column("vector").slice(a, b - a).combine_chunks()
-                edges += _united(_matrix(vectors), ids[a:b], threshold)
+                edges += _united(_matrix(vectors, kind), ids[a:b], threshold)
             carry = table.slice(max(table.num_rows - 2 * WINDOW, 0))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in edges])) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _meet(threshold: float):
+def _meet(threshold: float, kind: str):
     """Of one block of asking and one of answering rows, the components that links join."""
 
     def meet(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy().astype(bool)
-        x, component = _matrix(table.column("vector").combine_chunks()), table.column("component").to_numpy()
+        x, component = _matrix(table.column("vector").combine_chunks(), kind), table.column("component").to_numpy()
         i, j = np.nonzero(x[asks] @ x[~asks].T >= threshold)
         pairs = np.unique(np.stack([component[asks][i], component[~asks][j]], axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
@@ -131,7 +131,7 @@ def _meet(threshold: float):
     return meet
 
 
-def _wide_runs(keys: DataFrame, packed: DataFrame, placed: DataFrame, bits: int, threshold: float) -> DataFrame:
+def _wide_runs(keys: DataFrame, packed: DataFrame, placed: DataFrame, bits: int, threshold: float, kind: str) -> DataFrame:
     """Links (a, b) between components that share a run of equal leading bits
     longer than the windows reach.  keys: (label, dims, pass, key, rep)."""
     run = ["label", "dims", "pass", "prefix"]
@@ -156,25 +156,30 @@ def _wide_runs(keys: DataFrame, packed: DataFrame, placed: DataFrame, bits: int,
     asks = found.where("component <> lead").withColumns({"i": F.expr("int(place % asked)"), "j": to_all("answering"), "asks": F.lit(True)})
     answers = found.withColumns({"j": F.expr("int(place % answering)"), "i": to_all("asked"), "asks": F.lit(False)})
     met = asks.unionByName(answers).select(*run, "i", "j", "component", "asks", "vector")
-    return met.groupBy(*run, "i", "j").applyInArrow(_meet(threshold), _EDGES).where("a <> b").distinct()
+    return met.groupBy(*run, "i", "j").applyInArrow(_meet(threshold, kind), _EDGES).where("a <> b").distinct()
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """Of one block pair: for each row of the rest, the weight of its links with
     the members; for each member of the core, the weight of its links with the rest."""
 
     def compare(table: pa.Table) -> pa.Table:
         rest = table.column("asks").to_numpy().astype(bool)
-        x, ids, weight = _matrix(table.column("vector").combine_chunks()), table.column("rep").to_numpy(), table.column("n").to_numpy()
+        x, ids, weight = _matrix(table.column("vector").combine_chunks(), kind), table.column("rep").to_numpy(), table.column("n").to_numpy()
         core = table.column("core").to_numpy().astype(bool)[~rest]
-        close = (x[rest] @ x[~rest].T >= threshold) & (ids[rest][:, None] != ids[~rest][None, :])
-        asked, answered = close @ weight[~rest], weight[rest] @ close
+        asked, answered = np.zeros(int(rest.sum()), np.int64), np.zeros(int((~rest).sum()), np.int64)
+        members, own = x[~rest].T, np.flatnonzero(rest)
+        for lo in range(0, len(own), TILE):  # one tile of the product at a time
+            tile = own[lo : lo + TILE]
+            close = (x[tile] @ members >= threshold) & (ids[tile][:, None] != ids[~rest][None, :])
+            asked[lo : lo + TILE] = close @ weight[~rest]
+            answered += weight[tile] @ close
         return pa.table({"rep": pa.array(np.concatenate([ids[rest], ids[~rest][core]])), "links": pa.array(np.concatenate([asked, answered[core]]).astype(np.int64))})
 
     return compare
 
 
-def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
+def _link_counts(members: DataFrame, threshold: float, kind: str) -> DataFrame:
     """members: (component, rep, n, vector).  Returns (rep, links): the number of
     vectors linked with rep that are not equal to it, each copy counted."""
     pivot = members.groupBy("component").agg(F.min_by("vector", "rep").alias("pivot"), F.count(F.lit(1)).alias("size"))
@@ -183,7 +188,7 @@ def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
     def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             pairs = zip(part.column(3).to_pylist(), part.column(4).to_pylist())
-            unit = [(np.frombuffer(v, np.float64), np.frombuffer(p, np.float64)) for v, p in pairs]
+            unit = [(np.frombuffer(v, kind).astype(np.float64), np.frombuffer(p, kind).astype(np.float64)) for v, p in pairs]
             core = [bool(v @ p >= half * np.sqrt((v @ v) * (p @ p))) for v, p in unit]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 2, 3, 5)), pa.array(core, pa.bool_())], ["component", "rep", "n", "vector", "size", "core"])
 
@@ -192,7 +197,7 @@ def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
     mass = judged.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("n")).otherwise(0)).alias("mass"), F.count_if(~F.col("core")).alias("rest"))
     judged = split_join(judged, mass, "component")
     inside = judged.where("core").select("rep", (F.col("mass") - F.col("n")).alias("links"))
-    block = F.least(F.greatest(F.lit(128), F.ceil(F.col("size") / 64)), F.lit(16384))
+    block = F.least(F.greatest(F.lit(128), F.ceil(F.col("size") / 64)), F.lit(4096))
     blocks = lambda count: F.greatest(F.lit(1), F.ceil(count / block)).cast("int")
     judged = judged.where("rest > 0").withColumns({"asked": blocks(F.col("rest")), "answering": blocks(F.col("size"))})
     place = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
@@ -200,7 +205,7 @@ def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
     asks = judged.where("NOT core").withColumns({"i": F.pmod(place, F.col("asked")).cast("int"), "j": to_all(F.col("answering")), "asks": F.lit(True)})
     answers = judged.withColumns({"j": F.pmod(place, F.col("answering")).cast("int"), "i": to_all(F.col("asked")), "asks": F.lit(False)})
     pairs = asks.unionByName(answers).select("component", "i", "j", "rep", "n", "vector", "core", "asks")
-    outside = pairs.groupBy("component", "i", "j").applyInArrow(_compare(threshold), "rep long, links long")
+    outside = pairs.groupBy("component", "i", "j").applyInArrow(_compare(threshold, kind), "rep long, links long")
     return inside.unionByName(outside).groupBy("rep").agg(F.sum("links").alias("links"))
 
 
@@ -217,6 +222,8 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, id_col: st
     columns are ignored.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("embedding"), vectors[label_col].cast("long").alias("label"))
+    # single precision travels as such: half the bytes, and cosines are computed in double
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
     valid = rows.where(usable)
@@ -225,17 +232,17 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, id_col: st
     order = ["label", "dims", "pass", "key", "rep"]
     passes = passes_needed(largest, threshold, miss)
     shape = "label long, dims int, pass int, key long, rep long"
-    keyed = distinct.select("label", "rep", "embedding").mapInArrow(_keyed(passes), f"{shape}, vector binary")
+    keyed = distinct.select("label", "rep", "embedding").mapInArrow(_keyed(passes, kind), f"{shape}, vector binary")
     parts = shuffle_partitions(vectors.sparkSession)
-    edges = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(threshold), _EDGES).distinct()
+    edges = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(threshold, kind), _EDGES).distinct()
     placed = checkpoint(connected_components(edges).select(F.col("node").alias("rep"), "component"))
 
-    packed = distinct.mapInArrow(_packed, "rep long, n long, vector binary")
-    keys = distinct.select("label", "rep", "embedding").mapInArrow(_keyed(passes, vectors=False), shape)
-    wide = checkpoint(_wide_runs(keys, packed, placed, leading_bits(largest), threshold))
+    packed = distinct.mapInArrow(_packed(kind), "rep long, n long, vector binary")
+    keys = distinct.select("label", "rep", "embedding").mapInArrow(_keyed(passes, kind, vectors=False), shape)
+    wide = checkpoint(_wide_runs(keys, packed, placed, leading_bits(largest), threshold, kind))
     placed = connected_components(wide.unionByName(placed.select(F.col("rep").alias("a"), F.col("component").alias("b")))).select(F.col("node").alias("rep"), "component")
 
-    counts = _link_counts(split_join(packed, placed, "rep").select("component", "rep", "n", "vector"), threshold)
+    counts = _link_counts(split_join(packed, placed, "rep").select("component", "rep", "n", "vector"), threshold, kind)
     found = distinct.select("label", "embedding", "rep", "n").join(placed, "rep", "left").join(counts, "rep", "left")
     found = found.select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = split_join(valid, found, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
@@ -243,9 +250,12 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, id_col: st
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        flat = part.column("embedding")
-        offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        packed = pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), packed], ["rep", "n", "vector"])
+def _packed(kind: str):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            flat = part.column("embedding")
+            offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False).astype(kind)
+            packed = pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), packed], ["rep", "n", "vector"])
+
+    return run
