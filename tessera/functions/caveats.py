@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The next action of each caveat code.
 NEXT_ACTION = {
@@ -58,3 +59,31 @@ def caveat_table(spark: SparkSession) -> DataFrame:
     kind = {c: ("info", "capability") for c in CAPABILITY} | {c: ("error", "error") for c in ERRORS}
     rows = [(code, *kind.get(code, ("warning", "risk")), action) for code, action in NEXT_ACTION.items()]
     return spark.createDataFrame(rows, "code string, severity string, category string, next_action string")
+
+
+# Warnings that begin like this, or are this, have a code of their own.
+BEGINNINGS = {
+    "failed to read ": "read_failed",
+    "invalid line range: ": "invalid_line_range",
+    "path escapes workspace root: ": "path_escapes_workspace_root",
+    "precise_scip_index_unavailable": "precise_scip_index_unavailable",
+    "failed to parse native SCIP index ": "failed_to_parse_native_scip_index",
+    "failed to resolve path ": "workspace_path_resolve_failed",
+    "partial parse with syntax errors: ": "partial_parse_syntax_errors",
+}
+
+
+def slug(text: Column) -> Column:
+    """ASCII letters and digits in lower case, all else one underscore between
+    them; "warning" if nothing is left."""
+    joined = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9]+", "_"), "^_|_$", "")
+    return F.when(joined == "", "warning").otherwise(F.translate(joined, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def warning_code(message: Column) -> Column:
+    """Stable code of a warning: that of its beginning, else the slug of what
+    stands before its first colon."""
+    code = slug(F.split_part(message, F.lit(":"), F.lit(1)))
+    for beginning, own in reversed(BEGINNINGS.items()):
+        code = F.when(F.startswith(message, F.lit(beginning)), own).otherwise(code)
+    return code

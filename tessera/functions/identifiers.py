@@ -93,3 +93,23 @@ def kind_rank(kind: Column) -> Column:
 
 def reliability_rank(reliability: Column) -> Column:
     return _ranked(reliability, RELIABILITY_RANK, 4)
+
+
+def like_escaped(text: str) -> str:
+    """A text for LIKE with backslash as escape character, wildcards taken literally."""
+    return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def method_like(identifier: str) -> str | None:
+    """LIKE pattern of the signatures of a method; none if it has one already."""
+    return None if not identifier or "(" in identifier else like_escaped(identifier) + "(%"
+
+
+# Numbers of symbol kinds in index files.
+KIND_NUMBERS = {7: "class", 8: "constant", 9: "constructor", 11: "enum", 15: "field", 17: "function", 21: "interface", 26: "method", 29: "module", 37: "parameter", 41: "property", 49: "struct", 53: "trait", 55: "type_alias", 58: "type_parameter", 61: "variable"}
+
+
+def kind_of_number(number: Column) -> Column:
+    """Name of a numeric symbol kind, "symbol" for others."""
+    table = F.create_map(*[F.lit(v) for item in KIND_NUMBERS.items() for v in item])
+    return F.coalesce(F.element_at(table, number.cast("int")), F.lit("symbol"))

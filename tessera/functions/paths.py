@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -119,9 +121,41 @@ def generated_reason(path: Column) -> Column:
     return F.when(_has_component(low, GENERATED_DIRECTORIES), "generated_path").when(marked, "generated_filename")
 
 
-def under_root(path: Column, root: Column) -> Column:
-    return (root == ".") | (path == root) | path.startswith(F.concat(root, F.lit("/")))
-
 
-def snapshot_key(snapshot_id: Column) -> Column:
-    return F.regexp_replace(snapshot_id, "[^A-Za-z0-9._-]", "_")
+def ignore_regex(directory: str, line: str) -> tuple[str, bool] | None:
+    """(regex of the paths that a line of an ignore file in a directory means,
+    whether it takes them back); none for blank lines and comments."""
+    text = line.rstrip()
+    if not text or text.startswith("#"):
+        return None
+    back, text = text.startswith("!"), text.removeprefix("!").removeprefix("\\")
+    only_directories, text = text.endswith("/"), text.rstrip("/")
+    anchored, text = "/" in text, text.lstrip("/")
+    out, at = "", 0
+    while at < len(text):
+        if text.startswith("**/", at):
+            out, at = out + "(?:.*/)?", at + 3
+        elif text.startswith("/**", at) and at + 3 == len(text):
+            out, at = out + "/.*", at + 3
+        elif text[at] == "*":
+            out, at = out + "[^/]*", at + 1
+        elif text[at] == "?":
+            out, at = out + "[^/]", at + 1
+        elif text[at] == "[" and (end := text.find("]", at + 2)) > 0:
+            body = text[at + 1 : end]
+            out, at = out + "[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\").replace("[", "\\[") + "]", end + 1
+        else:
+            out, at = out + re.escape(text[at]), at + 1
+    prefix = "" if directory in ("", ".") else re.escape(directory.strip("/")) + "/"
+    return f"^{prefix}{'' if anchored else '(?:.*/)?'}{out}{'/.*' if only_directories else '(?:/.*)?'}$", back
+
+
+def is_ignored(path: Column, ignore_files: list[tuple[str, str]]) -> Column:
+    """Whether ignore files, as (directory, text), leave a path out: the last line
+    that means it decides, those of deeper directories later."""
+    ignored = F.lit(False)
+    for directory, text in sorted(ignore_files, key=lambda f: (f[0].count("/") + (f[0] not in ("", ".")), f[0])):
+        for line in text.splitlines():
+            if rule := ignore_regex(directory, line):
+                ignored = F.when(F.rlike(path, F.lit(rule[0])), not rule[1]).otherwise(ignored)
+    return ignored

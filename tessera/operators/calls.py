@@ -57,7 +57,7 @@ def scan(text: str, language: str) -> list[Token]:
     return [Token(m.lastgroup, m[0], m.start(), m.end()) for m in pattern.finditer(text) if m.lastgroup != "comment"]
 
 
-def _closing(tokens: list[Token]) -> dict[int, int]:
+def closing(tokens: list[Token]) -> dict[int, int]:
     """Index of the bracket that closes each opening one."""
     open_at, closes = [], {}
     for i, t in enumerate(tokens):
@@ -86,7 +86,7 @@ def _arguments(tokens: list[Token], a: int, b: int, closes: dict[int, int]) -> l
 
 def calls(tokens: list[Token]) -> Iterator[Call]:
     """Calls in source order, and annotations that have no arguments."""
-    closes = _closing(tokens)
+    closes = closing(tokens)
     for i, t in enumerate(tokens):
         if t.kind != "name":
             continue

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import identifiers as ids
 from tessera.operators.lineage import cut
+from tessera.operators.results import first_per
+from tessera.operators.scheduler import cap_candidates
+from tessera.plans.inputs import InputPlan
 
 MAX_DEPTH = 8
 SITE = ["language", "file_path", "call_line", "caller_id", "target"]
@@ -21,6 +27,91 @@ def calls(edges: DataFrame, callers: DataFrame) -> DataFrame:
     return edges.join(callers.select(F.col("id").alias("caller_id")), "caller_id", "left_semi")
 
 
+def with_symbols(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Adds name and kind of the caller and of the callee from symbols (id, name,
+    kind), null where there is no such symbol."""
+    for side in ("caller", "callee"):
+        own = symbols.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("kind").alias(f"{side}_kind"))
+        edges = edges.join(own, f"{side}_id", "left")
+    return edges
+
+
+def in_files(edges: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Edges, or any rows with a file_path, in the allowed files (path)."""
+    return edges.join(allowed.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+
+
+def callable_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes a call hierarchy can start from: functions with a place in a file."""
+    return nodes.where(F.col("kind").isin("function", "method", "constructor") & (F.coalesce("file_path", F.lit("")) != "") & (F.col("start_line") > 0))
+
+
+def qualified_nodes(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes that a qualified name means: the last part is the name, the part
+    before it the tail of the container; case is ignored.  Other texts restrict
+    nothing."""
+    plain = re.sub(r"::|#|\$", ".", text.split("(")[0].strip())
+    container, _, name = plain.rpartition(".")
+    if not container:
+        return nodes
+    tail = F.element_at(F.split(F.regexp_replace(F.coalesce("container", F.lit("")), r"::|#|\$", "."), r"\."), -1)
+    return nodes.where((F.lower("name") == name.lower()) & (F.lower(tail) == container.rpartition(".")[2].lower()))
+
+
+NODE_COLUMNS = ["id", "display_name"]
+
+
+def matching_nodes(nodes: DataFrame, plan: InputPlan) -> DataFrame:
+    """Nodes of which the id, the display name, or the tail or base of either
+    matches the plan, with the kind of match."""
+    forms = [f(F.col(c)) for c in NODE_COLUMNS for f in (lambda x: x, ids.qualified_tail, ids.method_base)]
+    return nodes.withColumn("matched", plan.matched_kind(forms)).where(F.col("matched").isNotNull())
+
+
+def hierarchy_roots(matched: DataFrame) -> DataFrame:
+    """One node for each (language, file_path, container, name): that with the best
+    rank, then the smallest id."""
+    return first_per(matched, ["language", "file_path", "container", "name"], ["rank", "id"])
+
+
+def capped_relations(relations: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` relations of each result, with a flag where some were cut."""
+    return cap_candidates(relations.withColumn("__k", F.struct(*keys)), "__k", order, most).drop("__k")
+
+
+def resolve_callers(calls_: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Adds caller_id: the only definition with the call's body hash, else the only
+    one with its language, root, container and enclosing name, else null."""
+    scope = ["language", "root_id", "container", "enclosing"]
+    found = definitions.withColumnRenamed("name", "enclosing")
+    by_hash = resolve_unique(calls_, found.where(F.col("body_hash").isNotNull()), ["body_hash"]).withColumnRenamed("callee_id", "__h")
+    both = resolve_unique(by_hash, found, scope).withColumnRenamed("callee_id", "__s")
+    return both.withColumn("caller_id", F.coalesce("__h", "__s")).drop("__h", "__s")
+
+
+def build_edges(references: DataFrame, precise: DataFrame, parsed_calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """All edges of a snapshot: caller_id, callee_id, file_path, call_line,
+    call_column, source.
+
+    references (ref_id, path, line, column, symbol) go from the precise definition
+    (def_id, path, start_line, end_line) around them to the symbol's definition;
+    parsed_calls (language, root_id, path, line, column, container, enclosing,
+    body_hash, target) from the definition resolve_callers finds to the only one
+    (def_id, language, root_id, container, name, body_hash) that has the target's
+    name in the language and root, else to the raw target.  A parsed call at a
+    place that has a precise edge is dropped."""
+    from_ = enclosing_definitions(references, precise).select("ref_id", F.col("def_id").alias("caller_id"))
+    sure = references.join(from_, "ref_id").where(F.col("caller_id").isNotNull() & (F.col("caller_id") != F.col("symbol")))
+    place = [F.col("path").alias("file_path"), F.col("line").alias("call_line"), F.col("column").alias("call_column")]
+    sure = sure.select("caller_id", F.col("symbol").alias("callee_id"), *place, F.lit("precise").alias("source"))
+    guessed = resolve_callers(parsed_calls, definitions).where(F.col("caller_id").isNotNull())
+    targets = definitions.select("language", "root_id", F.col("name").alias("target"), "def_id")
+    guessed = resolve_unique(guessed, targets, ["language", "root_id", "target"])
+    guessed = guessed.select("caller_id", F.coalesce("callee_id", F.concat(F.lit("name:"), "target")).alias("callee_id"), *place, F.lit("parser").alias("source"))
+    guessed = guessed.join(sure.select("file_path", "call_line", "call_column").distinct(), ["file_path", "call_line", "call_column"], "left_anti")
+    return distinct_edges(sure.unionByName(guessed.select(sure.columns)))
+
+
 def callers(edges: DataFrame, callees: DataFrame) -> DataFrame:
     return edges.join(callees.select(F.col("id").alias("callee_id")), "callee_id", "left_semi")
 

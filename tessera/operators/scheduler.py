@@ -82,3 +82,11 @@ class SavedQueries:
         """(verb, arguments, cursor); the cursor only holds for its own snapshot."""
         saved = self.show(name)
         return saved["verb"], saved["arguments"], saved["cursor"] if saved["snapshot_id"] == snapshot_id else None
+
+    def run(self, name: str, engine, snapshot_id: str):
+        """The answer of the saved verb of an engine, from the saved page on if the
+        snapshot is still the same."""
+        verb, arguments, cursor = self.replay(name, snapshot_id)
+        if verb.startswith("_") or not callable(getattr(engine, verb, None)):
+            raise ValueError(f"unknown verb: {verb!r}")
+        return getattr(engine, verb)(**arguments, **({"cursor": cursor} if cursor else {}))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,18 @@ def overlay_union(indexed: DataFrame, current: DataFrame) -> DataFrame:
     return joined.withColumns({"source": F.when(fresh, "index").otherwise("overlay"), "reason": reason}).drop("__hash")
 
 
-def proof_digest(files: DataFrame) -> DataFrame:
-    """Digest of all (path, hash) pairs in path order.  A two-level tree: pairs
-    hash into 4096 ordered groups first, so no task sorts the whole corpus."""
-    group = F.substring(F.sha2("path", 256), 1, 3)
-    each = files.groupBy(group.alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "hash"))), "\n"), 256).alias("d"))
-    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "g", "d"))), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("groups"))
+def proof_digest(files: DataFrame, digits: int | None = None) -> DataFrame:
+    """One row: a digest of all (path, hash) pairs that doesn't depend on their
+    order, and their number.  A tree over the hex digits of hashed paths: leaves
+    hold the files that share ``digits`` of them, about 4096 unless given, every
+    level above joins sixteen digests, so no list grows with the corpus."""
+    if digits is None:
+        digits = max(0, math.ceil(math.log(max(files.count(), 1) / 4096, 16)))
+    level = files.select(F.substring(F.sha2("path", 256), 1, digits).alias("k"), F.concat_ws("=", "path", "hash").alias("d"), F.lit(1).cast("long").alias("n"))
+    for length in range(digits, -1, -1):
+        level = level.groupBy(F.substring("k", 1, length).alias("k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+        level = level.select("k", F.concat_ws("=", "k", "digest").alias("d"), "digest", "n")
+    return level.select("digest", F.col("n").alias("files"))
 
 
 def store_is_fresh(stored: DataFrame, current: DataFrame) -> DataFrame:

@@ -3,8 +3,6 @@ same result in SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +12,12 @@ from tessera.functions.grams import explode_grams, gram_text, literal_grams
 from tessera.functions.patterns import compile_pattern
 from tessera.operators import config, events, graph, project, results, routes, scheduler, search, snapshots, symbols
 from tessera.plans.inputs import Coordinate, InputPlan
+from tessera.plans.registry import QUERIES, SQL, query
 from tessera.plans.stored import StoredFacts, stored_facts
 from tessera.sources import adapters, catalog, occurrences
 from tessera.sources.adapters import file_events, files, snapshot_now, supply_edges, table
 from tessera.sources.catalog import Scope
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 FILES = """f AS (
     SELECT source || '/' || lang || '/doc' || doc_id || '.txt' AS path, lang AS language, CAST(strlen(text) AS BIGINT) AS size,
            doc_id AS mtime_ms, CAST(420 AS BIGINT) AS mode, sha256(text) AS hash, text AS content, doc_id FROM documents
@@ -66,16 +61,6 @@ t AS (
 )
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def match_sql(regex: str) -> str:
     r = "'" + regex.replace("'", "''") + "'"
     return f"""
@@ -622,11 +607,12 @@ def store_is_fresh(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FILES}, g AS (SELECT left(sha256(path), 3) AS g, sha256(string_agg(path || '=' || hash, chr(10) ORDER BY path || '=' || hash)) AS d FROM f GROUP BY 1)
-    SELECT sha256(string_agg(g || '=' || d, chr(10) ORDER BY g || '=' || d)) AS digest, count(*) AS groups FROM g"""
+    f"""WITH {FILES}, g AS (SELECT left(sha256(path), 2) AS g, sha256(string_agg(path || '=' || hash, chr(10) ORDER BY path || '=' || hash)) AS d, count(*) AS n FROM f GROUP BY 1),
+    h AS (SELECT left(g, 1) AS g, sha256(string_agg(g || '=' || d, chr(10) ORDER BY g || '=' || d)) AS d, sum(n) AS n FROM g GROUP BY 1)
+    SELECT sha256(string_agg(g || '=' || d, chr(10) ORDER BY g || '=' || d)) AS digest, CAST(sum(n) AS BIGINT) AS files FROM h"""
 )
 def source_proof(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.proof_digest(files(spark, d))
+    return snapshots.proof_digest(files(spark, d), digits=2)
 
 
 def _manifests(spark: SparkSession, d: str) -> DataFrame:
@@ -797,11 +783,11 @@ def tumbling_changes(spark: SparkSession, d: str) -> DataFrame:
     return events.tumbling_changes(file_events(spark, d), "1 hour")
 
 
-def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str, name: str) -> DataFrame:
+def _streamed(spark: SparkSession, d: str, make, mode: str, name: str) -> DataFrame:
     """Drive a stream over the events table to its end and read its output table."""
     import uuid
 
-    from tessera.operators.lineage import shared_folder
+    from tessera.operators.lineage import remove, shared_folder
 
     static = file_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -813,6 +799,8 @@ def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame
 
     run = make(stream).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
+    for part in ("in", "state"):
+        remove(spark, f"{folder}/{part}")
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -933,3 +921,9 @@ def visible_code(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "part").select(F.lit("src/a").alias("path"), F.col("p_type").alias("kind"), F.col("p_brand").alias("container"), F.col("p_size").alias("lines"))
     return visible(rows)
+
+
+# the other modules of queries register theirs when they are imported
+from tessera.plans import extraction_queries, graph_queries  # noqa: E402
+
+__all__ = ["QUERIES", "SQL", "extraction_queries", "graph_queries"]

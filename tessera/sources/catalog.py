@@ -5,7 +5,7 @@ from __future__ import annotations
 import subprocess
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
@@ -44,46 +44,103 @@ class Scope:
             kept = kept.join(changed.select("path"), "path", "left_semi")
         return kept
 
-    @property
-    def index_eligible(self) -> bool:
-        return not (self.changed_only or self.directories or self.extensions or self.patterns)
+
+#: Caps on what the driver lists and reads itself: files whose names Spark's
+#: readers pass over, and the bytes in them.
+HIDDEN_FILES, HIDDEN_BYTES = 10_000, 64 << 20
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+@dataclass(frozen=True)
+class _Unseen:
+    """What Spark's readers don't show of a tree: files with a component that
+    starts with an underscore, and the ignore files."""
+
+    files: list[tuple]
+    ignores: list[tuple[str, str]]
 
 
-def _underscored(spark: SparkSession, root: str, max_bytes: int) -> list[tuple]:
-    """Files with a path component that starts with an underscore, which Spark's
-    readers pass over: listed and read by the driver, contents up to ``max_bytes``."""
+def _unseen(spark: SparkSession, root: str, max_bytes: int, contents: bool = True) -> _Unseen:
+    """Listed by the driver, and read within the caps; beyond them it is an error."""
     jvm = spark._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     prefix = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
-    found, listed = [], fs.listFiles(top, True)
+    files, ignores, taken = [], [], 0
+
+    def read(status) -> bytearray:
+        nonlocal taken
+        taken += status.getLen()
+        if taken > HIDDEN_BYTES:
+            raise ValueError(f"more than {HIDDEN_BYTES} bytes below {root} are in files that only the driver can read")
+        stream = fs.open(status.getPath())
+        try:
+            return bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    listed = fs.listFiles(top, True)
     while listed.hasNext():
         status = listed.next()
         path = status.getPath().toUri().getPath().removeprefix(prefix)
-        if any(p.startswith("_") for p in path.split("/")) and not any(p.startswith(".") for p in path.split("/")):
-            content = bytearray()
-            if status.getLen() <= max_bytes:
-                stream = fs.open(status.getPath())
-                content = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-                stream.close()
-            found.append((path, status.getLen(), status.getModificationTime(), content))
-    return found
+        *above, name = path.split("/")
+        if any(p.startswith(".") for p in above):
+            continue
+        if name in IGNORE_FILES:
+            ignores.append(("/".join(above), read(status).decode("utf-8", "replace")))
+        elif not name.startswith(".") and any(p.startswith("_") for p in (*above, name)):
+            if len(files) == HIDDEN_FILES:
+                raise ValueError(f"more than {HIDDEN_FILES} files below {root} have names that Spark passes over")
+            content = read(status) if contents and status.getLen() <= max_bytes else bytearray()
+            files.append((path, status.getLen(), status.getModificationTime(), content))
+    return _Unseen(files, ignores)
+
+
+def _relative(root: str) -> Column:
+    bare = root.split("://")[-1].split(":")[-1].rstrip("/")
+    return F.expr(f"substring(path, instr(path, '{bare}/') + {len(bare) + 1})")
+
 
+_LISTED = "path string, size long, mtime_ms long"
 
-def scan_tree(spark: SparkSession, root: str, no_ignore: bool = False, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+
+def _skip_reason(path: Column, unseen: _Unseen, no_ignore: bool) -> Column:
+    reason = F.when(paths.is_skipped(path, no_ignore), "ignored")
+    return reason if no_ignore or not unseen.ignores else reason.when(paths.is_ignored(path, unseen.ignores), "ignored")
+
+
+def list_tree(spark: SparkSession, root: str, no_ignore: bool = False, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, size, mtime_ms) of the files that a scan would look into; no content is read."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = read.select(_relative(root).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
+    unseen = _unseen(spark, root, max_bytes, contents=False)
+    if unseen.files:
+        files = files.unionByName(spark.createDataFrame([f[:3] for f in unseen.files], _LISTED))
+    return files.where(_skip_reason(F.col("path"), unseen, no_ignore).isNull() & (F.col("size") <= max_bytes))
+
+
+def scan_tree(spark: SparkSession, root: str, no_ignore: bool = False, max_bytes: int = MAX_FILE_BYTES, only: list[str] | None = None) -> DataFrame:
     """Every file below a root but hidden ones (a component that starts with a
     dot): path, language, size, mtime_ms, content (null if skipped), skip_reason
-    ("ignored", "too_large", "binary" or null).  Reads through Spark, so the root
-    may lie in any store it reaches."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    bare = root.split("://")[-1].split(":")[-1].rstrip("/")
-    relative = F.expr(f"substring(path, instr(path, '{bare}/') + {len(bare) + 1})")
-    files = read.select(relative.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-    missed = _underscored(spark, root, max_bytes)
-    if missed:
-        files = files.unionByName(spark.createDataFrame(missed, "path string, size long, mtime_ms long, content binary"))
+    ("ignored", also by ignore files, "too_large", "binary" or null).  Files over
+    ``max_bytes`` are never read.  Reads through Spark, so the root may lie in any
+    store it reaches.  ``only`` restricts the scan to a bounded list of paths."""
+    unseen = _unseen(spark, root, max_bytes)
+    seen = None if only is None else sorted(set(only) - {f[0] for f in unseen.files})
+    reader = spark.read.format("binaryFile")
+    if seen is None:
+        listed = reader.option("recursiveFileLookup", "true").load(root)
+        small = listed.where(F.col("length") <= max_bytes)  # pushed down, so larger ones are not read
+        large = listed.where(F.col("length") > max_bytes).select("path", "length", "modificationTime", F.lit(None).cast("binary").alias("content"))
+        listed = small.select("path", "length", "modificationTime", "content").unionByName(large)
+    else:
+        listed = reader.load([f"{root.rstrip('/')}/{p}" for p in seen]) if seen else None
+    columns = [_relative(root).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content"]
+    files = spark.createDataFrame([f for f in unseen.files if only is None or f[0] in only], f"{_LISTED}, content binary")
+    if listed is not None:
+        files = listed.select(*columns).unionByName(files)
     binary = F.rlike(F.hex(F.substring("content", 1, SNIFFED_BYTES)), F.lit("^(?:..)*?00"))
-    reason = F.when(paths.is_skipped(F.col("path"), no_ignore), "ignored").when(F.col("size") > max_bytes, "too_large").when(binary, "binary")
+    reason = _skip_reason(F.col("path"), unseen, no_ignore).when(F.col("size") > max_bytes, "too_large").when(binary, "binary")
     judged = files.withColumn("skip_reason", reason)
     return judged.select("path", paths.language_of(F.col("path")).alias("language"), "size", "mtime_ms", F.when(F.col("skip_reason").isNull(), F.decode("content", "UTF-8")).alias("content"), "skip_reason")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.paths import is_skipped
+from tessera.operators.lineage import remove
 from tessera.operators.snapshots import reconcile
 
 EVENTS = "path string, seq long, ts timestamp, kind string, previous_path string"
@@ -57,21 +58,40 @@ def tumbling_stream(events: DataFrame, window: str, late: str) -> DataFrame:
 
 
 class Overlay:
-    """Differences between a stored snapshot and the live catalog, replaced by
-    each micro-batch and read as a table."""
+    """Differences between a stored snapshot and the live catalog, replaced by each
+    micro-batch and read as a table.  Every state is a new folder; the newest that
+    was written to its end counts, so a reader never meets half a state."""
+
+    SCHEMA = "path string, status string, expected_hash string, actual_hash string"
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder = folder.rstrip("/")
+
+    def _versions(self, spark) -> list[int]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        numbers = [s.getPath().getName() for s in fs.listStatus(path)]
+        done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))
+        return sorted(int(n) for n in numbers if n.isdigit() and done(n))
+
+    def _write(self, state: DataFrame) -> None:
+        spark = state.sparkSession
+        versions = self._versions(spark)
+        state.write.mode("overwrite").parquet(f"{self.folder}/{(versions[-1] if versions else 0) + 1}")
+        for old in versions[:-1]:  # the one before stays for those who read it now
+            remove(spark, f"{self.folder}/{old}")
 
     def replace(self, snapshot: DataFrame, current: DataFrame) -> None:
-        reconcile(snapshot, current).write.mode("overwrite").parquet(self.folder)
+        self._write(reconcile(snapshot, current))
 
     def read(self, spark) -> DataFrame:
-        return spark.read.parquet(self.folder)
+        versions = self._versions(spark)
+        return spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/{versions[-1]}") if versions else spark.createDataFrame([], self.SCHEMA)
 
     def clear(self, spark) -> None:
-        empty = spark.createDataFrame([], "path string, status string, expected_hash string, actual_hash string")
-        empty.write.mode("overwrite").parquet(self.folder)
+        self._write(spark.createDataFrame([], self.SCHEMA))
 
     def follow(self, catalog_stream: DataFrame, snapshot: DataFrame, checkpoint: str):
         """Start a query that reconciles each batch of catalog rows."""

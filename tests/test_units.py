@@ -305,10 +305,10 @@ def test_code_excerpts(spark, code):
 
 
 def test_defs_rank_precise_first(spark, code):
-    occ = frame(spark, [("k", "z.py", 1, 1, 1, 6, "definition", "python")], "symbol_key string, path string, start_line int, start_column int, end_line int, end_column int, role string, language string")
+    occ = frame(spark, [("k", "src/m.rs", 1, 1, 1, 6, "definition", "python"), ("k", "out/of/scope.py", 1, 1, 1, 6, "definition", "python")], "symbol_key string, path string, start_line int, start_column int, end_line int, end_column int, role string, language string")
     sym = frame(spark, [("k", "s", "price", "function", "python")], "symbol_key string, symbol string, name string, kind string, language string")
     got = Engine(code, occurrences=occ, symbol_table=sym).defs("Price").rows.collect()
-    assert [(r.path, r.reliability) for r in got] == [("z.py", "precise_fact"), ("src/a.py", "parser_fact")]
+    assert [(r.path, r.reliability) for r in got] == [("src/m.rs", "precise_fact"), ("src/a.py", "parser_fact")]
     assert Engine(code).refs("price").rows.count() == 0
 
 
