@@ -867,7 +867,7 @@ def ambiguity_groups(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TOKENS} SELECT path, name, line FROM o WHERE path = 'src1/en/doc1.txt' AND line = 2 AND name = 'the'")
 def coordinate_lookup(spark: SparkSession, d: str) -> DataFrame:
     at = Coordinate.parse("src1/en/doc1.txt:2#the")
-    return adapters.occurrences(spark, d, F.col("name") == at.symbol).where(at.covers()).select("path", "name", F.col("start_line").alias("line"))
+    return facts(spark, d).occurrences().where((F.col("name_lc") == at.symbol.lower()) & (F.col("name") == at.symbol)).where(at.covers()).select("path", "name", F.col("start_line").alias("line"))
 
 
 # -- symbol strings, coverage, caps
