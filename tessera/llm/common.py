@@ -62,12 +62,12 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
 
 
 #: Text that a task holds at once, at least.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def chunk_size(size: int) -> int:
     """Bytes of a chunk of a corpus of ``size`` bytes: its square root times 22.6
-    or CHUNK_BYTES.  Where each chunk sends one row to each of as many buckets,
+    or CHUNK_BYTES if that is more.  Where each chunk sends one row to each of as many buckets,
     there are at most size / 512 such rows, and chunks of 226 MB at 100 TB."""
     return max(CHUNK_BYTES, math.isqrt(512 * size))
 

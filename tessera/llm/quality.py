@@ -65,12 +65,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the non-zero entries of each row's index vector."""
     random = np.random.default_rng(SEED)
-    return random.integers(0, DIMS, (ROWS, NONZERO)), random.choice(np.array([-1.0, 1.0]), (ROWS, NONZERO))
+    return random.integers(0, DIMS, (ROWS, NONZERO)), random.choice(np.array([-1, 1], np.int32), (ROWS, NONZERO))
 
 
 def _context_sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
-    sums = np.zeros(ROWS * DIMS)
+    sums = np.zeros(ROWS * DIMS, np.int32)
     for part in parts:
         for _, run in textops.batches(textops.as_bytes(part.column(0))):
             rows, first = tokens(run)
@@ -153,8 +153,12 @@ class Network:
         order = random.permutation(len(y))
         held = order[: len(y) // 5]
         learn = order[len(y) // 5 :] if len(y) >= 10 else order
-        self.mean, self.scale = x[learn].mean(0), x[learn].std(0) + 1e-6
-        z = (x - self.mean) / self.scale
+        known = x[learn]
+        self.mean, self.scale = known.mean(0, dtype=np.float64), known.std(0, dtype=np.float64) + 1e-6
+        del known
+        z = x.astype(np.float32)  # the rows once more, and no further copy
+        z -= self.mean
+        z /= self.scale
         n = x.shape[1]
         w = [random.normal(0, n**-0.5, (n, self.hidden)), np.zeros(self.hidden), random.normal(0, self.hidden**-0.5, self.hidden), np.zeros(1)]
         first, second, step = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w], 0
@@ -208,13 +212,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = bounded_sample(known, "doc_id", known.count(), max_train_rows)
     rows = split_join(pooled.dropDuplicates(["doc_id"]), sample, "doc_id").orderBy("doc_id").select("features", "y").collect()
-    x = np.array([np.frombuffer(r.features, np.float32) for r in rows], np.float64).reshape(len(rows), FEATURES)
-    network = Network().fit(x, np.array([r.y for r in rows], np.float64))
+    x, y = np.zeros((len(rows), FEATURES), np.float32), np.array([r.y for r in rows], np.float64)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r.features, np.float32)
+    del rows
+    network = Network().fit(x, y)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float32).reshape(part.num_rows, FEATURES)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(network.scores(found.astype(np.float64)))], ["doc_id", "text_md5", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(network.scores(found).astype(np.float64))], ["doc_id", "text_md5", "score"])
 
     scored = pooled.mapInArrow(run, "doc_id long, text_md5 string, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_md5")
