@@ -211,6 +211,14 @@ def extract_java(files: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, FACTS)
 
 
+def members(facts: DataFrame) -> DataFrame:
+    """(owner, name, arity, kind, overloads): a type's fields, and its methods by
+    name and number of parameters with how many there are of each."""
+    found = facts.where(F.col("fact").isin("field", "method"))
+    arity = F.when(F.col("fact") == "method", F.size("parameters"))
+    return found.groupBy("owner", "name", arity.alias("arity"), "kind").agg(F.count(F.lit(1)).alias("overloads"))
+
+
 # -- names of types
 
 

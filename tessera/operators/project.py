@@ -84,5 +84,55 @@ def config_edges(files: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select("path", "config_kind", "root_ids", F.when(F.size("root_ids") == 0, "config_edge_unresolved").alias("caveat"))
 
 
+# Files that say where a program runs, by name or place.
+ENVIRONMENT_KINDS = {
+    "container": r"(^|/)Dockerfile(\.[^/]*)?$",
+    "compose": r"(?i)compose\.ya?ml$",
+    "dot_env": r"(^|/)\.env(\.[^/]*)?$",
+    "kubernetes": r"(?i)(^|/)(k8s|kubernetes)/",
+}
+# What an edge of each kind of configuration means.
+EDGE_KINDS = {"dependency": "dependency_config_affects_root", "script": "automation_affects_root", "ci_workflow": "automation_affects_root", "settings": "runtime_config_affects_root"}
+
+
+def environment_files(files: DataFrame) -> DataFrame:
+    kind = F.lit(None).cast("string")
+    for name, regex in reversed(ENVIRONMENT_KINDS.items()):
+        kind = F.when(F.rlike("path", F.lit(regex)), name).otherwise(kind)
+    return files.select("path", kind.alias("environment")).where(F.col("environment").isNotNull())
+
+
+def environment_edges(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, environment, root_ids, caveat): such a file touches every root."""
+    every = roots.agg(F.array_sort(F.collect_set("id")).alias("root_ids"))  # roots are marker directories, one row holds them
+    found = environment_files(files).crossJoin(every)
+    return found.withColumn("caveat", F.when(F.size("root_ids") == 0, "config_edge_unresolved"))
+
+
+def root_dependencies(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(from_root_id, to_root_id, via_path): a Go workspace depends on the Go roots
+    below its directory, found by an equality join on their ancestors."""
+    go = roots.where("language = 'go'").select(F.col("id").alias("to_root_id"), "path")
+    spaces = files.where(paths.file_name(F.col("path")) == "go.work").select(F.col("path").alias("via_path"), paths.parent(F.col("path")).alias("__dir"))
+    own = spaces.join(go.select(F.col("path").alias("__dir"), F.col("to_root_id").alias("from_root_id")), "__dir")
+    below = go.where("path <> '.'").withColumn("__dir", F.explode(ancestors(F.col("path"))))
+    return own.join(below, "__dir").where("from_root_id <> to_root_id").select("from_root_id", "to_root_id", "via_path")
+
+
+def dependency_edges(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(kind, from_root_id, to_root_id, via_path, unresolved): what each file of
+    configuration or environment affects, one row a root, or one unresolved row; and
+    the roots that a workspace depends on.  A file that affects one root is its own."""
+    marker = paths.file_name(F.col("path")).isin(list(MARKERS))
+    kinds = F.create_map(*[F.lit(v) for item in EDGE_KINDS.items() for v in item])
+    by_config = config_edges(files, roots).where(~F.col("config_kind").isin("container", "compose", "environment"))
+    by_config = by_config.select(F.when(marker, "build_config_affects_root").otherwise(kinds[F.col("config_kind")]).alias("kind"), F.when(F.size("root_ids") == 1, F.col("root_ids")[0]).alias("from_root_id"), "root_ids", "path")
+    around = environment_edges(files, roots).select(F.lit("environment_affects_root").alias("kind"), F.lit(None).cast("string").alias("from_root_id"), "root_ids", "path")
+    each = by_config.unionByName(around).select("kind", "from_root_id", F.explode_outer("root_ids").alias("to_root_id"), F.col("path").alias("via_path"))
+    each = each.withColumn("unresolved", F.col("to_root_id").isNull())
+    between = root_dependencies(files, roots).select(F.lit("root_depends_on_root").alias("kind"), "from_root_id", "to_root_id", "via_path", F.lit(False).alias("unresolved"))
+    return each.unionByName(between)
+
+
 def generated_sources(files: DataFrame) -> DataFrame:
     return files.select("path", paths.generated_reason(F.col("path")).alias("reason")).where(F.col("reason").isNotNull())

@@ -66,6 +66,21 @@ def store_is_fresh(stored: DataFrame, current: DataFrame) -> DataFrame:
     return state.agg(F.coalesce(F.bool_and(F.col("state") == "fresh"), F.lit(True)).alias("fresh"), F.count_if(F.col("state") == "stale").alias("stale"), F.count_if(F.col("state") == "missing").alias("missing"))
 
 
+#: Version of the stored tables; stores of another are rebuilt, not read.
+SCHEMA_VERSION = 1
+
+
+def store_verdict(meta: DataFrame, stored: DataFrame, current: DataFrame, snapshot_id: str, schema_version: int = SCHEMA_VERSION) -> DataFrame:
+    """One row: whether a store may be used, and why not: its meta row
+    (schema_version, snapshot_id) has another version or snapshot, or a stored file
+    has changed or gone."""
+    own = meta.agg(F.max("schema_version").alias("v"), F.max("snapshot_id").alias("s"))
+    found = store_is_fresh(stored, current).crossJoin(own)  # one row each
+    same_version, same_snapshot = F.col("v").eqNullSafe(F.lit(schema_version)), F.col("s").eqNullSafe(F.lit(snapshot_id))
+    reason = F.when(~same_version, "schema_mismatch").when(~same_snapshot, "snapshot_mismatch").when(~F.col("fresh"), "files_changed")
+    return found.select(reason.isNull().alias("usable"), reason.alias("reason"), "stale", "missing")
+
+
 MANIFEST_HASHES = ["source_hash", "config_hash", "provider_hash", "environment_hash"]
 BLOCKING = ["stale", "updating", "partial", "missing"]
 

@@ -134,6 +134,13 @@ def java_facts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path", "fact", "owner", "name", "type", F.array_join("parameters", ",").alias("parameters"), F.array_join("arguments", ",").alias("arguments"), "receiver_type")
 
 
+@query(
+    _rows("owner, name, arity, kind, overloads", [(1, "'Shop$', 'names', NULL, 'field', 1"), (1, "'Shop$', 'one', 1, 'method', 1"), (1, "'Shop$', 'two', 2, 'method', 1")])
+)
+def java_members(spark: SparkSession, d: str) -> DataFrame:
+    return java.members(java.extract_java(source_tree(spark, d)))
+
+
 @query(_rows("path, name, code, code_truncated", [(0, "'src/s$.py', 'price$', 'def price$(n):', true"), (3, "'src/s$.rs', 'callee$', 'fn callee$(n: u32) {}', false")]))
 def code_excerpt(spark: SparkSession, d: str) -> DataFrame:
     tree = source_tree(spark, d)

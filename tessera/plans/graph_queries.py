@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import caveats, identifiers, paths
-from tessera.operators import config, graph, java, parser, results, snapshots, symbols
+from tessera.operators import config, graph, java, parser, project, results, snapshots, symbols
 from tessera.plans.inputs import InputPlan
 from tessera.plans.registry import query
 from tessera.sources import store
@@ -359,3 +359,55 @@ def config_key_filter(spark: SparkSession, d: str) -> DataFrame:
 def ignored_events(spark: SparkSession, d: str) -> DataFrame:
     path = F.element_at(F.array(*map(F.lit, ["target/debug/a", "src/a", "web/node_modules/x.js", "lib/targets/b"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", F.when(paths.is_skipped(path), "ignored").otherwise("kept").alias("state"))
+
+
+# -- projects
+
+_PROJECT = """p AS (SELECT DISTINCT CASE s_suppkey % 5 WHEN 0 THEN 'Dockerfile.' || s_suppkey WHEN 1 THEN 'b/.env.' || s_suppkey WHEN 2 THEN 'a/k8s/x' || s_suppkey WHEN 3 THEN 'b/x' || s_suppkey || '.toml' ELSE 'go.work' END AS path FROM supplier),
+r AS (SELECT unnest(['go:.', 'go:a', 'rust:b']) AS id)"""
+
+
+def _project(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("s_suppkey")
+    kinds = F.array(text("Dockerfile.", k), text("b/.env.", k), text("a/k8s/x", k), F.concat(text("b/x", k), F.lit(".toml")), F.lit("go.work"))
+    files_ = table(spark, d, "supplier").select(F.element_at(kinds, (k % 5 + 1).cast("int")).alias("path"), F.lit("x").alias("language")).distinct()
+    return files_, spark.createDataFrame([("go:.", ".", "go"), ("go:a", "a", "go"), ("rust:b", "b", "rust")], "id string, path string, language string")
+
+
+@query(f"WITH {_PROJECT} SELECT path, CASE WHEN path LIKE 'D%' THEN 'container' WHEN path LIKE 'b/.env%' THEN 'dot_env' ELSE 'kubernetes' END AS environment, 'go:.,go:a,rust:b' AS root_ids FROM p WHERE path LIKE 'D%' OR path LIKE 'b/.env%' OR path LIKE 'a/k8s%'")
+def environment_edges(spark: SparkSession, d: str) -> DataFrame:
+    return project.environment_edges(*_project(spark, d)).select("path", "environment", F.array_join("root_ids", ",").alias("root_ids"))
+
+
+@query(
+    f"""WITH {_PROJECT} SELECT 'environment_affects_root' AS kind, NULL AS from_root_id, id AS to_root_id, path AS via_path, false AS unresolved FROM p, r WHERE path LIKE 'D%' OR path LIKE 'b/.env%' OR path LIKE 'a/k8s%'
+    UNION ALL SELECT 'runtime_config_affects_root', 'rust:b', 'rust:b', path, false FROM p WHERE path LIKE 'b/x%'
+    UNION ALL SELECT 'root_depends_on_root', 'go:.', 'go:a', path, false FROM p WHERE path = 'go.work'"""
+)
+def dependency_edges(spark: SparkSession, d: str) -> DataFrame:
+    return project.dependency_edges(*_project(spark, d))
+
+
+# -- summaries
+
+
+@query("SELECT count(*) AS matches, count(DISTINCT l_suppkey) AS matched_files, least(count(*), 100) AS returned, greatest(count(*) - 100, 0) AS truncated, (SELECT count(*) FROM nation) AS skipped FROM lineitem")
+def result_summary(spark: SparkSession, d: str) -> DataFrame:
+    return results.result_summary(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("path")), 100, table(spark, d, "nation"))
+
+
+@query(
+    """SELECT k AS store, k = 'good' AS usable,
+       CASE k WHEN 'good' THEN NULL WHEN 'old' THEN 'schema_mismatch' WHEN 'other' THEN 'snapshot_mismatch' ELSE 'files_changed' END AS reason,
+       CASE WHEN k = 'edited' THEN (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) ELSE 0 END AS stale FROM (SELECT unnest(['good', 'old', 'other', 'edited']) AS k)"""
+)
+def store_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    stored = table(spark, d, "customer").select(text("b/", "c_custkey").alias("path"), F.lit(1).alias("size"), F.col("c_custkey").alias("mtime_ms"), F.lit(1).alias("mode"), text("h", "c_custkey").alias("hash"))
+    changed = F.col("mtime_ms") % 3 == 0
+    edited = stored.withColumns({"hash": F.when(changed, F.lit("new")).otherwise(F.col("hash")), "size": F.when(changed, 2).otherwise(1)})
+    found = None
+    for name, version, snapshot, now in (("good", 1, "s", stored), ("old", 0, "s", stored), ("other", 1, "t", stored), ("edited", 1, "s", edited)):
+        meta = spark.createDataFrame([(version, snapshot)], "schema_version int, snapshot_id string")
+        row = snapshots.store_verdict(meta, stored, now, "s").select(F.lit(name).alias("store"), "usable", "reason", "stale")
+        found = row if found is None else found.unionByName(row)
+    return found

@@ -96,3 +96,14 @@ class Overlay:
     def follow(self, catalog_stream: DataFrame, snapshot: DataFrame, checkpoint: str):
         """Start a query that reconciles each batch of catalog rows."""
         return catalog_stream.writeStream.foreachBatch(lambda batch, _: self.replace(snapshot, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refresh_index(events: DataFrame, index, snapshot: str, checkpoint: str):
+    """Start a query that brings an index up to date for each micro-batch of events
+    (path, ...) outside ignored directories; metadata decide what is read again."""
+
+    def refresh(batch: DataFrame, _: int) -> None:
+        if not batch.where(~is_skipped(F.col("path"))).isEmpty():
+            index.update(snapshot)
+
+    return events.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

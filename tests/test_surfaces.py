@@ -206,6 +206,28 @@ def test_index_reads_only_what_changed(spark, tmp_path):
     assert not any(index.doctor(snapshot).values())
 
 
+def test_streams_keep_index_and_overlay_current(spark, tmp_path):
+    from tessera.streaming.changes import refresh_index
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "a.py").write_text("one = 1\n")
+    index = Index(spark, store.SnapshotStore(spark, str(tmp_path / "store")), str(tree))
+    snapshot = index.build()
+    (tree / "b.py").write_text("two = 2\n")
+    schema = "path string, hash string"
+    frame(spark, [("target/x", "h")], schema).write.parquet(str(tmp_path / "events"))
+    events = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
+    refresh_index(events(), index, snapshot, str(tmp_path / "c1")).awaitTermination()
+    assert index.facts(snapshot).catalog().count() == 1  # events of ignored directories only
+    frame(spark, [("b.py", "h2")], schema).write.mode("append").parquet(str(tmp_path / "events"))
+    refresh_index(events(), index, snapshot, str(tmp_path / "c1")).awaitTermination()
+    assert index.facts(snapshot).catalog().count() == 2 and index.verify(snapshot) == 0
+    overlay = Overlay(str(tmp_path / "o"))
+    overlay.follow(events(), frame(spark, [("b.py", "h1"), ("target/x", "h")], schema), str(tmp_path / "c2")).awaitTermination()
+    assert [(r.path, r.status) for r in overlay.read(spark).collect()] == [("b.py", "dirty")]
+
+
 # -- verbs
 
 
