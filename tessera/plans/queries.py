@@ -924,6 +924,6 @@ def visible_code(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other modules of queries register theirs when they are imported
-from tessera.plans import extraction_queries, graph_queries  # noqa: E402
+from tessera.plans import extraction_queries, graph_queries, store_queries  # noqa: E402
 
-__all__ = ["QUERIES", "SQL", "extraction_queries", "graph_queries"]
+__all__ = ["QUERIES", "SQL", "extraction_queries", "graph_queries", "store_queries"]

@@ -101,6 +101,11 @@ def _relative(root: str) -> Column:
     return F.expr(f"substring(path, instr(path, '{bare}/') + {len(bare) + 1})")
 
 
+def looks_binary(content: Column) -> Column:
+    """Whether a zero byte is among the first SNIFFED_BYTES."""
+    return F.rlike(F.hex(F.substring(content, 1, SNIFFED_BYTES)), F.lit("^(?:..)*?00"))
+
+
 _LISTED = "path string, size long, mtime_ms long"
 
 
@@ -139,8 +144,7 @@ def scan_tree(spark: SparkSession, root: str, no_ignore: bool = False, max_bytes
     files = spark.createDataFrame([f for f in unseen.files if only is None or f[0] in only], f"{_LISTED}, content binary")
     if listed is not None:
         files = listed.select(*columns).unionByName(files)
-    binary = F.rlike(F.hex(F.substring("content", 1, SNIFFED_BYTES)), F.lit("^(?:..)*?00"))
-    reason = _skip_reason(F.col("path"), unseen, no_ignore).when(F.col("size") > max_bytes, "too_large").when(binary, "binary")
+    reason = _skip_reason(F.col("path"), unseen, no_ignore).when(F.col("size") > max_bytes, "too_large").when(looks_binary(F.col("content")), "binary")
     judged = files.withColumn("skip_reason", reason)
     return judged.select("path", paths.language_of(F.col("path")).alias("language"), "size", "mtime_ms", F.when(F.col("skip_reason").isNull(), F.decode("content", "UTF-8")).alias("content"), "skip_reason")
 
