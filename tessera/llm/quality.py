@@ -27,6 +27,8 @@ from tessera.llm.common import SUMS, bounded_sample, checkpoint, documents, pack
 #: Rows of the word table (a documented parameter, 8 MB of vectors), and what a
 #: document's mean is shrunk by, in tokens.
 ROWS, DIMS, NONZERO, BLOCKS, SHRINK = 1 << 16, 64, 4, 64, 8
+#: Training rows up to which they are broadcast: 12 bytes each.
+BROADCAST_ROWS = 1_000_000
 SEED = 7
 FEATURES = 3 * DIMS
 
@@ -72,7 +74,7 @@ def _context_sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     sums = np.zeros(ROWS * DIMS, np.int32)
     for part in parts:
-        for _, run in textops.batches(textops.as_bytes(part.column(0))):
+        for _, run in textops.batches(textops.Texts(part.column(0))):
             rows, first = tokens(run)
             inside = np.ones(max(0, len(rows) - 1), bool)
             cut = first[1:-1]
@@ -131,8 +133,8 @@ def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = pool(textops.as_bytes(part.column(1)), shared.value)
-            packed = pa.array([row.tobytes() for row in found], pa.binary())
+            found = pool(textops.Texts(part.column(1)), shared.value)
+            packed = pa.array([row.tobytes() for row in found.astype(np.float16)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), packed], ["doc_id", "text_md5", "features"])
 
     digest = F.md5(F.coalesce("text", F.lit("")))
@@ -201,7 +203,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Learns from labelled rows whose crc32(id) mod 5 is not 0, at most
     ``max_train_rows`` of them; a document with several labels has the largest,
-    null labels count as none.  Only the text enters a score.  Null and empty
+    null labels count as none; of rows that share an id one text is learned from,
+    that with the smallest digest.  Only the text enters a score.  Null and empty
     texts are pooled to zeros and scored like any other.  Without usable labels
     each score is 0.5.  Repeated rows get equal scores, null ids are held out.
     An empty table gives an empty result; other columns are ignored.
@@ -211,16 +214,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = bounded_sample(known, "doc_id", known.count(), max_train_rows)
-    rows = split_join(pooled.dropDuplicates(["doc_id"]), sample, "doc_id").orderBy("doc_id").select("features", "y").collect()
+    # the sample is bounded by max_train_rows, so it goes to the rows while it is small
+    met = pooled.join(F.broadcast(sample), "doc_id") if max_train_rows <= BROADCAST_ROWS else split_join(pooled, sample, "doc_id")
+    rows = met.groupBy("doc_id", "y").agg(F.min_by("features", "text_md5").alias("features")).orderBy("doc_id").select("features", "y").collect()
     x, y = np.zeros((len(rows), FEATURES), np.float32), np.array([r.y for r in rows], np.float64)
     for k, r in enumerate(rows):
-        x[k] = np.frombuffer(r.features, np.float32)
+        x[k] = np.frombuffer(r.features, np.float16)
     del rows
     network = Network().fit(x, y)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float32).reshape(part.num_rows, FEATURES)
+            found = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float16).reshape(part.num_rows, FEATURES).astype(np.float32)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(network.scores(found).astype(np.float64))], ["doc_id", "text_md5", "score"])
 
     scored = pooled.mapInArrow(run, "doc_id long, text_md5 string, score double")
