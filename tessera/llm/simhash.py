@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = fingerprint_batch(textops.as_bytes(part.column(1)), shingle).view(np.int64)
+            found = fingerprint_batch(textops.Texts(part.column(1)), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["doc_id", "fp"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
@@ -176,7 +176,7 @@ def _signed(docs: DataFrame, shingle: int, seed: int, bands: int, rows: int, set
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at, texts in textops.batches(textops.as_bytes(part.column(1))):
+            for at, texts in textops.batches(textops.Texts(part.column(1))):
                 hashes, first = shingle_hashes(texts, shingle, seed)
                 own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
                 node = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - 2**63 if len(x) else 0 for x in own], pa.int64())
@@ -394,8 +394,11 @@ def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = checkpoint(met.select("key", ((F.col("many") > NODES) | (F.col("mass") > CELL)).alias("hot"), "many"), nodes.count() * bands // 2)
     known = shared.agg(F.sum("many").alias("rows"), F.sum(F.when(F.col("hot"), F.col("many"))).alias("hot")).first()
     entries = checkpoint(split_join(entries, shared.select("key"), "key"), known.rows or 0)
-    sets = _signed(base, shingle, seed, bands, rows, True)
-    sets = checkpoint(split_join(sets, entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    # sets are made of one text of each node that meets another; texts travel, which are
+    # smaller than their sets, and each once, so no key of the join is hot
+    wanted = split_join(nodes.select("node", F.col("least.text_md5").alias("text_md5")), entries.select("node").distinct(), "node", "left_semi").select("text_md5")
+    texts = base.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    sets = checkpoint(_signed(texts.join(wanted, "text_md5", "left_semi").select("doc_id", "text"), shingle, seed, bands, rows, True))
 
     groups = connected_components(_hot_links(entries, shared.where("hot").select("key"), known.hot or 0, sets, similarity))
     start = 0
