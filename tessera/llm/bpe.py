@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -175,20 +175,19 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words and remember them, as little-endian 32-bit ids."""
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words:
-            raw = word.encode()
-            by_length.setdefault(len(raw), []).append((word, raw))
-        for length, group in by_length.items():
+        raws = sorted(((w.encode(), w) for w in words), key=lambda r: len(r[0]))
+        ends = [*itertools.accumulate(len(list(same)) for _, same in itertools.groupby(raws, lambda r: len(r[0])))]
+        for first, end in zip([0, *ends], ends):
+            encoded, names = zip(*raws[first:end])
+            length = len(encoded[0])
             if length > LONG_WORD:
-                for word, raw in group:
-                    self.cache[word] = self._merge_long(raw).astype("<u4").tobytes()
+                self.cache.update((word, self._merge_long(raw).astype("<u4").tobytes()) for word, raw in zip(names, encoded))
                 continue
-            raw = np.frombuffer(b"".join([r for _, r in group]), np.uint8).reshape(len(group), length)
+            raw = np.frombuffer(b"".join(encoded), np.uint8).reshape(len(names), length)
             for rows, ids in self._merge_equal_lengths(raw):
                 packed, step = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
-                for k, row in enumerate(rows.tolist()):
-                    self.cache[group[row][0]] = packed[k * step : (k + 1) * step]
+                parts = (packed[k : k + step] for k in range(0, len(packed), step))
+                self.cache.update(zip(map(names.__getitem__, rows.tolist()), parts))
 
     # -- texts
 
@@ -204,7 +203,7 @@ class Encoder:
     def _split_part(self, text: str, plain: bool) -> list[str]:
         if not plain and not is_plain(text):
             return self._split_by_library(text)
-        return PLAIN_WORD.findall(unicodedata.normalize("NFC", text).lower())
+        return PLAIN_WORD.findall(text.lower())  # plain characters are in normal form already
 
     def split(self, text: str, plain: bool = False) -> list[str]:
         """The words of a text; special tokens stand for themselves.  ``plain``:
@@ -220,15 +219,12 @@ class Encoder:
         """Ids of each text as little-endian 32-bit numbers."""
         plain = is_plain(" ".join(texts))
         split = [self.split(t, plain) for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
+        used = set().union(*split)
+        if len(self.cache) > CACHED_WORDS:  # what these texts use stays, so frequent words are merged once
+            self.cache = {w: self.cache[w] for w in used & self.cache.keys()}
         for token, i in self.special.items():
             self.cache[token] = np.array([i], "<u4").tobytes()
-        missing: set[str] = set()
-        for words in split:
-            missing.update(words)
-        missing.difference_update(self.cache)
-        self.learn(missing)
+        self.learn(used.difference(self.cache))
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -264,7 +260,8 @@ def encoded_batches(parts: Iterable[pa.RecordBatch], encoder: Encoder) -> Iterat
     for part in parts:
         begin = size = 0
         texts: list[str] = []
-        for i, text in enumerate(part.column(1).to_pylist()):
+        rows = (text for lo in range(0, part.num_rows, 256) for text in part.column(1).slice(lo, 256).to_pylist())
+        for i, text in enumerate(rows):
             texts.append(text or "")
             size += len(texts[-1])
             if size >= _BATCH or i + 1 == part.num_rows:

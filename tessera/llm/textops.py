@@ -174,3 +174,20 @@ def as_bytes(column) -> list[bytes]:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [v or b"" for v in column.cast(kind).to_pylist()]
+
+
+class Texts:
+    """Texts of an Arrow string column as UTF-8 bytes, a few at a time, so that a
+    batch of long texts is not held twice; null counts as empty."""
+
+    ROWS = 256
+
+    def __init__(self, column):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __iter__(self) -> Iterator[bytes]:
+        for lo in range(0, len(self.column), self.ROWS):
+            yield from as_bytes(self.column.slice(lo, self.ROWS))
