@@ -477,14 +477,14 @@ def test_license_scan_knows_headers_files_and_ancestors(spark):
         (5, "p/a/b/c/three.c", apache),
         (6, "pa/four.c", "code"),
         (7, "p/a/five.py", "# SPDX-License-Identifier: Apache-2.0\nprint(1)\n" + "y = 2\n" * 40),
-        (8, "q/six.c", "/* Released under the\n   MIT License. */\n\n" + "z = 3\n" * 40),
+        (8, "q/six.c", "/* Use of this source code is\n   governed by a BSD-style license. */\n\n" + "z = 3\n" * 40),
         (9, None, "code"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     got = {r.doc_id: (r.license, r.unit, r.origin, r.directory) for r in license_scan(df).collect()}
     assert got == {
         1: ("MIT", "paragraph", "own", None), 2: ("MIT", None, "inherited", "p"), 3: ("GPL-3.0", "paragraph", "own", None), 4: ("GPL-3.0", None, "inherited", "p/a/b"),
-        5: ("Apache-2.0", "paragraph", "own", None), 6: (None, None, "none", None), 7: ("Apache-2.0", "line", "own", None), 8: ("MIT", "paragraph", "own", None), 9: (None, None, "none", None),
+        5: ("Apache-2.0", "line", "own", None), 6: (None, None, "none", None), 7: ("Apache-2.0", "line", "own", None), 8: ("BSD-3-Clause", "paragraph", "own", None), 9: (None, None, "none", None),
     }
     own = {"A": ["alpha beta"], "B": ["alpha beta"]}  # a tie goes to the later name
     tied = spark.createDataFrame([(1, "x/y", "alpha beta"), (1, "x/y", "alpha beta"), (2, "x/z", "gamma")], "doc_id long, path string, text string")
