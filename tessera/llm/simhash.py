@@ -100,14 +100,18 @@ def _spread(entries: DataFrame, max_bits: int) -> DataFrame:
     wiped = rest.select("key", "fp", F.explode(table[F.col("left")]).alias("m"), "rest")
     groups = wiped.select("key", "fp", "m", F.expr("rest & ~m").alias("rest"))
     least = groups.groupBy("key", "m", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
-    return split_join(groups, least, ["key", "m", "rest"]).where("a <> fp").select("a", F.col("fp").alias("b"))
+    return split_join(groups.hint("merge"), least, ["key", "m", "rest"]).where("a <> fp").select("a", F.col("fp").alias("b"))
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints at most ``max_bits`` apart: every
     such pair is linked, or connected by links.  ``fps`` has one column, fp, without
     repeats.  The members of a key are paired; of keys with more than HOT members
-    (of at most two bits) they are linked in stars, at a cost linear in them."""
+    (of at most two bits) they are linked in stars, at a cost linear in them.
+
+    The planner takes an exploded side for as small as what it is made from, and
+    below its bound for broadcasts would build on the driver what that can't hold;
+    so joins of such sides ask for a merge."""
     low = _keys(fps, max_bits, True)
     high = _keys(fps, max_bits, False)
     spread = None
@@ -116,13 +120,13 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         entries = low.unionByName(high.where(f"NOT ({plain})"))
         hot = checkpoint(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
         if not hot.isEmpty():
-            spread = _spread(split_join(entries, hot, "key"), max_bits)
+            spread = _spread(split_join(entries.hint("merge"), hot, "key"), max_bits)
             low, high = (split_join(side, hot, "key", "left_anti") for side in (low, high))
     variants = -(-BITS // (max_bits // 2 + 1)) + 1
-    pairs = low.withColumnRenamed("fp", "a").join(high.withColumnRenamed("fp", "b"), "key")
+    pairs = low.withColumnRenamed("fp", "a").hint("merge").join(high.withColumnRenamed("fp", "b"), "key")
     # with nothing wiped both sides hold both members, else the sides differ in the wiped bit
     once = f"a < b OR shiftrightunsigned(key, 40) % {variants} > 0 AND a <> b"
-    pairs = pairs.where(F.expr(f"bit_count(a ^ b) <= {max_bits} AND ({once})")).select("a", "b")
+    pairs = pairs.where(F.expr(f"bit_count(a ^ b) <= {max_bits} AND ({once})")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs if spread is None else pairs.unionByName(spread)
 
 

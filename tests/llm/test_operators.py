@@ -300,6 +300,19 @@ def test_every_pair_of_close_fingerprints_is_found(spark):
     assert found == {frozenset(p) for p in itertools.combinations(signed, 2) if ((p[0] ^ p[1]) & mask).bit_count() <= 2}
 
 
+def test_exploded_sides_are_not_broadcast(spark, monkeypatch):
+    """66 keys a fingerprint were planned as one, and broadcast from a driver that can't hold them."""
+    from tessera.llm import simhash
+
+    fps = spark.range(300).selectExpr("id * 4 AS fp").groupBy("fp").count().select("fp")
+    for hot in (1 << 20, 5):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        links = simhash.fingerprint_links(fps)
+        links.collect()
+        joins = [x for x in links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in x]
+        assert any("SortMergeJoin" in x for x in joins) and all("LeftAnti" in x for x in joins if "Broadcast" in x)
+
+
 def test_links_of_a_crowded_key_connect_the_same(spark, monkeypatch):
     """Keys with many members are linked in stars: no wrong link, and the same components."""
     from tessera.llm import simhash
