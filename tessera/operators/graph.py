@@ -204,33 +204,60 @@ def type_closure(type_edges: DataFrame) -> DataFrame:
         known, reach = cut(known.unionByName(new)), 2 * reach
 
 
+def _one_of_each(raw_calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls that ask for the same have the same answer: the rows of one call of each
+    kind, and (call_id, asks_as) that names it for every call.  What a call asks for
+    is the set of its rows, so a repeated call_id is one call."""
+    row = F.struct("receiver_type", "target_name", "arg_count", "arg_types")
+    asked = raw_calls.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.array_sort(F.collect_set(row)).alias("ask"))
+    one = asked.groupBy("ask").agg(F.min("call_id").alias("asks_as"))
+    return one.select(F.col("asks_as").alias("call_id"), F.inline("ask")), asked.join(one, "ask").select("call_id", "asks_as")
+
+
+def _method_classes(methods: DataFrame) -> DataFrame:
+    """Methods that differ by id only are one row, under the smallest id, with their
+    number n; an id of several rows stands for itself."""
+    rows = methods.select("method_id", "owner", "name", "arity", "parameters").distinct()
+    often = rows.groupBy("method_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("method_id", F.col("method_id").alias("__own"))
+    same = ["owner", "name", "arity", "parameters", "__own"]
+    return rows.join(often, "method_id", "left").groupBy(*same).agg(F.min("method_id").alias("method_id"), F.count(F.lit(1)).alias("n")).drop("__own")
+
+
 def resolve_calls(raw_calls: DataFrame, methods: DataFrame, closure: DataFrame) -> DataFrame:
     """raw_calls: (call_id, receiver_type, target_name, arg_count, arg_types);
     methods: (method_id, owner, name, arity, parameters).  Candidates are the
     receiver's own methods of that name and arity, else its supertypes'; the
     candidates with the smallest argument score stay: 0 for an equal type, 1 for
     a supertype, 5 for an unknown argument, 10 for Object, none if it can't
-    take the argument.  (call_id, status, callee, candidates)."""
+    take the argument.  (call_id, status, callee, candidates).
+
+    Calls and methods meet as kinds of calls and classes of equal methods, so the
+    work follows the different questions and not calls times candidates."""
+    asked, known_as = _one_of_each(raw_calls)
+    asked, classes = cut(asked), cut(_method_classes(methods))
     key = [F.col("target_name") == F.col("name"), F.col("arg_count") == F.col("arity")]
-    own = raw_calls.join(methods, [*key, F.col("receiver_type") == F.col("owner")]).withColumn("far", F.lit(0))
-    up = closure.select(F.col("subtype").alias("__t"), F.col("supertype").alias("__o"), "depth")
-    above = raw_calls.join(up, F.col("receiver_type") == F.col("__t")).join(methods, [*key, F.col("__o") == F.col("owner")])
-    columns = ["call_id", "method_id", "arg_types", "parameters"]
+    own = asked.join(classes, [*key, F.col("receiver_type") == F.col("owner")]).withColumn("far", F.lit(0))
+    types = asked.select(F.col("receiver_type").alias("__t")).unionByName(asked.select(F.explode("arg_types").alias("__t"))).distinct()
+    up = cut(closure.select(F.col("subtype").alias("__t"), F.col("supertype").alias("__o"), "depth").join(types, "__t", "left_semi"))
+    owners = classes.select(F.col("owner").alias("__o")).distinct()
+    above = asked.join(up.join(owners, "__o", "left_semi"), F.col("receiver_type") == F.col("__t")).join(classes, [*key, F.col("__o") == F.col("owner")])
+    columns = ["call_id", "method_id", "n", "arg_types", "parameters"]
     found = own.select(*columns, "far").unionByName(above.select(*columns, F.lit(1).alias("far"))).distinct()
     nearest = found.groupBy("call_id").agg(F.min("far").alias("near"))
     found = found.join(nearest, "call_id").where("far = near")
-    args = found.select("call_id", "method_id", F.posexplode_outer(F.arrays_zip(F.col("arg_types").alias("a"), F.col("parameters").alias("p"))).alias("at", "z")).select("call_id", "method_id", F.col("z.a").alias("a"), F.col("z.p").alias("p"))
+    args = found.select("call_id", "method_id", "n", F.posexplode_outer(F.arrays_zip(F.col("arg_types").alias("a"), F.col("parameters").alias("p"))).alias("at", "z")).select("call_id", "method_id", "n", F.col("z.a").alias("a"), F.col("z.p").alias("p"))
     scored = args.join(up, (F.col("a") == F.col("__t")) & (F.col("p") == F.col("__o")), "left")
     each = F.when(F.col("a").isNull(), 5).when(F.col("p").isin("Object", "java.lang.Object"), 10).when(F.col("a") == F.col("p"), 0).when(F.col("depth").isNotNull(), 1)
     none = F.col("a").isNull() & F.col("p").isNull()
-    total = scored.select("call_id", "method_id", F.when(none, 0).otherwise(each).alias("s"))
-    total = total.groupBy("call_id", "method_id").agg(F.sum("s").alias("score"), F.bool_or(F.col("s").isNull()).alias("misfit"))
+    total = scored.select("call_id", "method_id", "n", F.when(none, 0).otherwise(each).alias("s"))
+    total = total.groupBy("call_id", "method_id").agg(F.max("n").alias("n"), F.sum("s").alias("score"), F.bool_or(F.col("s").isNull()).alias("misfit"))
     total = total.withColumn("score", F.when(F.col("misfit"), F.lit(None)).otherwise(F.col("score")))
     best = total.groupBy("call_id").agg(F.min("score").alias("best"))
     kept = total.join(best, "call_id").where(F.col("best").isNull() | (F.col("score") == F.col("best")))
-    summary = kept.groupBy("call_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("method_id").alias("one"))
+    summary = kept.groupBy(F.col("call_id").alias("asks_as")).agg(F.sum("n").alias("candidates"), F.min("method_id").alias("one"))
+    answers = known_as.join(cut(summary), "asks_as")
     status = F.when(F.coalesce("candidates", F.lit(0)) == 0, "unresolved").when(F.col("candidates") == 1, "resolved").otherwise("ambiguous")
-    return raw_calls.select("call_id").join(summary, "call_id", "left").select("call_id", status.alias("status"), F.when(F.col("candidates") == 1, F.col("one")).alias("callee"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
+    return raw_calls.select("call_id").join(answers, "call_id", "left").select("call_id", status.alias("status"), F.when(F.col("candidates") == 1, F.col("one")).alias("callee"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
 def override_callees(resolved: DataFrame, methods: DataFrame, closure: DataFrame) -> DataFrame:
