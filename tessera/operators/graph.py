@@ -261,9 +261,14 @@ def resolve_calls(raw_calls: DataFrame, methods: DataFrame, closure: DataFrame)
 
 
 def override_callees(resolved: DataFrame, methods: DataFrame, closure: DataFrame) -> DataFrame:
-    """(call_id, callee): the resolved method and its overrides in subtypes."""
-    m = methods.select(F.col("method_id").alias("callee"), F.col("owner").alias("__o"), "name", "arity")
-    base = resolved.where(F.col("callee").isNotNull()).select("call_id", "callee")
-    down = base.join(m, "callee").join(closure, F.col("__o") == F.col("supertype"))
-    over = down.join(methods.withColumnsRenamed({"name": "__name", "arity": "__arity"}), (F.col("subtype") == F.col("owner")) & (F.col("name") == F.col("__name")) & (F.col("arity") == F.col("__arity")))
-    return base.unionByName(over.select("call_id", F.col("method_id").alias("callee"))).distinct()
+    """(call_id, callee): the resolved method and its overrides in subtypes.  The
+    overrides are found once for each (owner, name, arity), among subtypes that
+    have methods."""
+    base = cut(resolved.where(F.col("callee").isNotNull()).select("call_id", "callee"))
+    called = base.select("callee").distinct().join(methods.select(F.col("method_id").alias("callee"), F.col("owner").alias("__o"), "name", "arity"), "callee").distinct()
+    below = methods.select(F.col("owner").alias("subtype"), "name", "arity", "method_id").distinct()
+    down = closure.select(F.col("supertype").alias("__o"), "subtype").join(below.select("subtype").distinct(), "subtype", "left_semi")
+    over = called.select("__o", "name", "arity").distinct().join(down, "__o").join(below, ["subtype", "name", "arity"]).select("__o", "name", "arity", "method_id").distinct()
+    found = called.join(over, ["__o", "name", "arity"]).select("callee", "method_id")
+    more = base.join(found, "callee").select("call_id", F.col("method_id").alias("callee"))
+    return base.unionByName(more).distinct()
