@@ -66,8 +66,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near copies: five-word shingles, a Jaccard
-    similarity of 0.8 or more."""
+    """Keep one row of each group of near copies: texts that SimHash fingerprints or
+    MinHash bands bring together, linked at a Jaccard similarity of 0.8 or more of
+    their five-word shingles."""
     return _keep(docs, simhash_similar(docs, shingle=5, similarity=0.8).where("first"))
 
 

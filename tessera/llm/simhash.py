@@ -305,6 +305,15 @@ def _met(similarity: float):
     return run
 
 
+def _simhash_band(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Entries (band, key, fp, node, size) of nodes that have shingles: the key stands for
+    the component of fingerprints at most ``max_bits`` apart that the node's is in."""
+    full = nodes.where("size > 0").select("fp", "node", "size")
+    linked = connected_components(fingerprint_links(full.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))
+    return split_join(full, linked, "fp", "left").select(F.lit(0).alias("band"), key.alias("key"), "fp", "node", "size")
+
+
 def _following(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted rows (key, fp, node), each node with the one before it in its band."""
     last = (None, None)
@@ -367,7 +376,7 @@ def _band_links(entries: DataFrame, count: int, sets: DataFrame, similarity: flo
     return met.groupBy("cell", "i", "j").applyInArrow(_met(similarity), "a long, b long")
 
 
-def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5, seed: int = 42) -> DataFrame:
+def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5, seed: int = 42, max_bits: int = 2) -> DataFrame:
     """Near-dedup by similarity rather than a few bits: result and edge cases as
     in simhash_near_dedup, but texts are linked if the Jaccard similarity of
     their sets of ``shingle``-word shingles is at least ``similarity``, which is
@@ -376,11 +385,14 @@ def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id and, where rows share that id, the smallest text_md5 (rows that
     share both are first together).
 
-    A pair of similarity 0.8 differs in some 15 of 100 SimHash bits, which no
-    affordable set of fingerprint segments finds with certainty.  So candidates
-    share a MinHash band: a pair of similarity s is one with probability
-    1 - (1 - s**rows)**bands, 0.9996 at 0.8.  No band is cut short; nodes known
-    to be connected are not compared again:
+    Candidates are found by SimHash first: all nodes of a component of fingerprints
+    at most ``max_bits`` apart meet, as in simhash_near_dedup, which misses no such
+    pair.  A pair of similarity 0.8 differs in some 15 of 100 SimHash bits, which no
+    affordable set of fingerprint segments finds with certainty.  So texts that
+    share a MinHash band meet as well: a pair of similarity s does with probability
+    1 - (1 - s**rows)**bands, 0.9996 at 0.8.  A SimHash component is a band like
+    the others (the first).  No band is cut short; nodes known to be connected are
+    not compared again:
 
     * bands too large for one block are first gathered at a cost linear in their
       size: SimHash orders their nodes, and neighbours are compared;
@@ -393,9 +405,11 @@ def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")  # null ids come last
     nodes = marked.groupBy("node").agg(F.min(row).alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     nodes = checkpoint(nodes)
-    entries = nodes.select(F.posexplode("keys").alias("band", "key"), "fp", "node", "size")
+    count = nodes.count()
+    entries = nodes.select(F.posexplode("keys").alias("band", "key"), "fp", "node", "size").withColumn("band", F.col("band") + 1)
+    entries = checkpoint(_simhash_band(nodes, max_bits), count).unionByName(entries)
     met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("mass")).where("many > 1")
-    shared = checkpoint(met.select("key", ((F.col("many") > NODES) | (F.col("mass") > CELL)).alias("hot"), "many"), nodes.count() * bands // 2)
+    shared = checkpoint(met.select("key", ((F.col("many") > NODES) | (F.col("mass") > CELL)).alias("hot"), "many"), count * (bands + 1) // 2)
     known = shared.agg(F.sum("many").alias("rows"), F.sum(F.when(F.col("hot"), F.col("many"))).alias("hot")).first()
     entries = checkpoint(split_join(entries, shared.select("key"), "key"), known.rows or 0)
     # sets are made of one text of each node that meets another; texts travel, which are
@@ -407,7 +421,7 @@ def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected_components(_hot_links(entries, shared.where("hot").select("key"), known.hot or 0, sets, similarity))
     start = 0
     for share in ROUNDS:
-        stop = round(bands * share)
+        stop = 1 + round(bands * share)
         placed = split_join(entries.where(f"band >= {start} AND band < {stop}"), groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         links = _band_links(checkpoint(placed.select("key", "node", "size", "component"), known.rows or 0), known.rows or 0, sets, similarity)
         groups = connected_components(links.unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))

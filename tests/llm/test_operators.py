@@ -334,6 +334,24 @@ def test_links_of_a_crowded_key_connect_the_same(spark, monkeypatch):
     assert len(set(up.values())) > 30
 
 
+def test_texts_with_close_fingerprints_meet_without_bands(spark):
+    """One band of 4000 rows brings no two different texts together, SimHash does."""
+    from tessera.llm.simhash import fingerprint_batch, simhash_similar
+
+    r = np.random.default_rng(4)
+    texts = []
+    for g in range(10):
+        w = [f"v{x}" for x in r.integers(0, 50_000, 5000)]
+        texts.append(" ".join(w))
+        w[100] = "changed"
+        texts.append(" ".join(w))
+    prints = [int(x) for x in fingerprint_batch([t.encode() for t in texts], 5)]
+    close = [g for g in range(10) if (prints[2 * g] ^ prints[2 * g + 1]).bit_count() <= 2]
+    found = {x.doc_id: x.component_id for x in simhash_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=1, rows=4000).collect()}
+    assert len(close) >= 2 and all(found[2 * g + 1] == 2 * g for g in close)
+    assert len(found) == 20 and all(found[k] // 2 == k // 2 for k in found)
+
+
 def test_similar_texts_meet(spark, messy, empty):
     from tessera.llm.simhash import simhash_similar
 
