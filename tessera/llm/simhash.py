@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textops
 from tessera.llm.common import checkpoint, documents, shuffle_partitions, split_join
-from tessera.llm.components import connected_components
+from tessera.llm.components import connected_components, forest
 
 BITS, MINHASH_SEED = 64, 8
 #: Members of a key that are paired with each other at most.
@@ -257,24 +257,6 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smallest, node) that connect what the links (a, b) connect; each
-    node is named once."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        was, least = label, np.minimum(label[u], label[v])
-        label = label.copy()
-        np.minimum.at(label, u, least)
-        np.minimum.at(label, v, least)
-        label = label[label]
-        if np.array_equal(label, was):
-            break
-    moved = label != np.arange(len(nodes))
-    return nodes[label[moved]], nodes[moved]
-
-
 def _met(similarity: float):
     """Of one cell: links between components whose members are similar, as a
     forest.  A cell holds whole bands, or two blocks of the nodes of one band
@@ -344,9 +326,10 @@ def _hot_links(entries: DataFrame, hot: DataFrame, count: int, sets: DataFrame,
     return pairs.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long")
 
 
-def _band_links(entries: DataFrame, count: int, sets: DataFrame, similarity: float) -> DataFrame:
+def _band_links(entries: DataFrame, count: int, sets: DataFrame, similarity: float) -> DataFrame | None:
     """Links between components that share a band and have similar members, all
-    pairs of nodes in different components compared.
+    pairs of nodes in different components compared; none where the nodes of each
+    band are connected already.
 
     entries: (key, node, size, component), at most ``count`` rows.  Nodes outside a band's largest
     component are dealt into blocks, and so are those inside; a block of the
@@ -360,8 +343,10 @@ def _band_links(entries: DataFrame, count: int, sets: DataFrame, similarity: flo
     rest = most.select("key", "lead", "whole", "mass", (F.col("n") - F.col("lead_n")).alias("n"), (F.col("mass") - F.col("lead_mass")).alias("rest_mass"), "lead_n", "lead_mass")
     blocks_of = lambda n, mass: F.greatest(F.lit(1), F.ceil(F.col(n) / NODES), F.ceil(F.col(mass) / CELL)).cast("int")
     plan = checkpoint(rest.select("key", "lead", "whole", "mass", blocks_of("n", "rest_mass").alias("outer"), blocks_of("lead_n", "lead_mass").alias("inner")), count // 2)
-    mass = plan.where("whole = 1").agg(F.sum("mass")).first()[0] or 0
-    cells = max(shuffle_partitions(entries.sparkSession), -(-int(mass) // CELL))
+    known = plan.agg(F.count(F.lit(1)).alias("bands"), F.sum(F.when(F.col("whole") == 1, F.col("mass"))).alias("mass")).first()
+    if not known.bands:
+        return None
+    cells = max(shuffle_partitions(entries.sparkSession), -(-int(known.mass or 0) // CELL))
     dealt = split_join(entries, plan, "key")
     dealt = dealt.withColumns({"mine": F.expr("component = lead"), "place": F.pmod(F.xxhash64("node"), F.lit(1 << 30))})
     own = F.when(F.col("mine"), F.col("outer") + F.expr("int(place % inner)")).otherwise(F.expr("int(place % outer)"))
@@ -418,13 +403,15 @@ def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     sets = checkpoint(_signed(texts.join(wanted, "text_md5", "left_semi").select("doc_id", "text"), shingle, seed, bands, rows, True))
 
-    groups = connected_components(_hot_links(entries, shared.where("hot").select("key"), known.hot or 0, sets, similarity))
+    none = entries.sparkSession.createDataFrame([], "a long, b long")
+    groups = connected_components(_hot_links(entries, shared.where("hot").select("key"), known.hot, sets, similarity) if known.hot else none)
     start = 0
     for share in ROUNDS:
         stop = 1 + round(bands * share)
         placed = split_join(entries.where(f"band >= {start} AND band < {stop}"), groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         links = _band_links(checkpoint(placed.select("key", "node", "size", "component"), known.rows or 0), known.rows or 0, sets, similarity)
-        groups = connected_components(links.unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+        if links is not None:
+            groups = connected_components(links.unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))
         start = stop
 
     placed = split_join(nodes.select("node", "least"), groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

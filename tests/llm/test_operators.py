@@ -471,6 +471,41 @@ def test_components(spark):
     assert got == {3: 3, 7: 3, 9: 3, **{i: 50 for i in range(50, 91)}, 100: 50}
 
 
+def test_small_graphs_take_few_jobs(spark, monkeypatch):
+    """Rounds over few links made the driver plan hundreds of stages; both ways agree."""
+    from tessera.llm import components
+
+    r = np.random.default_rng(3)
+    links = [*((int(a), int(b)) for a, b in r.integers(-500, 500, (450, 2))), *((i * 37 % 1009 + 10**6, (i + 1) * 37 % 1009 + 10**6) for i in range(800))]
+    table = spark.createDataFrame(links, "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("small-graph", "components")
+    try:
+        once = sorted(components.connected_components(table).collect())
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # 6 jobs; 116 when each round has its own
+    assert len(context.statusTracker().getJobIdsForGroup("small-graph")) <= 12
+    monkeypatch.setattr(components, "ROWS_A_FILE", 0)
+    assert sorted(components.connected_components(table).collect()) == once
+    assert len(components.connected_components(table.limit(0)).collect()) == 0
+
+
+def test_near_dedup_skips_empty_steps(spark, monkeypatch):
+    """Without large bands none is gathered, and without unlike nodes no cell is made."""
+    from tessera.llm import simhash
+
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[::-1] if i > 2 else words)) for i in range(5)] + [(9, None)], "doc_id long, text string")
+    made = []
+    monkeypatch.setattr(simhash, "_hot_links", lambda *a: pytest.fail("no band is large"))
+    found = simhash._band_links
+    monkeypatch.setattr(simhash, "_band_links", lambda *a: made.append(found(*a)) or made[-1])
+    got = {r.doc_id: r.component_id for r in simhash.simhash_similar(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 9: 9}
+    assert made == [None] * len(simhash.ROUNDS)
+
+
 # -- licenses
 
 
