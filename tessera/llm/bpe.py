@@ -1,6 +1,8 @@
 """BPE encoding and decoding with word ends, equal to the tokenizers library.
 
-Distinct words of a batch are encoded together: words of one length form a
+White space parts a text into chunks, which no word reaches across.  Arrow finds the
+distinct chunks of a batch; these alone are split into words, and a text's ids are
+gathered from those of its chunks.  Distinct words are encoded together: words of one length form a
 matrix of parts and a matrix of ranks of adjacent parts.  Each round scans every
 row for its first minimum, deletes that boundary and refreshes the two
 neighbouring ranks; all rows lose one part a round, so the arrays stay
@@ -22,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,9 @@ NONE = np.int32(2**31 - 1)
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same over plain characters, among which re's classes and Unicode's agree.
 PLAIN_WORD = re.compile(r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+")
+#: What ends a chunk among words, and among ids; what stands for it in the library's splits.
+END, END_ID, END_MARK = "\n", np.uint32(2**32 - 1), "\ue000"
+PLAIN_WORD_OR_END = re.compile(PLAIN_WORD.pattern + "|" + END)
 
 
 def _plain_table() -> np.ndarray:
@@ -175,19 +181,22 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words and remember them, as little-endian 32-bit ids."""
-        raws = sorted(((w.encode(), w) for w in words), key=lambda r: len(r[0]))
-        ends = [*itertools.accumulate(len(list(same)) for _, same in itertools.groupby(raws, lambda r: len(r[0])))]
-        for first, end in zip([0, *ends], ends):
-            encoded, names = zip(*raws[first:end])
-            length = len(encoded[0])
+        words = list(words)
+        if not words:
+            return
+        packed = pa.array([w.encode() for w in words], pa.large_binary())
+        data, ends = np.frombuffer(packed.buffers()[2], np.uint8), np.frombuffer(packed.buffers()[1], np.int64)[: len(words) + 1]
+        lengths = np.diff(ends)
+        order = np.argsort(lengths, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            length = int(lengths[same[0]])
             if length > LONG_WORD:
-                self.cache.update((word, self._merge_long(raw).astype("<u4").tobytes()) for word, raw in zip(names, encoded))
+                self.cache.update((words[k], self._merge_long(words[k].encode()).astype("<u4").tobytes()) for k in same)
                 continue
-            raw = np.frombuffer(b"".join(encoded), np.uint8).reshape(len(names), length)
-            for rows, ids in self._merge_equal_lengths(raw):
+            for rows, ids in self._merge_equal_lengths(data[ends[same][:, None] + np.arange(length)]):
                 packed, step = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
                 parts = (packed[k : k + step] for k in range(0, len(packed), step))
-                self.cache.update(zip(map(names.__getitem__, rows.tolist()), parts))
+                self.cache.update(zip(map(words.__getitem__, same[rows].tolist()), parts))
 
     # -- texts
 
@@ -215,18 +224,59 @@ class Encoder:
             out += [part] if part in self.special else self._split_part(part, plain) if part else []
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        plain = is_plain(" ".join(texts))
-        split = [self.split(t, plain) for t in texts]
-        used = set().union(*split)
+    def _split_chunks(self, chunks: list[str]) -> tuple[list[str], list[int]]:
+        """The words of all chunks, END after each chunk's, and the chunks' order:
+        those of plain characters come first, as they are split at once."""
+        joined = END.join([*chunks, ""])
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        odd = np.flatnonzero(~PLAIN[np.minimum(points, len(PLAIN) - 1)] | (points >= len(PLAIN)))
+        unlike = set(np.searchsorted(np.flatnonzero(points == ord(END)), odd).tolist())
+        special = {i for i, c in enumerate(chunks) if any(s in c for s in self.special)} if any(s in joined for s in self.special) else set()
+        unlike -= special
+        if not unlike and not special:
+            return PLAIN_WORD_OR_END.findall(joined.lower()), list(range(len(chunks)))
+        order = [i for i in range(len(chunks)) if i not in unlike and i not in special]
+        words = PLAIN_WORD_OR_END.findall(END.join([*(chunks[i] for i in order), ""]).lower())
+        if END_MARK in joined:
+            special, unlike = special | unlike, set()
+        if unlike:
+            marked = "".join(f"{chunks[i]} {END_MARK} " for i in unlike)
+            words += [END if w == END_MARK else w for w in self._split_by_library(marked)]
+        for i in special:
+            words += [*self.split(chunks[i]), END]
+        return words, [*order, *unlike, *special]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers; null counts as empty."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if any(any(map(str.isspace, s)) for s in self.special):  # a token that white space may part
+            split = [self.split(t) for t in column.to_pylist()]
+            self._remember(set().union(*split))
+            return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        pieces = pc.ascii_split_whitespace(column)
+        last = np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy(), dtype=np.int64))
+        coded = pieces.flatten().dictionary_encode()
+        words, order = self._split_chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        self._remember(set(words).difference([END]))
+        self.cache[END] = END_ID.tobytes()
+        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4")
+        ends = np.flatnonzero(ids == END_ID)
+        begin, size = np.empty_like(ends), np.empty_like(ends)
+        begin[order] = np.append(0, ends[:-1] + 1)[: len(ends)]
+        size[order] = ends - begin[order]
+        which = coded.indices.to_numpy()
+        done = np.append(0, np.cumsum(size[which]))
+        found = ids[np.repeat(begin[which] - done[:-1], size[which]) + np.arange(done[-1])]
+        cuts = done[last].tolist()
+        return [found[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+
+    def _remember(self, used: set[str]) -> None:
+        """See to it that the word table has these words."""
         if len(self.cache) > CACHED_WORDS:  # what these texts use stays, so frequent words are merged once
             self.cache = {w: self.cache[w] for w in used & self.cache.keys()}
         for token, i in self.special.items():
             self.cache[token] = np.array([i], "<u4").tobytes()
         self.learn(used.difference(self.cache))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by single spaces: what a vocabulary without decoder gives."""
@@ -258,15 +308,14 @@ def encoded_batches(parts: Iterable[pa.RecordBatch], encoder: Encoder) -> Iterat
     """(ids of documents, encoded texts) in pieces of about _BATCH bytes of text;
     a null text counts as empty."""
     for part in parts:
-        begin = size = 0
-        texts: list[str] = []
-        rows = (text for lo in range(0, part.num_rows, 256) for text in part.column(1).slice(lo, 256).to_pylist())
-        for i, text in enumerate(rows):
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size >= _BATCH or i + 1 == part.num_rows:
-                yield part.column(0).slice(begin, len(texts)), encoder.encode(texts)
-                begin, size, texts = i + 1, 0, []
+        texts = part.column(1)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+        begin = 0
+        while begin < len(texts):
+            end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _BATCH)) + 1
+            keys = part.column(0).slice(begin, end - begin)
+            yield keys, encoder.encode(texts.slice(begin, end - begin))
+            begin += len(keys)
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -657,6 +657,25 @@ def test_bpe_equals_the_library(library):
         assert encoder.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_a_chunk_is_split_once_a_batch(library, monkeypatch):
+    """Every word of every text was split and looked up anew, over the time that operator 8 has."""
+    from tessera.llm.bpe import Encoder
+
+    path, tokenizer = library
+    with open(path, "rb") as f:
+        encoder = Encoder(f.read())
+    r = np.random.default_rng(4)
+    pool = ["the", "The,", "it's", " ", "\n", "\t ", "\x0b", "\x0c\r", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "e\u0301", "\u0301", "J\u030c", "j\u030c", "\u01f0", "\u03a3", "\u1112", "\u1161", "\u11ab", "\ue000", "<|endoftext|>", "<|", "x" * 70]
+    for some in (pool[:9], [p for p in pool if p != "\ue000" and "<|" not in p], pool):
+        texts = ["".join(r.choice(some, r.integers(0, 20))) for _ in range(300)] + [""]
+        seen, split = [], Encoder._split_chunks
+        with monkeypatch.context() as patch:
+            patch.setattr(Encoder, "_split_chunks", lambda self, chunks: seen.extend(chunks) or split(self, chunks))
+            found = encoder.encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(seen) == len(set(seen)) < sum(len(t.split()) for t in texts)
+
+
 def test_bpe_frames(spark, messy, empty, library):
     from tessera.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
 
